@@ -1,0 +1,193 @@
+"""One refresh: extract, check, load, commit, log, invalidate, rebuild.
+
+The functions here decide and write; all row work is done by the operators.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Sequence
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+from tidemark.contracts import Contract, contract_named, typed_projection
+from tidemark.operators.cubes import DimensionJoin, build_cube
+from tidemark.operators.quality import (
+    BAD,
+    ISSUES,
+    duplicate_keys,
+    error_report,
+    flagged_counts,
+    flagged_errors,
+    report_header,
+    row_issues,
+)
+from tidemark.operators.staging import POSITION, ROW, batch_row_ordinal, with_position, write_staged
+from tidemark.operators.state import Run
+from tidemark.operators.upsert import absent_rows
+from tidemark.plans.config import Cube, Job, Source
+from tidemark.plans.warehouse import Warehouse
+from tidemark.sources.csv import CORRUPT
+from tidemark.sources.marks import effective_mark, incremental_filter, mark_of
+from tidemark.sources.registry import read_source
+
+# A failed run's log entry quotes this many rows; the errors table holds all of them.
+REPORTED_ROWS = 20
+
+_MARK = "_mark"
+
+
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
+class MalformedBatch(ValueError):
+    """A source holds records that cannot be read as rows."""
+
+
+def stage_batch(raw: DataFrame, contract: Contract, watermark_column: str | None, path: str) -> DataFrame:
+    """Typed columns, issues and mark of a batch, written once under ``path``.
+
+    Everything a single row can tell is decided in the pass that writes it, so the gate
+    reads flags instead of parsing the source again.
+    """
+    mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
+    corrupt = F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string")
+    checked = raw.withColumns(
+        {ISSUES: row_issues(raw, contract), _MARK: mark, CORRUPT: corrupt}
+    )
+    staged = typed_projection(checked, contract, keep=(ISSUES, _MARK, CORRUPT))
+    flags = staged.withColumn(BAD, F.col(ISSUES).isNotNull())
+    return with_position(write_staged(flags, path=path))
+
+
+def _batch_facts(staged: DataFrame) -> Row:
+    return staged.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(BAD).alias("bad"),
+        F.count(CORRUPT).alias("corrupt"),
+        F.max(_MARK).alias("mark"),
+    ).first()
+
+
+def _has_duplicates(staged: DataFrame, contract: Contract) -> bool:
+    return any(not duplicate_keys(staged, [k], POSITION).isEmpty() for k in contract.unique)
+
+
+def _reject(
+    warehouse: Warehouse, source: Source, contract: Contract, staged: DataFrame, batch_id: str
+) -> list[str]:
+    """Write all issues of the batch and return the log lines of the first rows."""
+    flagged = batch_row_ordinal(staged).select(ROW, *contract.unique, ISSUES, BAD)
+    counts = flagged_counts(flagged, contract).first()
+    errors = flagged_errors(flagged, contract).withColumn("source", F.lit(source.name))
+    warehouse.write_errors(errors, batch_id)
+    stored = warehouse.errors().filter(F.col("_batch_id") == batch_id)
+    blocks = error_report(stored).orderBy(ROW).limit(REPORTED_ROWS).collect()
+    return [report_header(counts["rows_failed"], counts["rows_passed"]), *[b["report"] for b in blocks]]
+
+
+def refresh_batch(
+    warehouse: Warehouse,
+    cube: str,
+    source: Source,
+    raw: DataFrame,
+    run_id: str,
+    batch_id: str,
+    since: datetime | None = None,
+    as_of: datetime | None = None,
+) -> Run:
+    """Take one batch of raw rows through the whole pipeline; returns its run record."""
+    started = utc_now()
+    contract = contract_named(source.schema)
+    scratch = f"{warehouse.base}/stage/{batch_id}"
+
+    def record(status: str, processed=0, inserted=0, updated=0, mark=None, errors=None) -> Run:
+        return Run(
+            run_id, cube, source.name, started, utc_now(), processed, inserted, updated, mark, status, errors
+        )
+
+    mark = effective_mark(since, warehouse.watermark(source.name))
+    batch = incremental_filter(raw, source.watermark_column, mark)
+    staged = stage_batch(batch, contract, source.watermark_column, f"{scratch}/rows")
+    facts = _batch_facts(staged)
+    if facts["corrupt"]:
+        raise MalformedBatch(f"{facts['corrupt']} malformed records in source {source.name}")
+    if facts["rows"] == 0:
+        return record("success")
+    if facts["bad"] or _has_duplicates(staged, contract):
+        lines = _reject(warehouse, source, contract, staged, batch_id)
+        return record("failed", processed=facts["rows"], errors=lines)
+
+    moment = as_of or started
+    clean = staged.select(*contract.columns, POSITION)
+    if contract.role == "dimension":
+        inserted, updated = warehouse.merge_dimension(
+            contract, clean.drop(POSITION), batch_id, moment, scratch
+        )
+    else:
+        updated = 0
+        inserted = facts["rows"]
+        if source.insert_if_absent:
+            stored = warehouse.facts(contract.name)
+            clean = write_staged(
+                absent_rows(stored, clean, contract.key, [F.col(POSITION)]), path=f"{scratch}/absent"
+            )
+            inserted = clean.count()
+        warehouse.append_facts(contract, clean.drop(POSITION), batch_id, source.watermark_column)
+    warehouse.commit(batch_id, contract.table, source.name, facts["mark"], inserted, updated, moment)
+    return record("success", facts["rows"], inserted, updated, facts["mark"])
+
+
+def rebuild_cube(warehouse: Warehouse, cube: Cube, batch_id: str, at: datetime) -> None:
+    if not cube.measures or not cube.by:
+        return
+    dimensions = []
+    for name in cube.dimensions:
+        contract = contract_named(name)
+        key = contract.key[0]
+        dimensions.append(DimensionJoin(warehouse.current(name), key, key, cube.attributes_of(name)))
+    built = build_cube(warehouse.facts(cube.fact), dimensions, cube.by, cube.measures)
+    warehouse.write_cube(cube.name, built, batch_id, at)
+
+
+def after_load(warehouse: Warehouse, cube: Cube, runs: Sequence[Run], at: datetime) -> None:
+    """Invalidate and rebuild a cube if some source of it brought rows."""
+    loaded = [r.source for r in runs if r.rows_inserted or r.rows_updated]
+    if loaded:
+        warehouse.invalidate(cube.name, loaded, at, "ETL refresh completed")
+        rebuild_cube(warehouse, cube, f"{cube.name}-{uuid.uuid4().hex}", at)
+
+
+def refresh(
+    warehouse: Warehouse,
+    job: Job,
+    cube_name: str | None = None,
+    since: datetime | None = None,
+    as_of: datetime | None = None,
+    run_id: str | None = None,
+) -> DataFrame:
+    """Refresh one cube, or all of them; returns the run records.
+
+    A source that fails is logged and does not stop the others.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    for cube in job.cubes_named(cube_name):
+        runs = []
+        for source in job.sources_of(cube):
+            started = utc_now()
+            try:
+                contract = contract_named(source.schema)
+                raw = read_source(warehouse.spark, source.kind, dict(source.options), contract)
+                batch_id = f"{source.name}-{uuid.uuid4().hex}"
+                run = refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, since, as_of)
+            except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
+                run = Run(
+                    run_id, cube.name, source.name, started, utc_now(), 0, 0, 0, None, "failed", [str(error)]
+                )
+            warehouse.log_run(run)
+            runs.append(run)
+        after_load(warehouse, cube, runs, as_of or utc_now())
+    return warehouse.runs().filter(F.col("run_id") == run_id)
