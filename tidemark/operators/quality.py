@@ -22,6 +22,7 @@ from tidemark.contracts import (
     missing_required,
     raw_columns,
 )
+from tidemark.functions.naming import member_of
 from tidemark.operators.staging import HOT_ROWS, ROW, join_counted
 
 ISSUES = "_issues"
@@ -159,7 +160,5 @@ def report_header(rows_failed: int, rows_passed: int) -> str:
 
 
 def validate_gate(batches: DataFrame, errors: DataFrame, by: str = "source") -> DataFrame:
-    """Rows of the sources that have no error at all. ``errors`` names the source of each
-    issue; what is broadcast holds one row per failed source."""
-    failed = F.broadcast(errors.select(F.col(by).alias("_failed")).distinct())
-    return batches.join(failed, F.col(by) == F.col("_failed"), "left_anti")
+    """Rows of the batches (told apart by ``by``) that have no error at all."""
+    return member_of(batches, errors.select(by).distinct(), [by], "left_anti")

@@ -6,7 +6,7 @@ The functions here decide and write; all row work is done by the operators.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
@@ -153,14 +153,26 @@ def rebuild_cube(warehouse: Warehouse, cube: Cube, batch_id: str, at: datetime)
     warehouse.write_cube(cube.name, built, batch_id, at)
 
 
-def after_load(warehouse: Warehouse, cube: Cube, runs: Sequence[Run], at: datetime) -> None:
+def after_load(warehouse: Warehouse, cube: Cube, runs: Iterable[Run], at: datetime) -> None:
     """Invalidate and rebuild a cube if some source of it brought rows."""
-    loaded = [r.source for r in runs if r.rows_inserted or r.rows_updated]
+    loaded = [r.source for r in runs if r.source in cube.sources and (r.rows_inserted or r.rows_updated)]
     if loaded:
         warehouse.invalidate(cube.name, loaded, at, "ETL refresh completed")
         rebuild_cube(warehouse, cube, f"{cube.name}-{uuid.uuid4().hex}", at)
 
 
+def _refresh_source(
+    warehouse: Warehouse, cube: Cube, source: Source, run_id: str, since: datetime | None, as_of: datetime | None
+) -> Run:
+    started = utc_now()
+    try:
+        raw = read_source(warehouse.spark, source.kind, dict(source.options), contract_named(source.schema))
+        batch_id = f"{source.name}-{uuid.uuid4().hex}"
+        return refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, since, as_of)
+    except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
+        return Run(run_id, cube.name, source.name, started, utc_now(), 0, 0, 0, None, "failed", [str(error)])
+
+
 def refresh(
     warehouse: Warehouse,
     job: Job,
@@ -171,23 +183,19 @@ def refresh(
 ) -> DataFrame:
     """Refresh one cube, or all of them; returns the run records.
 
-    A source that fails is logged and does not stop the others.
+    A source that fails is logged and does not stop the others. A source that several
+    cubes share is loaded once: the later cubes log that it had nothing more to give, and
+    are rebuilt from what it gave.
     """
     run_id = run_id or uuid.uuid4().hex
+    done: dict[str, Run] = {}
     for cube in job.cubes_named(cube_name):
-        runs = []
         for source in job.sources_of(cube):
-            started = utc_now()
-            try:
-                contract = contract_named(source.schema)
-                raw = read_source(warehouse.spark, source.kind, dict(source.options), contract)
-                batch_id = f"{source.name}-{uuid.uuid4().hex}"
-                run = refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, since, as_of)
-            except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
-                run = Run(
-                    run_id, cube.name, source.name, started, utc_now(), 0, 0, 0, None, "failed", [str(error)]
-                )
+            if source.name in done:
+                first = done[source.name]
+                run = first._replace(cube=cube.name, rows_processed=0, rows_inserted=0, rows_updated=0)
+            else:
+                run = done[source.name] = _refresh_source(warehouse, cube, source, run_id, since, as_of)
             warehouse.log_run(run)
-            runs.append(run)
-        after_load(warehouse, cube, runs, as_of or utc_now())
+        after_load(warehouse, cube, done.values(), as_of or utc_now())
     return warehouse.runs().filter(F.col("run_id") == run_id)

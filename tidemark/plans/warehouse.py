@@ -27,6 +27,7 @@ from tidemark.operators.scd2 import CLOSE, scd2_delta, still_open
 from tidemark.operators.staging import write_staged
 from tidemark.operators.state import INVALIDATIONS, RUNS, Run, invalidations_of, without_cleared
 from tidemark.operators.upsert import table_scan_eq
+from tidemark.sources.marks import instant_literal
 
 BATCH = "_batch_id"
 COMMITS = (
@@ -37,6 +38,21 @@ CLEARS = "cube string, cleared_at timestamp_ntz"
 ERRORS = "source string, _row bigint, issue_no int, field string, message string, value string"
 
 
+def literal_row(spark: SparkSession, schema: str, values: Sequence[object]) -> DataFrame:
+    """A frame of one row, given as literals of the schema's types."""
+    columns = []
+    for declared, value in zip(schema.split(", "), values, strict=True):
+        name, dtype = declared.split(" ")
+        if isinstance(value, datetime):
+            literal = instant_literal(value)
+        elif isinstance(value, list):
+            literal = F.array(*[F.lit(v) for v in value])
+        else:
+            literal = F.lit(value)
+        columns.append(literal.cast(dtype).alias(name))
+    return spark.range(0, 1, 1, 1).select(*columns)
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
@@ -47,9 +63,8 @@ class Warehouse:
     def _state(self, name: str) -> str:
         return f"{self.base}/state/{name}"
 
-    def _append(self, name: str, schema: str, *rows: tuple) -> None:
-        frame = self.spark.createDataFrame(list(rows), schema)
-        frame.coalesce(1).write.mode("append").parquet(self._state(name))
+    def _append(self, name: str, schema: str, values: Sequence[object]) -> None:
+        literal_row(self.spark, schema, values).write.mode("append").parquet(self._state(name))
 
     def _read(self, path: str, schema: T.StructType | str) -> DataFrame:
         """A table that was never written reads as empty."""
@@ -83,11 +98,8 @@ class Warehouse:
         at: datetime,
     ) -> None:
         last = self.commits().agg(F.max("seq").alias("seq")).first()["seq"] or 0
-        self._append(
-            "commits",
-            COMMITS,
-            (last + 1, batch_id, table, source, watermark, inserted, updated, at),
-        )
+        row = (last + 1, batch_id, table, source, watermark, inserted, updated, at)
+        self._append("commits", COMMITS, row)
 
     def watermarks(self) -> DataFrame:
         """Mark and last run time per source, from the commits. A mark never moves back."""

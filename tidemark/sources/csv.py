@@ -32,6 +32,8 @@ def csv_scan(
         "multiLine": multi_line,
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
+        # A pruned parser does not count cells, so it would let ragged records pass.
+        "columnPruning": False,
     }
     if has_header:
         names = spark.read.options(**options).csv(path).columns

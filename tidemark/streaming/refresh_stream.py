@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans.config import Cube, Source
-from tidemark.plans.refresh import after_load, refresh_batch, utc_now
+from tidemark.plans.job import after_load, refresh_batch, utc_now
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources.csv import CORRUPT
 
@@ -29,7 +29,7 @@ def raw_stream(
     raw = (
         spark.readStream.schema(schema)
         .options(header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-        .options(maxFilesPerTrigger=files_per_batch, enforceSchema=False)
+        .options(maxFilesPerTrigger=files_per_batch, enforceSchema=False, columnPruning=False)
         .options(**options)
         .csv(path)
     )
