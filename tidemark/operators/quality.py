@@ -23,7 +23,7 @@ from tidemark.contracts import (
     raw_columns,
 )
 from tidemark.functions.naming import member_of
-from tidemark.operators.staging import HOT_ROWS, ROW, join_counted
+from tidemark.operators.staging import HOT_ROWS, ROW, hot_keys, join_hot_apart, write_staged
 
 ISSUES = "_issues"
 BAD = "_bad"
@@ -72,9 +72,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], row: str = ROW) -> DataFr
 def duplicate_rows(
     df: DataFrame, keys: Sequence[str], row: str = ROW, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """All rows but the first of every repeated key."""
-    repeated = duplicate_keys(df, keys, row)
-    found = join_counted(df, repeated, keys, "n", hot_rows)
+    """All rows but the first of every repeated key.
+
+    The repeated keys are counted and written out first. They are few or none in a sound
+    batch, and with their real size known the rows are mostly looked up where they lie.
+    """
+    repeated = write_staged(duplicate_keys(df, keys, row), name="repeated")
+    hot = hot_keys(repeated, keys, "n", hot_rows)
+    found = join_hot_apart(df, repeated, keys, hot)
     return found.filter(F.col(row) > F.col("first_row")).drop("first_row", "n")
 
 

@@ -13,8 +13,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.naming import any_of, matches, member_of, prefixed
-from tidemark.operators.staging import HOT_ROWS, first_per_key, join_counted
+from tidemark.functions.naming import any_of, matches, member_of
+from tidemark.operators.staging import HOT_ROWS, first_per_key, hot_keys, join_hot_apart
 from tidemark.sources.marks import instant_literal
 
 VALIDITY = ("valid_from", "valid_to", "is_current")
@@ -53,12 +53,15 @@ def compare_with_current(
     """
     if unique_keys:
         touched = member_of(current, incoming, keys, "left_semi", null_safe=False)
-        probed = incoming.join(_known(touched), matches(keys, OLD, null_safe=False), "left")
+        probed = incoming.join(
+            touched.select(*_old_columns(touched)), matches(keys, OLD, null_safe=False), "left"
+        )
     else:
         counted = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         touched = one_current_per_key(member_of(current, counted, keys, "left_semi"), keys)
-        lookup = counted.join(_known(touched), matches(keys, OLD), "left")
-        probed = join_counted(incoming, lookup, keys, "_n", hot_rows).drop("_n")
+        lookup = touched.select(*keys, *_old_columns(touched))
+        hot = hot_keys(counted, keys, "_n", hot_rows)
+        probed = join_hot_apart(incoming, lookup, keys, hot, "left")
     state = (
         F.when(F.col("_known").isNull(), F.lit("new"))
         .when(_changed(compare), F.lit("changed"))
@@ -67,8 +70,8 @@ def compare_with_current(
     return probed.withColumn("_change", state).drop("_known")
 
 
-def _known(touched: DataFrame) -> DataFrame:
-    return prefixed(touched, OLD).withColumn("_known", F.lit(True))
+def _old_columns(versions: DataFrame) -> list[Column]:
+    return [*[F.col(c).alias(OLD + c) for c in versions.columns], F.lit(True).alias("_known")]
 
 
 def _version(columns: Sequence[str], as_of: Column, closing: bool) -> list[Column]:
@@ -83,6 +86,19 @@ def _version(columns: Sequence[str], as_of: Column, closing: bool) -> list[Colum
     ]
 
 
+def _versions(current: DataFrame, incoming: DataFrame, as_of: datetime) -> tuple[Column, Column]:
+    """The version an incoming row starts and the one it ends, as structs with ``_op``."""
+    columns = current.columns
+    missing = [c for c in columns if c not in incoming.columns and c not in VALIDITY]
+    if missing:
+        raise ValueError(f"incoming rows lack {missing}")
+    moment = instant_literal(as_of)
+    return (
+        F.struct(F.lit(INSERT).alias("_op"), *_version(columns, moment, closing=False)),
+        F.struct(F.lit(CLOSE).alias("_op"), *_version(columns, moment, closing=True)),
+    )
+
+
 def scd2_delta(
     current: DataFrame,
     incoming: DataFrame,
@@ -93,14 +109,8 @@ def scd2_delta(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The versions a batch adds (``_op`` insert) and ends (``_op`` close)."""
-    moment = instant_literal(as_of)
-    columns = current.columns
-    missing = [c for c in columns if c not in incoming.columns and c not in VALIDITY]
-    if missing:
-        raise ValueError(f"incoming rows lack {missing}")
     probed = compare_with_current(current, incoming, keys, compare, unique_keys, hot_rows)
-    new_version = F.struct(F.lit(INSERT).alias("_op"), *_version(columns, moment, closing=False))
-    old_version = F.struct(F.lit(CLOSE).alias("_op"), *_version(columns, moment, closing=True))
+    new_version, old_version = _versions(current, incoming, as_of)
     touched = probed.filter(F.col("_change") != "same")
     if unique_keys:
         both = F.when(F.col("_change") == "changed", F.array(new_version, old_version))
@@ -147,12 +157,29 @@ def scd2_merge(
     unique_keys: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The whole dimension after the batch. Keys the batch lacks stay as they are."""
+    """The whole dimension after the batch. Keys the batch lacks stay as they are.
+
+    With unique keys one left join from the current versions to the batch tells the fate
+    of each of them, and a batch below the broadcast threshold leaves them in place.
+    """
     current = scd2_current(dimension)
-    delta = scd2_delta(current, incoming, keys, compare, as_of, unique_keys, hot_rows)
     closed = dimension.filter(~F.col("is_current"))
-    kept = still_open(current, delta, keys, unique_keys)
-    return closed.unionByName(kept).unionByName(delta.drop("_op"))
+    if not unique_keys:
+        delta = scd2_delta(current, incoming, keys, compare, as_of, hot_rows=hot_rows)
+        return closed.unionByName(still_open(current, delta, keys)).unionByName(delta.drop("_op"))
+    new_version, old_version = _versions(current, incoming, as_of)
+    old = current.select(*_old_columns(current))
+    met = old.join(incoming, matches(keys, OLD, null_safe=False), "left")
+    same_version = F.struct(
+        F.lit("keep").alias("_op"), *[F.col(OLD + c).alias(c) for c in current.columns]
+    )
+    ended = F.col(keys[0]).isNotNull() & _changed(compare)
+    fate = F.when(ended, F.array(old_version, new_version)).otherwise(F.array(same_version))
+    known = met.select(F.explode(fate).alias("_v")).select("_v.*")
+    touched = member_of(current.select(*keys), incoming, keys, "left_semi", null_safe=False)
+    unknown = member_of(incoming, touched, keys, "left_anti", null_safe=False)
+    added = unknown.select(new_version.alias("_v")).select("_v.*")
+    return closed.unionByName(known.drop("_op")).unionByName(added.drop("_op"))
 
 
 def scd2_as_of(dimension: DataFrame, moment: datetime) -> DataFrame:

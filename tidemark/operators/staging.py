@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.naming import matches, prefixed
+from tidemark.functions.naming import matches, member_of
 from tidemark.session import scratch_path
 
 POSITION = "_pos"
@@ -30,10 +30,11 @@ def write_staged(df: DataFrame, path: str | None = None, name: str = "batch") ->
 
 
 def _file_number() -> Column:
+    """Number of a file as Spark names it: ``part-<task>-<uuid>-c<chunk>.<codec>.parquet``."""
     name = F.col("_metadata.file_name")
-    part = F.regexp_extract(name, r"part-([0-9]+)", 1).cast("long")
-    chunk = F.regexp_extract(name, r"-c([0-9]+)", 1).cast("long")
-    return part * 1000 + chunk
+    task = F.split_part(name, F.lit("-"), F.lit(2)).cast("long")
+    chunk = F.substring(F.split_part(name, F.lit("-"), F.lit(-1)), 2, 3).cast("long")
+    return task * 1000 + chunk
 
 
 def with_position(staged: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def batch_row_ordinal(positioned: DataFrame) -> DataFrame:
         F.col("_file").alias("_o_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     row_index = F.col(POSITION).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    joined = located.join(offsets, F.col("_file") == F.col("_o_file"))
+    joined = located.join(offsets, F.col("_file") == F.col("_o_file"), "left")
     return joined.withColumn(ROW, F.col("_offset") + row_index).drop("_file", "_o_file", "_offset")
 
 
@@ -79,25 +80,32 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 HOT_ROWS = 1_000_000
 
 
-def join_counted(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    count_column: str,
-    hot_rows: int = HOT_ROWS,
+def hot_keys(counted: DataFrame, keys: Sequence[str], count_column: str, hot_rows: int) -> DataFrame | None:
+    """Keys with at least ``hot_rows`` rows, None when there are none. ``counted`` has one
+    row per key; the few hot ones are written out, so that no later plan counts again."""
+    found = write_staged(counted.filter(F.col(count_column) >= hot_rows).select(*keys), name="hot")
+    return None if found.isEmpty() else found
+
+
+def join_hot_apart(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame | None, how: str = "inner"
 ) -> DataFrame:
-    """Inner join of many rows per key with one lookup row per key (null keys match).
+    """Join many rows per key with at most one lookup row per key (null keys match).
 
-    ``count_column`` of the lookup says how many rows its key has. Keys with at least
-    ``hot_rows`` rows are joined where their rows lie, against a broadcast of just those
-    keys; the others are shuffled, and no partition can fill up with one key.
+    Rows of a hot key stay where they lie and meet a broadcast of the hot lookup rows;
+    the others are joined as Spark sees fit, and no partition fills up with one key.
     """
-    side = prefixed(lookup, "_l_")
-    matched = matches(keys, "_l_")
-    hot_keys = F.broadcast(side.filter(F.col("_l_" + count_column) >= hot_rows))
-    cold_keys = side.filter(F.col("_l_" + count_column) < hot_rows)
-    hot = rows.join(hot_keys, matched, "inner")
-    cold = rows.join(hot_keys.select(*["_l_" + k for k in keys]), matched, "left_anti")
-    return hot.unionByName(cold.join(cold_keys, matched, "inner")).select(
-        *rows.columns, *[F.col("_l_" + c).alias(c) for c in lookup.columns if c not in keys]
-    )
+    extra = [c for c in lookup.columns if c not in keys]
+    wanted = [*rows.columns, *extra]
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(k).alias("_l_" + k) for k in keys], *extra)
+
+    on_key = matches(keys, "_l_")
+    if hot is None:
+        return rows.join(named(lookup), on_key, how).select(*wanted)
+    listed = F.broadcast(hot)
+    hot_lookup = F.broadcast(named(member_of(lookup, listed, keys, "left_semi")))
+    apart = member_of(rows, listed, keys, "left_semi").join(hot_lookup, on_key, how)
+    others = member_of(rows, listed, keys, "left_anti").join(named(lookup), on_key, how)
+    return apart.select(*wanted).unionByName(others.select(*wanted))

@@ -19,7 +19,8 @@ def absent_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order:
     the batch is small, and then a huge target is scanned in place, never shuffled.
     """
     fresh = first_per_key(batch, keys, order)
-    known = member_of(target.select(*keys), fresh.select(*keys), keys, "left_semi").distinct()
+    asked = batch.select(*keys).distinct()
+    known = member_of(target.select(*keys), asked, keys, "left_semi").distinct()
     return member_of(fresh, known, keys, "left_anti")
 
 
