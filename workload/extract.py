@@ -136,11 +136,11 @@ def json_nested(spark, sf_dir):
 
 @query("json_landed_pages", f"WITH {EVENT_SALES_SQL} SELECT id, region, sale_date FROM sales")
 def json_landed(spark, sf_dir):
-    """Response files, each a top-level array over several lines, as one output task wrote it."""
+    """Response files of up to a thousand records, each a top-level array over many lines."""
     record = F.to_json(F.struct("id", "region", "sale_date"))
     lines = event_sales(spark, sf_dir).select("region", F.concat(record, F.lit(",")).alias("value"))
     path = scratch_path(spark, "pages")
-    lines.write.partitionBy("region").text(path)
+    lines.write.option("maxRecordsPerFile", 1000).partitionBy("region").text(path)
     pages = json_pages(spark, f"{path}/*/*")
     closed = F.concat(F.lit("["), F.regexp_replace("body", r",\s*$", ""), F.lit("]"))
     rows = json_path_rows(pages.select(closed.alias("body")), "body", None, ["id", "region", "sale_date"])
