@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.coerce import as_flag, as_instant, as_number, as_text
-from tidemark.functions.naming import any_of
 
 # Issue texts.
 INVALID_KEY = "Invalid input"
@@ -62,13 +61,14 @@ class Field:
     def spark_type(self) -> T.DataType:
         return SPARK_TYPES[self.kind]
 
-    def typed(self, raw: Column, dtype: T.DataType) -> Column:
-        value = CASTS[self.kind](raw, dtype)
+    def cast(self, raw: Column, dtype: T.DataType) -> Column:
+        return CASTS[self.kind](raw, dtype)
+
+    def filled(self, value: Column) -> Column:
         return value if self.default is None else F.coalesce(value, F.lit(self.default))
 
-    def issue(self, raw: Column, dtype: T.DataType) -> Column:
-        """Text of the first broken rule, NULL when the value is fine."""
-        value = CASTS[self.kind](raw, dtype)
+    def issue(self, raw: Column, value: Column) -> Column:
+        """Text of the first rule a raw value and its cast break, NULL when there is none."""
         if self.kind == "number":
             checks = [(value.isNull(), NOT_A_NUMBER), (F.isnan(value), NAN), (value <= 0, NOT_POSITIVE)]
         elif self.kind == "text":
@@ -137,13 +137,14 @@ def raw_columns(df: DataFrame, contract: Contract) -> dict[str, tuple[Column, T.
 def typed_projection(df: DataFrame, contract: Contract, keep: tuple[str, ...] = ()) -> DataFrame:
     """Contract columns in contract types; other columns are dropped unless kept by name."""
     raw = raw_columns(df, contract)
-    return df.select(*keep, *[f.typed(*raw[f.name]).alias(f.name) for f in contract.fields])
+    return df.select(*keep, *[f.filled(f.cast(*raw[f.name])).alias(f.name) for f in contract.fields])
 
 
 def field_issue(df: DataFrame, contract: Contract, name: str) -> Column:
     """Broken rule of one field of the contract, as a column over ``df``."""
     found = next(f for f in contract.fields if f.name == name)
-    return found.issue(*raw_columns(df, contract)[name])
+    raw, dtype = raw_columns(df, contract)[name]
+    return found.issue(raw, found.cast(raw, dtype))
 
 
 def missing_required(df: DataFrame, contract: Contract, name: str) -> Column:
@@ -151,10 +152,6 @@ def missing_required(df: DataFrame, contract: Contract, name: str) -> Column:
     return raw.isNull() | (raw == "") if isinstance(dtype, T.StringType) else raw.isNull()
 
 
-def any_issue(columns: list[Column]) -> Column:
-    return any_of([c.isNotNull() for c in columns])
-
-
 REGISTRY: dict[str, Contract] = {}
 
 

@@ -25,8 +25,8 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
         return c.cast("double")
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("double")
-    parsed = F.when(c.rlike(NUMBER_TEXT), c.try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    parsed = c.try_cast("double")
+    return F.when(c.rlike(NUMBER_TEXT) & (F.abs(parsed) < F.lit(float("inf"))), parsed)
 
 
 def as_instant(c: Column, dtype: T.DataType) -> Column:

@@ -1,8 +1,9 @@
 """Validation of a batch against a contract.
 
 Every function takes a frame of raw columns with a unique, ordered row column
-(``_row`` or ``_pos``). Rules that look at one row are evaluated in one pass; the
-unique rule counts per key and only then looks up the rows of keys seen twice.
+(``_row`` or ``_pos``). Rules that look at one row are evaluated in one pass, which
+leaves a narrow table of flags; the unique rule counts that table per key and only then
+looks up the rows of keys seen twice.
 """
 
 from __future__ import annotations
@@ -17,16 +18,15 @@ from tidemark.contracts import (
     DUPLICATE,
     REQUIRED_EMPTY,
     Contract,
-    any_issue,
-    field_issue,
     missing_required,
     raw_columns,
 )
-from tidemark.functions.naming import member_of
+from tidemark.functions.naming import any_of, member_of
 from tidemark.operators.staging import HOT_ROWS, ROW, hot_keys, join_hot_apart, write_staged
 
 ISSUES = "_issues"
 BAD = "_bad"
+TYPED = "_t_"
 
 
 def _issue(order: int, name: str, message: Column, value: Column) -> Column:
@@ -38,28 +38,40 @@ def _issue(order: int, name: str, message: Column, value: Column) -> Column:
     )
 
 
-def row_issues(df: DataFrame, contract: Contract) -> Column:
-    """Array of the issues a row has on its own, NULL for a clean row.
+def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
+    """Adds the cast of every field (``_t_`` columns), the bad flag, and for a bad row the
+    outcome of every rule as an array (NULL for a clean row; no message, no issue).
 
-    The texts are built for rows that broke a rule only; clean rows pay for the tests.
+    Casts, then messages, then the array: each step reads the columns of the one before,
+    so a value is parsed once however many rules look at it.
     """
     raw = raw_columns(df, contract)
-    found = []
-    for number, name in enumerate(contract.columns):
-        found.append((number, name, field_issue(df, contract, name)))
+    cast = df.withColumns({TYPED + f.name: f.cast(*raw[f.name]) for f in contract.fields})
+    messages = {
+        f"_m_{number}": (f.name, f.issue(raw[f.name][0], F.col(TYPED + f.name)))
+        for number, f in enumerate(contract.fields)
+    }
     for number, name in enumerate(contract.required, start=len(contract.fields)):
         empty = F.when(missing_required(df, contract, name), F.lit(REQUIRED_EMPTY))
-        found.append((number, name, empty))
-    every = F.array(*[_issue(number, name, message, raw[name][0]) for number, name, message in found])
-    broken = any_issue([message for _, _, message in found])
-    return F.when(broken, F.filter(every, lambda issue: issue["message"].isNotNull()))
+        messages[f"_m_{number}"] = (name, empty)
+    told = cast.withColumns({column: message for column, (_, message) in messages.items()})
+    every = F.array(
+        *[
+            _issue(number, name, F.col(column), raw[name][0])
+            for number, (column, (name, _)) in enumerate(messages.items())
+        ]
+    )
+    broken = any_of([F.col(column).isNotNull() for column in messages])
+    return told.withColumns({ISSUES: F.when(broken, every), BAD: broken}).drop(*messages)
+
 
+def flag_rows(df: DataFrame, contract: Contract, row: str = ROW) -> DataFrame:
+    """Row column, unique fields, issues and bad flag of a batch, written out.
 
-def flag_rows(df: DataFrame, contract: Contract, keep: Sequence[str] = (ROW,)) -> DataFrame:
-    """Row column, unique fields, issue array and bad flag: all that validation reads on."""
-    issues = row_issues(df, contract)
-    flagged = df.select(*keep, *contract.unique, issues.alias(ISSUES))
-    return flagged.withColumn(BAD, F.col(ISSUES).isNotNull())
+    All that follows reads this narrow table, and the batch itself is parsed once.
+    """
+    flagged = check_rows(df, contract).select(row, *contract.unique, ISSUES, BAD)
+    return write_staged(flagged, name="flags")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], row: str = ROW) -> DataFrame:
@@ -98,13 +110,13 @@ def validate_errors(
 ) -> DataFrame:
     """One row per issue: row column, ``issue_no`` (its place within the row), ``field``,
     ``message``, ``value``."""
-    return flagged_errors(flag_rows(df, contract, (row,)), contract, row, hot_rows)
+    return flagged_errors(flag_rows(df, contract, row), contract, row, hot_rows)
 
 
 def flagged_errors(
     flagged: DataFrame, contract: Contract, row: str = ROW, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    local = flagged.filter(BAD).select(row, F.explode(ISSUES).alias("issue"))
+    local = flagged.filter(BAD).select(row, F.explode(ISSUES).alias("issue")).filter("issue.message IS NOT NULL")
     frames = [local] + [f.select(row, "issue") for f in _unique_issues(flagged, contract, row, hot_rows)]
     return reduce(DataFrame.unionByName, frames).select(row, "issue.*")
 
@@ -113,7 +125,7 @@ def validate_counts(
     df: DataFrame, contract: Contract, row: str = ROW, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row: ``rows_processed``, ``rows_passed``, ``rows_failed``, ``valid``."""
-    return flagged_counts(flag_rows(df, contract, (row,)), contract, row, hot_rows)
+    return flagged_counts(flag_rows(df, contract, row), contract, row, hot_rows)
 
 
 def flagged_counts(

@@ -12,17 +12,18 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidemark.contracts import Contract, contract_named, typed_projection
+from tidemark.contracts import Contract, contract_named
 from tidemark.operators.cubes import DimensionJoin, build_cube
 from tidemark.operators.quality import (
     BAD,
     ISSUES,
+    TYPED,
+    check_rows,
     duplicate_keys,
     error_report,
     flagged_counts,
     flagged_errors,
     report_header,
-    row_issues,
 )
 from tidemark.operators.staging import POSITION, ROW, batch_row_ordinal, with_position, write_staged
 from tidemark.operators.state import Run
@@ -55,12 +56,14 @@ def stage_batch(raw: DataFrame, contract: Contract, watermark_column: str | None
     """
     mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
     corrupt = F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string")
-    checked = raw.withColumns(
-        {ISSUES: row_issues(raw, contract), _MARK: mark, CORRUPT: corrupt}
+    staged = check_rows(raw, contract).select(
+        *[f.filled(F.col(TYPED + f.name)).alias(f.name) for f in contract.fields],
+        ISSUES,
+        BAD,
+        mark.alias(_MARK),
+        corrupt.alias(CORRUPT),
     )
-    staged = typed_projection(checked, contract, keep=(ISSUES, _MARK, CORRUPT))
-    flags = staged.withColumn(BAD, F.col(ISSUES).isNotNull())
-    return with_position(write_staged(flags, path=path))
+    return with_position(write_staged(staged, path=path))
 
 
 def _batch_facts(staged: DataFrame) -> Row:

@@ -181,21 +181,22 @@ EVENT_SALES_SQL = """
 sales AS (
   SELECT CAST(event_id AS VARCHAR) AS id, json_extract_string(props, '$.k') AS product_id,
          CAST(user_id AS VARCHAR) AS customer_id,
-         CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity, value AS amount,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity,
+         greatest(value, CAST(0.01 AS DOUBLE)) AS amount,
          ts AS sale_date, event_type AS region
   FROM events)
 """
 
 
 def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales in text form, as a file or a service would deliver them."""
+    """Sales in text form, as a file or a service would deliver them; a cent at the least."""
     product = F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("id"),
         product.alias("product_id"),
         F.col("user_id").cast("string").alias("customer_id"),
         (product.cast("int") + 1).cast("string").alias("quantity"),
-        F.col("value").cast("string").alias("amount"),
+        F.greatest("value", F.lit(0.01)).cast("string").alias("amount"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sale_date"),
         F.col("event_type").alias("region"),
     )
