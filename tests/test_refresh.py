@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +244,76 @@ def test_job_from_config(warehouse, tmp_path):
     )
     assert refresh(warehouse, job).first()["rows_inserted"] == 10
     assert job.sources[1].options["url"] == "jdbc:postgresql://h:5432/d"
+
+
+def test_a_cleared_table_is_empty_until_it_is_loaded_again(warehouse, tmp_path):
+    path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
+    refresh(warehouse, sales_job(path))
+    warehouse.clear("sales", day(1, 3))
+    assert warehouse.facts("sales").count() == 0
+    assert warehouse.watermark("sales_csv") == day(24)
+    assert warehouse.stats().count() == 0
+    refresh(warehouse, sales_job(path), since=day(22))
+    assert warehouse.facts("sales").count() == 2
+    assert [tuple(r) for r in warehouse.stats().collect()] == [("fact_sales", 2)]
+
+
+def test_listeners_see_each_invalidation_once(warehouse, tmp_path):
+    seen = []
+
+    def listen():
+        stream = warehouse.invalidation_stream().writeStream.trigger(availableNow=True)
+        stream.option("checkpointLocation", str(tmp_path / "listener")).foreachBatch(
+            lambda rows, _: seen.extend(r["reason"] for r in rows.collect())
+        ).start().awaitTermination()
+
+    warehouse.invalidate("sales", ["a"], day(1), "first")
+    listen()
+    warehouse.invalidate("sales", ["a"], day(2), "second")
+    listen()
+    assert seen == ["first", "second"]
+
+
+def test_a_source_of_two_cubes_is_loaded_once(warehouse, tmp_path):
+    path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
+    job = sales_job(path)
+    both = Job(job.sources, (*job.cubes, Cube("again", ("sales_csv",), measures=("amount",))))
+    runs = {r["cube"]: r for r in refresh(warehouse, both, since=day(20)).collect()}
+    assert (runs["sales"]["rows_inserted"], runs["again"]["rows_inserted"]) == (4, 0)
+    assert warehouse.facts("sales").count() == 4
+    assert warehouse.cube("again").filter("region IS NULL").first()["row_count"] == 4
+    assert warehouse.invalidations("again").count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    good = write_csv(tmp_path / "good.csv", SALES_HEADER, SALES)
+    bad = write_csv(tmp_path / "bad.csv", SALES_HEADER, SALES_INVALID)
+
+    def source(name, path):
+        connection = {"filePath": path, "hasHeader": True}
+        return {"name": name, "type": "csv", "connection": connection, "schema": "sales", "watermarkColumn": "sale_date"}
+
+    def cube(name, *sources):
+        return {"name": name, "factTable": "fact_sales", "dimensions": [], "measures": ["amount"], "sources": list(sources)}
+
+    config = tmp_path / "etl-config.json"
+    config.write_text(
+        json.dumps(
+            {
+                "sources": [source("good", good), source("bad", bad)],
+                "target": {"type": "memory"},
+                "cubes": [cube("sales", "good"), cube("broken", "bad")],
+            }
+        )
+    )
+    common = ["run", "--config", str(config), "--warehouse", str(tmp_path / "cli")]
+    assert main([*common, "--cube", "sales", "--since", "2024-01-20T00:00:00Z"]) == 0
+    out = capsys.readouterr().out
+    assert "good" in out and "fact_sales" in out and "4" in out
+    assert main([*common, "--cube", "broken"]) == 1
+    assert "3 rows failed, 1 rows passed" in capsys.readouterr().out
+    assert main([*common, "--since", "yesterday"]) == 1
+    assert "Invalid date format" in capsys.readouterr().err
+    assert main([*common, "--cube", "nope"]) == 1

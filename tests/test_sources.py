@@ -21,6 +21,7 @@ from tidemark.sources import (
     read_source,
     register_source,
 )
+from tidemark.sources.rest import request_headers, rest_pages, url_since
 from tidemark.sources.jdbc import JdbcSplit, jdbc_options
 
 
@@ -155,9 +156,34 @@ def test_custom_and_unknown_kinds(spark):
     contract = Contract("numbers", "fact", (Field("id", "key"),))
 
     @register_source("numbers")
-    def numbers(session, options, _):
+    def numbers(session, options, *_):
         return session.range(options["n"])
 
     assert read_source(spark, "numbers", {"n": 3}, contract).count() == 3
     with pytest.raises(ValueError, match="Unknown connector type"):
         read_source(spark, "smoke signals", {}, contract)
+
+
+def test_request_headers():
+    assert request_headers() == {"Content-Type": "application/json"}
+    assert request_headers({"Accept": "x"}, {"type": "bearer", "token": "t"})["Authorization"] == "Bearer t"
+    basic = request_headers(None, {"type": "basic", "username": "u", "password": "p"})
+    assert basic["Authorization"] == "Basic dTpw"
+    assert "Authorization" not in request_headers(None, {"type": "basic", "username": "u"})
+
+
+def test_mark_as_a_query_parameter():
+    assert url_since("https://x.test/a", "sale_date", day(20)) == "https://x.test/a?sale_date=2024-01-20T00%3A00%3A00.000Z"
+    later = url_since("https://x.test/a?page=1", "at", datetime(2024, 1, 20, 2, tzinfo=timezone(timedelta(hours=2))))
+    assert later == "https://x.test/a?page=1&at=2024-01-20T00%3A00%3A00.000Z"
+
+
+def test_responses_are_fetched_by_tasks(spark, tmp_path):
+    for number in (1, 2):
+        (tmp_path / f"{number}.json").write_text(json.dumps({"data": [{"id": number}, {"id": number * 10}]}))
+    urls = [f"file://{tmp_path}/{n}.json" for n in (1, 2)]
+    assert rest_pages(spark, urls).rdd.getNumPartitions() == 2
+    raw = read_source(spark, "rest", {"urls": urls, "data_path": "data"}, SALES)
+    assert sorted(int(r["id"]) for r in raw.collect()) == [1, 2, 10, 20]
+    with pytest.raises(Exception, match="(?i)no such file|urlopen"):
+        rest_pages(spark, [f"file://{tmp_path}/3.json"]).collect()

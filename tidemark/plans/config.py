@@ -70,13 +70,11 @@ def _postgres_options(c: Mapping) -> dict:
 
 
 def _rest_options(c: Mapping) -> dict:
-    """A response is read from where it was landed; fetching it is no Spark work."""
-    if "landedPath" not in c:
-        raise ValueError("a rest source needs landedPath, the folder of its landed responses")
-    return {"path": c["landedPath"], "data_path": c.get("dataPath")}
+    options = {k: c[k] for k in ("method", "headers", "auth") if c.get(k)}
+    return {"urls": [c["url"]], "data_path": c.get("dataPath"), **options}
 
 
-KINDS = {"csv": ("csv", _csv_options), "postgres": ("jdbc", _postgres_options), "rest": ("json", _rest_options)}
+KINDS = {"csv": ("csv", _csv_options), "postgres": ("jdbc", _postgres_options), "rest": ("rest", _rest_options)}
 
 
 def job_from_config(config: Mapping) -> Job:

@@ -99,20 +99,24 @@ def refresh_batch(
     raw: DataFrame,
     run_id: str,
     batch_id: str,
-    since: datetime | None = None,
+    mark: datetime | None = None,
     as_of: datetime | None = None,
 ) -> Run:
-    """Take one batch of raw rows through the whole pipeline; returns its run record."""
+    """Take one batch of raw rows through the whole pipeline; returns its run record.
+
+    Only rows past ``mark`` count, or past the stored mark when none is given.
+    """
     started = utc_now()
     contract = contract_named(source.schema)
     scratch = f"{warehouse.base}/stage/{batch_id}"
 
-    def record(status: str, processed=0, inserted=0, updated=0, mark=None, errors=None) -> Run:
+    def record(status: str, processed=0, inserted=0, updated=0, reached=None, errors=None) -> Run:
         return Run(
-            run_id, cube, source.name, started, utc_now(), processed, inserted, updated, mark, status, errors
+            run_id, cube, source.name, started, utc_now(), processed, inserted, updated, reached, status, errors
         )
 
-    mark = effective_mark(since, warehouse.watermark(source.name))
+    if mark is None:
+        mark = warehouse.watermark(source.name)
     batch = incremental_filter(raw, source.watermark_column, mark)
     staged = stage_batch(batch, contract, source.watermark_column, f"{scratch}/rows")
     facts = _batch_facts(staged)
@@ -169,9 +173,12 @@ def _refresh_source(
 ) -> Run:
     started = utc_now()
     try:
-        raw = read_source(warehouse.spark, source.kind, dict(source.options), contract_named(source.schema))
+        contract = contract_named(source.schema)
+        mark = effective_mark(since, warehouse.watermark(source.name))
+        past = (source.watermark_column, mark) if source.watermark_column and mark else None
+        raw = read_source(warehouse.spark, source.kind, dict(source.options), contract, past)
         batch_id = f"{source.name}-{uuid.uuid4().hex}"
-        return refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, since, as_of)
+        return refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, mark, as_of)
     except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
         return Run(run_id, cube.name, source.name, started, utc_now(), 0, 0, 0, None, "failed", [str(error)])
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ from tidemark.operators.upsert import table_scan_eq
 from tidemark.sources.marks import instant_literal
 
 BATCH = "_batch_id"
+CLEARED = "cleared"
 COMMITS = (
     "seq bigint, batch_id string, table_name string, source string, watermark timestamp_ntz, "
     "rows_inserted bigint, rows_updated bigint, committed_at timestamp_ntz"
@@ -81,8 +82,10 @@ class Warehouse:
         return self._read(self._state("commits"), COMMITS)
 
     def commits_of(self, table: str) -> list[Row]:
-        """Commits of one table, oldest first: one small row per batch."""
-        return self.commits().filter(F.col("table_name") == table).orderBy("seq").collect()
+        """Commits of one table since it was last cleared, oldest first: a small row each."""
+        rows = self.commits().filter(F.col("table_name") == table).orderBy("seq").collect()
+        cleared = [i for i, row in enumerate(rows) if row["batch_id"] == CLEARED]
+        return rows[cleared[-1] + 1 :] if cleared else rows
 
     def is_committed(self, batch_id: str) -> bool:
         return not self.commits().filter(F.col("batch_id") == batch_id).isEmpty()
@@ -206,6 +209,10 @@ class Warehouse:
         events = self._read(self._state("invalidations"), INVALIDATIONS)
         return invalidations_of(without_cleared(events, self._read(self._state("clears"), CLEARS)), cube)
 
+    def invalidation_stream(self) -> DataFrame:
+        """Invalidations as they come, for a listener's ``foreachBatch``."""
+        return self.spark.readStream.schema(INVALIDATIONS).parquet(self._state("invalidations"))
+
     def clear_invalidations(self, at: datetime, cube: str | None = None) -> None:
         """Hide the events so far, of one cube or of all."""
         open_cubes = self.invalidations(cube).select("cube").distinct()
@@ -229,5 +236,11 @@ class Warehouse:
     def stats(self) -> DataFrame:
         """Rows per stored table, from the commits: no table is scanned. Every version of a
         dimension was inserted once, so inserts count its rows as well."""
-        loaded = self.commits().filter(F.col("source").isNotNull())
-        return loaded.groupBy("table_name").agg(F.sum("rows_inserted").alias("row_count"))
+        loaded = self.commits().filter(~F.col("table_name").startswith("cube_"))
+        cleared = F.max(F.when(F.col("batch_id") == CLEARED, F.col("seq"))).over(Window.partitionBy("table_name"))
+        kept = loaded.withColumn("_cleared", cleared).filter("_cleared IS NULL OR seq > _cleared")
+        return kept.groupBy("table_name").agg(F.sum("rows_inserted").alias("row_count"))
+
+    def clear(self, schema: str, at: datetime) -> None:
+        """Empty a table for its readers; marks stay, and files go when they are cleaned up."""
+        self.commit(CLEARED, contract_named(schema).table, None, None, 0, 0, at)

@@ -9,6 +9,7 @@ from tidemark.sources.marks import (
     order_by_watermark,
 )
 from tidemark.sources.registry import read_source, register_source
+from tidemark.sources.rest import rest_pages
 
 __all__ = [
     "batch_high_water_mark",
@@ -23,4 +24,5 @@ __all__ = [
     "order_by_watermark",
     "read_source",
     "register_source",
+    "rest_pages",
 ]

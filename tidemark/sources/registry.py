@@ -1,8 +1,10 @@
-"""Source kinds by name: ``(spark, options) -> DataFrame`` of raw columns."""
+"""Source kinds by name. A reader gives the raw columns of a source; the mark it is told
+about may spare it work, the rows are filtered by it afterwards in any case."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +12,10 @@ from tidemark.contracts import Contract
 from tidemark.sources.csv import csv_scan
 from tidemark.sources.jdbc import jdbc_scan
 from tidemark.sources.json import json_pages, json_path_rows
+from tidemark.sources.rest import rest_pages
 
-Reader = Callable[[SparkSession, dict, Contract], DataFrame]
+Since = tuple[str, datetime] | None
+Reader = Callable[[SparkSession, dict, Contract, Since], DataFrame]
 READERS: dict[str, Reader] = {}
 
 
@@ -23,30 +27,39 @@ def register_source(kind: str) -> Callable[[Reader], Reader]:
     return add
 
 
-def read_source(spark: SparkSession, kind: str, options: dict, contract: Contract) -> DataFrame:
+def read_source(
+    spark: SparkSession, kind: str, options: dict, contract: Contract, since: Since = None
+) -> DataFrame:
     if kind not in READERS:
         raise ValueError(f"Unknown connector type: {kind}")
-    return READERS[kind](spark, options, contract)
+    return READERS[kind](spark, options, contract, since)
 
 
 @register_source("csv")
-def _csv(spark: SparkSession, options: dict, contract: Contract) -> DataFrame:
+def _csv(spark: SparkSession, options: dict, contract: Contract, since: Since) -> DataFrame:
     return csv_scan(spark, **{"columns": contract.columns, **options})
 
 
 @register_source("jdbc")
-def _jdbc(spark: SparkSession, options: dict, contract: Contract) -> DataFrame:
+def _jdbc(spark: SparkSession, options: dict, contract: Contract, since: Since) -> DataFrame:
     return jdbc_scan(spark, **options)
 
 
 @register_source("json")
-def _json(spark: SparkSession, options: dict, contract: Contract) -> DataFrame:
+def _json(spark: SparkSession, options: dict, contract: Contract, since: Since) -> DataFrame:
+    """Landed responses."""
     pages = json_pages(spark, options["path"])
-    return json_path_rows(
-        pages, "body", options.get("data_path"), contract.columns, report_corrupt=True
-    )
+    return json_path_rows(pages, "body", options.get("data_path"), contract.columns, report_corrupt=True)
+
+
+@register_source("rest")
+def _rest(spark: SparkSession, options: dict, contract: Contract, since: Since) -> DataFrame:
+    """Responses fetched now."""
+    request = {k: v for k, v in options.items() if k != "data_path"}
+    pages = rest_pages(spark, since=since, **request)
+    return json_path_rows(pages, "body", options.get("data_path"), contract.columns, report_corrupt=True)
 
 
 @register_source("parquet")
-def _parquet(spark: SparkSession, options: dict, contract: Contract) -> DataFrame:
+def _parquet(spark: SparkSession, options: dict, contract: Contract, since: Since) -> DataFrame:
     return spark.read.parquet(options["path"])

@@ -246,7 +246,7 @@ def absent(spark, sf_dir):
 
 
 @register_source("event_log")
-def _event_log(spark, options, contract):
+def _event_log(spark, options, contract, since):
     """A source kind of its own: the event log in the columns of a contract."""
     return event_sales(spark, options["sf_dir"]).select(*[c for c in contract.columns if c != "updated_at"])
 

@@ -149,8 +149,8 @@ def one_batch(spark, sf_dir):
     """One batch straight from a table, past an explicit mark; the stored facts are read back."""
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     source = Source("sales", "table", "sales", {}, "sale_date")
-    since = datetime.fromisoformat(MIDDLE)
-    refresh_batch(warehouse, "sales", source, event_sales(spark, sf_dir), "run", "batch", since=since, as_of=FIRST)
+    mark = datetime.fromisoformat(MIDDLE)
+    refresh_batch(warehouse, "sales", source, event_sales(spark, sf_dir), "run", "batch", mark=mark, as_of=FIRST)
     return warehouse.facts("sales").drop("updated_at")
 
 
