@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tests.fixtures import SALES, SALES_HEADER, SALES_INVALID, SALES_LATER, day, write_csv
-from tidemark.plans import Cube, Source, Warehouse
+from tidemark.plans import Cube, Source, Warehouse, rebuild_stale
 from tidemark.streaming import raw_stream, refresh_stream
 
 CUBE = Cube("sales", ("sales",), measures=("quantity", "amount"))
@@ -33,7 +33,10 @@ def test_new_files_are_loaded_once(spark, folders):
     assert warehouse.facts("sales").count() == 13
     assert warehouse.watermark("sales") == day(27)
     assert [r["rows_processed"] for r in warehouse.runs().orderBy("run_id").collect()] == [10, 3]
+    assert warehouse.cube("sales") is None
+    assert rebuild_stale(warehouse, [CUBE]) == ["sales"]
     assert warehouse.cube("sales").filter("region IS NULL").first()["row_count"] == 13
+    assert rebuild_stale(warehouse, [CUBE]) == []
 
 
 def test_a_failed_batch_blocks_until_it_is_fixed(spark, folders):

@@ -15,26 +15,17 @@ from tidemark.plans import Warehouse, job_from_config, refresh
 
 
 def parse_since(text: str | None) -> datetime | None:
-    if text is None:
-        return None
     try:
-        return datetime.fromisoformat(text)
+        return datetime.fromisoformat(text) if text else None
     except ValueError:
-        raise ValueError("Invalid date format. Use ISO format (e.g., 2024-01-01T00:00:00Z)") from None
+        raise ValueError(f"--since takes an ISO date such as 2024-01-01T00:00:00Z, not {text!r}") from None
 
 
 def show(runs: DataFrame) -> bool:
-    """Print the run records; tells whether all of them succeeded. One row per source."""
+    """Print the run records, one JSON line per source; tells whether all succeeded."""
     rows = run_duration(runs).orderBy("start_time").collect()
     for run in rows:
-        print(f"\nCube: {run['cube']}, Source: {run['source']}")
-        print(f"  Status: {run['status']}")
-        print(f"  Processed: {run['rows_processed']} rows")
-        print(f"  Inserted: {run['rows_inserted']} rows")
-        print(f"  Updated: {run['rows_updated']} rows")
-        print(f"  Duration: {run['duration_ms']}ms")
-        for line in run["errors"] or []:
-            print(f"  {line}")
+        print(json.dumps(run.asDict(), default=str))
     return all(run["status"] != "failed" for run in rows)
 
 
@@ -55,12 +46,10 @@ def main(arguments: list[str] | None = None) -> int:
         warehouse = Warehouse(spark, given.warehouse)
         runs = refresh(warehouse, job, given.cube, since)
         succeeded = show(runs)
-        print("\nSummary:", json.dumps(run_summary(runs).first().asDict()))
-        if given.cube:
-            for row in warehouse.stats().orderBy("table_name").collect():
-                print(f"  {row['table_name']}: {row['row_count']} rows")
+        print(json.dumps({"summary": run_summary(runs).first().asDict()}))
+        print(json.dumps({"tables": {r["table_name"]: r["row_count"] for r in warehouse.stats().collect()}}))
     except Exception as error:  # noqa: BLE001 - a command reports and sets its exit code
-        print(f"Error: {error}", file=sys.stderr)
+        print(f"refresh failed: {error}", file=sys.stderr)
         return 1
     return 0 if succeeded else 1
 

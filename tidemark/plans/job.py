@@ -104,7 +104,7 @@ def refresh_batch(
 ) -> Run:
     """Take one batch of raw rows through the whole pipeline; returns its run record.
 
-    Only rows past ``mark`` count, or past the stored mark when none is given.
+    Only rows past ``mark`` count, all rows when there is none.
     """
     started = utc_now()
     contract = contract_named(source.schema)
@@ -115,10 +115,11 @@ def refresh_batch(
             run_id, cube, source.name, started, utc_now(), processed, inserted, updated, reached, status, errors
         )
 
-    if mark is None:
-        mark = warehouse.watermark(source.name)
     batch = incremental_filter(raw, source.watermark_column, mark)
-    staged = stage_batch(batch, contract, source.watermark_column, f"{scratch}/rows")
+    # A plain fact batch is staged where it will stay: nobody reads it before its commit.
+    in_place = contract.role == "fact" and not source.insert_if_absent
+    path = warehouse.fact_batch_path(contract, batch_id) if in_place else f"{scratch}/rows"
+    staged = stage_batch(batch, contract, source.watermark_column, path)
     facts = _batch_facts(staged)
     if facts["corrupt"]:
         raise MalformedBatch(f"{facts['corrupt']} malformed records in source {source.name}")
@@ -128,27 +129,22 @@ def refresh_batch(
         lines = _reject(warehouse, source, contract, staged, batch_id)
         return record("failed", processed=facts["rows"], errors=lines)
 
-    moment = as_of or started
+    inserted, updated = facts["rows"], 0
     clean = staged.select(*contract.columns, POSITION)
     if contract.role == "dimension":
         inserted, updated = warehouse.merge_dimension(
-            contract, clean.drop(POSITION), batch_id, moment, scratch
+            contract, clean.drop(POSITION), batch_id, as_of or started, scratch
         )
-    else:
-        updated = 0
-        inserted = facts["rows"]
-        if source.insert_if_absent:
-            stored = warehouse.facts(contract.name)
-            clean = write_staged(
-                absent_rows(stored, clean, contract.key, [F.col(POSITION)]), path=f"{scratch}/absent"
-            )
-            inserted = clean.count()
-        warehouse.append_facts(contract, clean.drop(POSITION), batch_id, source.watermark_column)
-    warehouse.commit(batch_id, contract.table, source.name, facts["mark"], inserted, updated, moment)
+    elif not in_place:
+        fresh = absent_rows(warehouse.facts(contract.name), clean, contract.key, [F.col(POSITION)])
+        warehouse.append_facts(contract, fresh.drop(POSITION), batch_id, source.watermark_column)
+        inserted = warehouse.fact_batch(contract, batch_id).count()
+    warehouse.commit(batch_id, contract.table, source.name, facts["mark"], inserted, updated, utc_now())
     return record("success", facts["rows"], inserted, updated, facts["mark"])
 
 
-def rebuild_cube(warehouse: Warehouse, cube: Cube, batch_id: str, at: datetime) -> None:
+def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
+    """Aggregate the facts anew over the current versions of the dimensions."""
     if not cube.measures or not cube.by:
         return
     dimensions = []
@@ -157,15 +153,23 @@ def rebuild_cube(warehouse: Warehouse, cube: Cube, batch_id: str, at: datetime)
         key = contract.key[0]
         dimensions.append(DimensionJoin(warehouse.current(name), key, key, cube.attributes_of(name)))
     built = build_cube(warehouse.facts(cube.fact), dimensions, cube.by, cube.measures)
-    warehouse.write_cube(cube.name, built, batch_id, at)
+    warehouse.write_cube(cube.name, built, f"{cube.name}-{uuid.uuid4().hex}", utc_now())
 
 
-def after_load(warehouse: Warehouse, cube: Cube, runs: Iterable[Run], at: datetime) -> None:
-    """Invalidate and rebuild a cube if some source of it brought rows."""
+def invalidate_loaded(warehouse: Warehouse, cube: Cube, runs: Iterable[Run]) -> bool:
+    """Mark a cube as out of date if some source of it brought rows."""
     loaded = [r.source for r in runs if r.source in cube.sources and (r.rows_inserted or r.rows_updated)]
     if loaded:
-        warehouse.invalidate(cube.name, loaded, at, "ETL refresh completed")
-        rebuild_cube(warehouse, cube, f"{cube.name}-{uuid.uuid4().hex}", at)
+        warehouse.invalidate(cube.name, loaded, utc_now(), "ETL refresh completed")
+    return bool(loaded)
+
+
+def rebuild_stale(warehouse: Warehouse, cubes: Iterable[Cube]) -> list[str]:
+    """Rebuild the cubes that were invalidated after they were last built."""
+    stale = [cube for cube in cubes if warehouse.is_stale(cube.name)]
+    for cube in stale:
+        rebuild_cube(warehouse, cube)
+    return [cube.name for cube in stale]
 
 
 def _refresh_source(
@@ -207,5 +211,6 @@ def refresh(
             else:
                 run = done[source.name] = _refresh_source(warehouse, cube, source, run_id, since, as_of)
             warehouse.log_run(run)
-        after_load(warehouse, cube, done.values(), as_of or utc_now())
+        if invalidate_loaded(warehouse, cube, done.values()):
+            rebuild_cube(warehouse, cube)
     return warehouse.runs().filter(F.col("run_id") == run_id)

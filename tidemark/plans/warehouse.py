@@ -7,10 +7,11 @@
     errors/_batch_id=<id>/               issues of a rejected batch
     state/{commits,runs,invalidations,clears}/
 
-A batch is written under its own id, where no reader looks, and then one row is added
-to ``commits``. That row makes the data visible and moves the source's mark in a single
-step, so a job lost half way leaves nothing behind that counts. Nothing that is being
-read is ever overwritten. One writer per table at a time is assumed.
+A batch is written under its own id, checked there, and then one row is added to
+``commits``. Readers look at committed ids only, so that row makes the data visible and
+moves the source's mark in a single step: a batch that fails its checks or a job lost
+half way leaves nothing behind that counts, and facts are written just once. Nothing
+that is being read is ever overwritten. One writer per table at a time is assumed.
 """
 
 from __future__ import annotations
@@ -138,6 +139,13 @@ class Warehouse:
             df = df.sortWithinPartitions(sort)
         df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
+    def fact_batch_path(self, contract: Contract, batch_id: str) -> str:
+        return f"{self._fact_path(contract.table)}/{BATCH}={batch_id}"
+
+    def fact_batch(self, contract: Contract, batch_id: str) -> DataFrame:
+        """Rows of one batch, committed or not."""
+        return self.spark.read.schema(contract.schema).parquet(self.fact_batch_path(contract, batch_id))
+
     def append_facts(self, contract: Contract, df: DataFrame, batch_id: str, sort: str | None) -> None:
         self.write_batch(self._fact_path(contract.table), df, batch_id, sort)
 
@@ -231,6 +239,14 @@ class Warehouse:
             return None
         return self.spark.read.parquet(f"{self.base}/cubes/{name}/{commits[-1]['batch_id']}")
 
+    def is_stale(self, name: str) -> bool:
+        """Whether the cube was invalidated after it was last built, or never built."""
+        built = self.commits_of(f"cube_{name}")
+        events = self.invalidations(name)
+        if built:
+            events = events.filter(F.col("event_time") > instant_literal(built[-1]["committed_at"]))
+        return not events.isEmpty()
+
     # -- statistics -------------------------------------------------------------
 
     def stats(self) -> DataFrame:

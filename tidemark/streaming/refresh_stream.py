@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans.config import Cube, Source
-from tidemark.plans.job import after_load, refresh_batch, utc_now
+from tidemark.plans.job import invalidate_loaded, refresh_batch
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources.csv import CORRUPT
 
@@ -50,17 +50,19 @@ def refresh_stream(
 
     The batch id comes from the epoch, so a micro-batch that is run again after a loss
     either replaces its own unfinished folder or finds itself committed and does nothing.
+    A batch invalidates the cube; :func:`rebuild_stale` rebuilds it once for all of them.
     """
 
     def load(batch: DataFrame, epoch: int) -> None:
         batch_id = f"{source.name}-e{epoch}"
         if warehouse.is_committed(batch_id):
             return
-        run = refresh_batch(warehouse, cube.name, source, batch, batch_id, batch_id, as_of=as_of)
+        mark = warehouse.watermark(source.name)
+        run = refresh_batch(warehouse, cube.name, source, batch, batch_id, batch_id, mark, as_of)
         warehouse.log_run(run)
         if run.status == "failed":
             raise FailedBatch("\n".join(run.errors or []))
-        after_load(warehouse, cube, [run], as_of or utc_now())
+        invalidate_loaded(warehouse, cube, [run])
 
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
     return (
