@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.contracts import CUSTOMER, SALES, Contract, Field, field_issue, missing_required, typed_projection
+from tidemark.contracts import (
+    CUSTOMER,
+    SALES,
+    Contract,
+    Field,
+    contract_named,
+    field_issue,
+    missing_required,
+    register_contract,
+    typed_projection,
+)
 from tidemark.operators.quality import (
     duplicate_keys,
     duplicate_rows,
@@ -198,6 +208,32 @@ def report(spark, sf_dir):
     return error_report(validate_errors(order_feed(spark, sf_dir), SALES))
 
 
+SUPPLIER = register_contract(
+    Contract(
+        "supplier",
+        "dimension",
+        (Field("s_suppkey", "key"), Field("s_name", "text"), Field("s_acctbal", "number")),
+        required=("s_suppkey", "s_name"),
+        unique=("s_name",),
+        key=("s_suppkey",),
+        compare=("s_name", "s_acctbal"),
+    )
+)
+
+
+@query(
+    "custom_contract",
+    """SELECT s_suppkey, 2 AS issue_no, 's_acctbal' AS field, 'Number must be greater than 0' AS message,
+       CAST(CAST(s_acctbal AS DECIMAL(18,2)) - 5000 AS VARCHAR) AS value
+FROM supplier WHERE s_acctbal <= 5000""",
+)
+def custom_contract(spark, sf_dir):
+    """A contract of the user's own, over typed columns: a balance less a reserve of 5000."""
+    spare = F.col("s_acctbal").cast("decimal(18,2)") - 5000
+    supplier = table(spark, sf_dir, "supplier").withColumn("s_acctbal", spare)
+    return validate_errors(supplier, contract_named("supplier"), row="s_suppkey")
+
+
 @query(
     "batch_row_ordinal",
     "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row FROM orders",
