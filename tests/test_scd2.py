@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import day
+from tidemark.contracts import PRODUCT, typed_projection
 from tidemark.operators import scd2
+from tidemark.plans import Warehouse
 
 COLUMNS = "product_id string, name string, price double"
 DIMENSION = COLUMNS + ", valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean"
@@ -154,3 +156,33 @@ def test_as_of_join_matches_a_scan_of_all_versions(spark, slot):
         expected.append((i, hits[0] if hits else None))
         assert len(hits) <= 1
     assert sorted((r["i"], r["label"]) for r in joined.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 100.0])
+def test_a_stored_dimension_equals_the_merged_frame(spark, tmp_path, monkeypatch, share):
+    """Whatever the base is rewritten for, readers see the same versions."""
+    monkeypatch.setattr("tidemark.plans.dimension.REBASE_SHARE", share)
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
+    rng = random.Random(4)
+    table = typed_projection(spark.createDataFrame([], DIMENSION), PRODUCT)
+    bases = 0
+    for step in range(1, 5):
+        prices = {f"P{rng.randint(1, 6)}": float(rng.randint(1, 3)) for _ in range(4)}
+        batch = spark.createDataFrame(
+            [(k, "x", "c", p, day(1)) for k, p in prices.items()],
+            "product_id string, product_name string, category string, price double, valid_from timestamp_ntz",
+        )
+        typed = typed_projection(batch, PRODUCT)
+        # Two merges of one run share their moment.
+        moment = day(step - step % 2 + 1)
+        done = warehouse.dimension_table("product").merge(typed, f"b{step}", moment)
+        lost = warehouse.dimension_table("product").merge(typed, "lost", moment)
+        assert lost[:2] == done[:2]
+        warehouse.commit(f"b{step}", "dim_product", "s", None, done.inserted, done.closed, day(step), done.rebased)
+        bases += done.rebased
+        table = scd2.scd2_merge(table, typed, PRODUCT.key, PRODUCT.compare, moment, unique_keys=True)
+        table = spark.createDataFrame(table.collect(), PRODUCT.schema)
+        assert sorted(map(str, warehouse.dimension("product").collect())) == sorted(map(str, table.collect()))
+        assert warehouse.current("product").filter("NOT is_current").count() == 0
+    assert (bases > 0) == (share < 1)
+    assert warehouse.stats().first()["row_count"] == table.count()

@@ -108,7 +108,6 @@ def refresh_batch(
     """
     started = utc_now()
     contract = contract_named(source.schema)
-    scratch = f"{warehouse.base}/stage/{batch_id}"
 
     def record(status: str, processed=0, inserted=0, updated=0, reached=None, errors=None) -> Run:
         return Run(
@@ -118,7 +117,7 @@ def refresh_batch(
     batch = incremental_filter(raw, source.watermark_column, mark)
     # A plain fact batch is staged where it will stay: nobody reads it before its commit.
     in_place = contract.role == "fact" and not source.insert_if_absent
-    path = warehouse.fact_batch_path(contract, batch_id) if in_place else f"{scratch}/rows"
+    path = warehouse.fact_batch_path(contract, batch_id) if in_place else f"{warehouse.base}/stage/{batch_id}"
     staged = stage_batch(batch, contract, source.watermark_column, path)
     facts = _batch_facts(staged)
     if facts["corrupt"]:
@@ -129,17 +128,18 @@ def refresh_batch(
         lines = _reject(warehouse, source, contract, staged, batch_id)
         return record("failed", processed=facts["rows"], errors=lines)
 
-    inserted, updated = facts["rows"], 0
+    inserted, updated, rebased = facts["rows"], 0, False
     clean = staged.select(*contract.columns, POSITION)
     if contract.role == "dimension":
-        inserted, updated = warehouse.merge_dimension(
-            contract, clean.drop(POSITION), batch_id, as_of or started, scratch
-        )
+        table = warehouse.dimension_table(contract.name)
+        inserted, updated, rebased = table.merge(clean.drop(POSITION), batch_id, as_of or started)
     elif not in_place:
         fresh = absent_rows(warehouse.facts(contract.name), clean, contract.key, [F.col(POSITION)])
         warehouse.append_facts(contract, fresh.drop(POSITION), batch_id, source.watermark_column)
         inserted = warehouse.fact_batch(contract, batch_id).count()
-    warehouse.commit(batch_id, contract.table, source.name, facts["mark"], inserted, updated, utc_now())
+    warehouse.commit(
+        batch_id, contract.table, source.name, facts["mark"], inserted, updated, utc_now(), rebased
+    )
     return record("success", facts["rows"], inserted, updated, facts["mark"])
 
 

@@ -1,8 +1,7 @@
 """Tables of the warehouse on shared storage, and the commit log that makes them visible.
 
     facts/<table>/_batch_id=<id>/        rows of a batch, appended
-    dims/<table>/history/_batch_id=<id>/ versions a batch closed, appended
-    dims/<table>/current/<id>/           current versions after a batch
+    dims/<table>/                        see :mod:`tidemark.plans.dimension`
     cubes/<cube>/<id>/                   a rebuilt cube
     errors/_batch_id=<id>/               issues of a rejected batch
     state/{commits,runs,invalidations,clears}/
@@ -24,17 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.contracts import Contract, contract_named
-from tidemark.operators.scd2 import CLOSE, scd2_delta, still_open
 from tidemark.operators.staging import write_staged
 from tidemark.operators.state import INVALIDATIONS, RUNS, Run, invalidations_of, without_cleared
 from tidemark.operators.upsert import table_scan_eq
+from tidemark.plans.dimension import DimensionTable
 from tidemark.sources.marks import instant_literal
 
 BATCH = "_batch_id"
 CLEARED = "cleared"
 COMMITS = (
     "seq bigint, batch_id string, table_name string, source string, watermark timestamp_ntz, "
-    "rows_inserted bigint, rows_updated bigint, committed_at timestamp_ntz"
+    "rows_inserted bigint, rows_updated bigint, is_base boolean, committed_at timestamp_ntz"
 )
 CLEARS = "cube string, cleared_at timestamp_ntz"
 ERRORS = "source string, _row bigint, issue_no int, field string, message string, value string"
@@ -100,9 +99,10 @@ class Warehouse:
         inserted: int,
         updated: int,
         at: datetime,
+        is_base: bool = False,
     ) -> None:
         last = self.commits().agg(F.max("seq").alias("seq")).first()["seq"] or 0
-        row = (last + 1, batch_id, table, source, watermark, inserted, updated, at)
+        row = (last + 1, batch_id, table, source, watermark, inserted, updated, is_base, at)
         self._append("commits", COMMITS, row)
 
     def watermarks(self) -> DataFrame:
@@ -122,16 +122,14 @@ class Warehouse:
         return f"{self.base}/facts/{table}"
 
     def facts(self, schema: str, filters: dict | None = None) -> DataFrame:
+        """Rows of committed batches; their ids prune the folders that are read."""
         contract = contract_named(schema)
-        return table_scan_eq(self._committed_batches(self._fact_path(contract.table), contract), filters)
-
-    def _committed_batches(self, path: str, contract: Contract) -> DataFrame:
-        """Rows of committed batches; the ids prune the folders that are listed and read."""
         ids = [row["batch_id"] for row in self.commits_of(contract.table)]
-        schema = T.StructType([*contract.schema.fields, T.StructField(BATCH, T.StringType())])
         if not ids:
             return self.spark.createDataFrame([], contract.schema)
-        return self._read(path, schema).filter(F.col(BATCH).isin(ids)).drop(BATCH)
+        columns = T.StructType([*contract.schema.fields, T.StructField(BATCH, T.StringType())])
+        stored = self._read(self._fact_path(contract.table), columns).filter(F.col(BATCH).isin(ids))
+        return table_scan_eq(stored.drop(BATCH), filters)
 
     def write_batch(self, path: str, df: DataFrame, batch_id: str, sort: str | None = None) -> None:
         """Write the folder of one batch. A retry replaces its own folder and no other."""
@@ -151,50 +149,23 @@ class Warehouse:
 
     # -- dimensions -------------------------------------------------------------
 
-    def _dim_path(self, table: str) -> str:
-        return f"{self.base}/dims/{table}"
+    def dimension_table(self, schema: str) -> DimensionTable:
+        contract = contract_named(schema)
+        path = f"{self.base}/dims/{contract.table}"
+        return DimensionTable(self.spark, path, contract, self.commits_of(contract.table))
 
     def current(self, schema: str) -> DataFrame:
-        """Current versions only: one snapshot, no history is read."""
-        contract = contract_named(schema)
-        changing = [c for c in self.commits_of(contract.table) if c["rows_inserted"]]
-        if not changing:
-            return self.spark.createDataFrame([], contract.schema)
-        path = f"{self._dim_path(contract.table)}/current/{changing[-1]['batch_id']}"
-        return self.spark.read.schema(contract.schema).parquet(path)
+        """Current versions only; no history is read."""
+        return self.dimension_table(schema).current()
 
     def history(self, schema: str) -> DataFrame:
-        contract = contract_named(schema)
-        return self._committed_batches(f"{self._dim_path(contract.table)}/history", contract)
+        """Versions that were closed."""
+        return self.dimension_table(schema).history()
 
     def dimension(self, schema: str, filters: dict | None = None) -> DataFrame:
-        """All versions: the closed ones and the current snapshot."""
-        return table_scan_eq(self.history(schema).unionByName(self.current(schema)), filters)
-
-    def merge_dimension(
-        self, contract: Contract, batch: DataFrame, batch_id: str, as_of: datetime, scratch: str
-    ) -> tuple[int, int]:
-        """Write history and the next snapshot of a merge; returns inserted and closed counts.
-
-        ``batch`` passed the gate, so its keys are unique. The delta is written once and
-        read three times: for the closed versions, for the snapshot and for the counts.
-        """
-        current = self.current(contract.name)
-        delta = write_staged(
-            scd2_delta(current, batch, contract.key, contract.compare, as_of, unique_keys=True),
-            path=f"{scratch}/delta",
-        )
-        counted = {row["_op"]: row["count"] for row in delta.groupBy("_op").count().collect()}
-        inserted, closed = counted.get("insert", 0), counted.get("close", 0)
-        if inserted == 0:
-            return 0, 0
-        folder = self._dim_path(contract.table)
-        if closed:
-            self.write_batch(f"{folder}/history", delta.filter(F.col("_op") == CLOSE).drop("_op"), batch_id)
-        kept = still_open(current, delta, contract.key, unique_keys=True)
-        added = delta.filter(F.col("_op") != CLOSE).drop("_op")
-        kept.unionByName(added).write.mode("overwrite").parquet(f"{folder}/current/{batch_id}")
-        return inserted, closed
+        """All versions, closed and current."""
+        table = self.dimension_table(schema)
+        return table_scan_eq(table.history().unionByName(table.current()), filters)
 
     # -- runs, errors, invalidations ---------------------------------------------
 

@@ -168,8 +168,10 @@ def _stored_dimension(spark, sf_dir) -> Warehouse:
     later = batch.withColumn("valid_from", F.lit(CHANGED.isoformat(sep=" ")).cast("timestamp_ntz"))
     for batch_id, rows, moment in (("first", first, OPENED), ("later", later, CHANGED)):
         typed = typed_projection(rows, contract)
-        done = warehouse.merge_dimension(contract, typed, batch_id, moment, f"{warehouse.base}/stage/{batch_id}")
-        warehouse.commit(batch_id, contract.table, name, moment, *done, moment)
+        done = warehouse.dimension_table(name).merge(typed, batch_id, moment)
+        warehouse.commit(
+            batch_id, contract.table, name, moment, done.inserted, done.closed, moment, is_base=done.rebased
+        )
     return warehouse
 
 
