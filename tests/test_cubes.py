@@ -87,6 +87,12 @@ def test_unknown_members_keep_their_facts(star):
     assert joined.filter("category IS NULL").count() == sum(1 for r in rows if r[1] is None)
 
 
+def test_clashing_names_are_refused(star):
+    fact, dims, _ = star
+    with pytest.raises(ValueError, match="category"):
+        star_join(fact.withColumn("category", F.lit("x")), dims)
+
+
 def test_a_hot_member_is_split_by_adaptive_execution(spark, tmp_path):
     """A third of the facts on one member: with broadcasts off, the join still splits it."""
     settings = {

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,24 @@ def test_price_change_makes_a_second_version(warehouse, tmp_path):
     assert warehouse.dimension("product").count() == 3
 
 
+def test_cube_over_the_versions_valid_at_the_sale(warehouse, tmp_path):
+    def job(category):
+        products = write_csv(tmp_path / "p.csv", PRODUCTS_HEADER, [f"P001,Widget A,{category},30.00,2024-01-01"])
+        sales = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
+        cube = Cube("c", ("s", "p"), dimensions=("product",), measures=("amount",), fact_attributes=())
+        sources = (Source("s", "csv", "sales", {"path": sales}, "sale_date"), Source("p", "csv", "product", {"path": products}))
+        return Job(sources, (cube, replace(cube, name="then", versions_at="sale_date")))
+
+    refresh(warehouse, job("Old"), as_of=day(1))
+    refresh(warehouse, job("New"), as_of=day(20))
+
+    def sums(name):
+        return {r["category"]: float(r["amount"]) for r in warehouse.cube(name).filter("grouping_id = 0").collect()}
+
+    assert sums("c") == {"New": 600.0, None: 2599.96}
+    assert sums("then") == {"Old": 210.0, "New": 390.0, None: 2599.96}
+
+
 def test_invalidation_names_cube_and_sources_and_can_be_cleared(warehouse, tmp_path):
     path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES[:1])
     refresh(warehouse, sales_job(path), as_of=day(1, 3))

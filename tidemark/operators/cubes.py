@@ -8,18 +8,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scd2 import as_of_join
+
 MONEY = "decimal(18,2)"
 
 
 @dataclass(frozen=True)
 class DimensionJoin:
     """How a fact reaches a dimension: its frame, the key on both sides, the attributes
-    wanted. The frame has at most one row per key."""
+    wanted. The frame has at most one row per key, the current version.
+
+    With ``at``, a time column of the fact, the frame holds all versions, and a fact gets
+    the one valid at that time.
+    """
 
     frame: DataFrame
     fact_key: str
     dimension_key: str
     attributes: tuple[str, ...]
+    at: str | None = None
 
 
 def star_join(fact: DataFrame, dimensions: Sequence[DimensionJoin]) -> DataFrame:
@@ -30,6 +37,14 @@ def star_join(fact: DataFrame, dimensions: Sequence[DimensionJoin]) -> DataFrame
     """
     joined = fact
     for number, dim in enumerate(dimensions):
+        if dim.at:
+            joined = as_of_join(
+                joined, dim.frame, dim.fact_key, dim.at, dim.attributes, dimension_key=dim.dimension_key
+            )
+            continue
+        clash = sorted(set(dim.attributes) & set(joined.columns))
+        if clash:
+            raise ValueError(f"the facts already have columns {clash}")
         key = f"_d{number}"
         side = dim.frame.select(F.col(dim.dimension_key).alias(key), *dim.attributes)
         joined = joined.join(side, F.col(dim.fact_key) == F.col(key), "left").drop(key)
@@ -51,7 +66,7 @@ def finest_grain(
     sums = [F.sum(F.col(m).cast(MONEY)).alias(m) for m in measures]
     counted = F.count(F.lit(1)).alias("row_count")
     if collapse_first:
-        keys = [d.fact_key for d in dimensions]
+        keys = [k for d in dimensions for k in (d.fact_key, d.at) if k]
         own = [c for c in by if c in fact.columns]
         fact = fact.groupBy(*dict.fromkeys([*keys, *own])).agg(*sums, counted)
         sums = [F.sum(m).alias(m) for m in measures]

@@ -200,6 +200,7 @@ def as_of_join(
     at: str,
     attributes: Sequence[str],
     slot: str = "day",
+    dimension_key: str | None = None,
 ) -> DataFrame:
     """Every fact with the attributes of the version valid at its own time, NULL when
     there is none.
@@ -210,8 +211,12 @@ def as_of_join(
     history, and a hot key spreads over its slots. The join itself is an equi-join on key
     and slot with the facts on the left, which AQE may split further.
     """
+    clash = sorted(set(attributes) & set(facts.columns))
+    if clash:
+        raise ValueError(f"the facts already have columns {clash}")
+    dimension_key = dimension_key or key
     version = F.struct("valid_from", "valid_to", *attributes).alias("_v")
-    starts = dimension.select(F.col(key).alias("_k"), _slot(slot, "valid_from"), version)
+    starts = dimension.select(F.col(dimension_key).alias("_k"), _slot(slot, "valid_from"), version)
     slotted = facts.select("*", _slot(slot, at))
 
     latest = F.struct("_v.valid_from", F.col("_v.valid_to").isNull(), "_v.valid_to")

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.naming import matches
 from tidemark.operators.staging import first_per_key
 
 WATERMARKS = "source string, last_watermark timestamp_ntz, last_run_time timestamp_ntz"
@@ -85,7 +86,7 @@ def invalidations_of(events: DataFrame, cube: str | None = None) -> DataFrame:
 def without_cleared(events: DataFrame, clears: DataFrame) -> DataFrame:
     """Events that no clear mark covers. A mark (``cube``, ``cleared_at``) covers the events
     of its cube up to its time."""
-    latest = clears.groupBy(F.col("cube").alias("_cube")).agg(F.max("cleared_at").alias("_cleared_at"))
-    marked = events.join(latest, F.col("cube") == F.col("_cube"), "left")
+    latest = clears.groupBy(F.col("cube").alias("_l_cube")).agg(F.max("cleared_at").alias("_cleared_at"))
+    marked = events.join(latest, matches(["cube"], "_l_"), "left")
     open_event = F.col("_cleared_at").isNull() | (F.col("event_time") > F.col("_cleared_at"))
     return marked.filter(open_event).select(*events.columns)

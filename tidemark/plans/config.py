@@ -21,7 +21,11 @@ class Source:
 
 @dataclass(frozen=True)
 class Cube:
-    """Measures of a fact contract by attributes of dimensions and of the fact itself."""
+    """Measures of a fact contract by attributes of dimensions and of the fact itself.
+
+    Attributes are those of the current versions, or with ``versions_at``, a time column of
+    the fact, those valid at that time.
+    """
 
     name: str
     sources: tuple[str, ...]
@@ -30,6 +34,7 @@ class Cube:
     measures: tuple[str, ...] = ()
     fact_attributes: tuple[str, ...] = ("region",)
     attributes: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: dict(DEFAULT_ATTRIBUTES))
+    versions_at: str | None = None
 
     def attributes_of(self, dimension: str) -> tuple[str, ...]:
         return tuple(self.attributes.get(dimension, ()))

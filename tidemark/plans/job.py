@@ -144,14 +144,15 @@ def refresh_batch(
 
 
 def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
-    """Aggregate the facts anew over the current versions of the dimensions."""
+    """Aggregate the facts anew over the dimensions."""
     if not cube.measures or not cube.by:
         return
     dimensions = []
     for name in cube.dimensions:
         contract = contract_named(name)
         key = contract.key[0]
-        dimensions.append(DimensionJoin(warehouse.current(name), key, key, cube.attributes_of(name)))
+        frame = warehouse.dimension(name) if cube.versions_at else warehouse.current(name)
+        dimensions.append(DimensionJoin(frame, key, key, cube.attributes_of(name), cube.versions_at))
     built = build_cube(warehouse.facts(cube.fact), dimensions, cube.by, cube.measures)
     warehouse.write_cube(cube.name, built, f"{cube.name}-{uuid.uuid4().hex}", utc_now())
 

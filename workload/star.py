@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.cubes import DimensionJoin, build_cube, star_join
+from tidemark.operators.scd2 import scd2_merge
 from workload import query
-from workload.roles import table
+from workload.roles import CHANGED, DIMENSION_SQL, customer_batch, customer_dimension, table, when
 
 MEASURES = ["l_quantity", "l_extendedprice"]
 BY = ["c_mktsegment", "p_brand", "o_orderstatus"]
@@ -55,6 +58,31 @@ def star(spark, sf_dir):
     return star_join(orders, [DimensionJoin(customers, "o_custkey", "c_custkey", ("c_name", "c_mktsegment"))])
 
 
+MOVED = datetime(2024, 1, 15)
+
+
+@query(
+    "star_join_as_of",
+    f"""WITH {DIMENSION_SQL.replace(when(CHANGED), when(MOVED))}
+SELECT event_id, event_type, segment
+FROM events LEFT JOIN merged ON CAST(user_id AS VARCHAR) = customer_id AND valid_from <= ts
+  AND (valid_to IS NULL OR ts < valid_to)""",
+)
+def star_as_of(spark, sf_dir):
+    """Events with the segment their customer was in at the time."""
+    versions = scd2_merge(
+        customer_dimension(spark, sf_dir),
+        customer_batch(spark, sf_dir),
+        ["customer_id"],
+        ["segment", "balance"],
+        MOVED,
+        unique_keys=True,
+    )
+    events = table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string"))
+    joined = star_join(events, [DimensionJoin(versions, "user", "customer_id", ("segment",), at="ts")])
+    return joined.select("event_id", "event_type", "segment")
+
+
 @query(
     "cube_rebuild",
     f"""WITH {STAR_SQL}
