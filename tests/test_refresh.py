@@ -136,6 +136,15 @@ def test_malformed_file_fails_its_source_only(warehouse, tmp_path):
     assert event["sources"] == ["products_csv", "customers_csv"]
 
 
+def test_a_malformed_record_is_found_behind_the_mark(warehouse, tmp_path):
+    path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
+    refresh(warehouse, sales_job(path))
+    write_csv(tmp_path / "s.csv", SALES_HEADER, [*SALES, "0,P001,C001,1,1.00,2024-01-01", *SALES_LATER])
+    run = refresh(warehouse, sales_job(path)).filter("status = 'failed'").first()
+    assert "1 malformed" in run["errors"][0]
+    assert warehouse.facts("sales").count() == 10
+
+
 def test_missing_file_fails_its_source_only(warehouse, tmp_path):
     run = refresh(warehouse, sales_job(str(tmp_path / "nowhere.csv"))).first()
     assert run["status"] == "failed" and run["errors"]

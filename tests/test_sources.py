@@ -82,11 +82,17 @@ def test_aware_marks_are_taken_to_utc(spark, tmp_path):
     assert [r["id"] for r in incremental_filter(csv_scan(spark, path), "date", mark).collect()] == ["2"]
 
 
-def test_mark_reaches_the_parquet_scan(spark, tmp_path):
+@pytest.mark.parametrize("dtype", ["timestamp_ntz", "timestamp", "date"])
+def test_mark_reaches_the_parquet_scan(spark, tmp_path, dtype):
     path = str(tmp_path / "t")
-    spark.range(10).select("id", F.lit("2024-01-01").cast("timestamp_ntz").alias("at")).write.parquet(path)
-    plan = incremental_filter(spark.read.parquet(path), "at", day(1))._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(at), GreaterThan(at" in plan
+    at = F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).cast(dtype)
+    spark.range(10).select("id", at.alias("at")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    fresh = incremental_filter(stored, "at", day(5))
+    assert "PushedFilters: [IsNotNull(at), GreaterThan(at" in fresh._jdf.queryExecution().toString()
+    assert (fresh.count(), late_rows(stored, "at", day(5)).count()) == (5, 5)
+    assert incremental_filter(stored, "at", day(5, hour=12)).count() == 5
+    assert batch_high_water_mark(fresh, "at").first()[0] == day(10)
 
 
 def test_since_wins_over_the_stored_mark():

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from tests.fixtures import SALES, SALES_HEADER, SALES_INVALID, SALES_LATER, day, write_csv
 from tidemark.plans import Cube, Source, Warehouse, rebuild_stale
-from tidemark.streaming import raw_stream, refresh_stream
+from tidemark.contracts import SALES as CONTRACT
+from tidemark.streaming import json_stream, raw_stream, refresh_stream
 
 CUBE = Cube("sales", ("sales",), measures=("quantity", "amount"))
 SOURCE = Source("sales", "csv", "sales", {}, "sale_date")
@@ -61,3 +64,18 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, folders):
     refresh_stream(again, CUBE, SOURCE, stream, str(folders / "other-checkpoint")).awaitTermination()
     assert again.facts("sales").count() == 10
     assert again.runs().count() == 1
+
+
+def test_landed_responses_as_a_stream(spark, folders):
+    names = SALES_HEADER.split(",")
+    for number, rows in enumerate((SALES, SALES_LATER)):
+        records = [dict(zip(names, row.split(","), strict=True)) for row in rows]
+        (folders / "in" / f"{number}.json").write_text(json.dumps({"data": records}, indent=1))
+    warehouse = Warehouse(spark, str(folders / "warehouse"))
+    stream = json_stream(spark, str(folders / "in"), CONTRACT.columns, "data")
+    refresh_stream(warehouse, CUBE, SOURCE, stream, str(folders / "checkpoint")).awaitTermination()
+    assert warehouse.facts("sales").count() == 13
+    (folders / "in" / "2.json").write_text("not json")
+    again = json_stream(spark, str(folders / "in"), CONTRACT.columns, "data")
+    with pytest.raises(Exception, match="malformed"):
+        refresh_stream(warehouse, CUBE, SOURCE, again, str(folders / "checkpoint")).awaitTermination()

@@ -88,7 +88,8 @@ def _reject(
     errors = flagged_errors(flagged, contract).withColumn("source", F.lit(source.name))
     warehouse.write_errors(errors, batch_id)
     stored = warehouse.errors().filter(F.col("_batch_id") == batch_id)
-    blocks = error_report(stored).orderBy(ROW).limit(REPORTED_ROWS).collect()
+    first = stored.select(ROW).distinct().orderBy(ROW).limit(REPORTED_ROWS)
+    blocks = error_report(stored.join(F.broadcast(first), ROW, "left_semi")).orderBy(ROW).collect()
     return [report_header(counts["rows_failed"], counts["rows_passed"]), *[b["report"] for b in blocks]]
 
 

@@ -83,7 +83,8 @@ class Warehouse:
 
     def commits_of(self, table: str) -> list[Row]:
         """Commits of one table since it was last cleared, oldest first: a small row each."""
-        rows = self.commits().filter(F.col("table_name") == table).orderBy("seq").collect()
+        rows = self.commits().filter(F.col("table_name") == table).collect()
+        rows.sort(key=lambda row: row["seq"])
         cleared = [i for i, row in enumerate(rows) if row["batch_id"] == CLEARED]
         return rows[cleared[-1] + 1 :] if cleared else rows
 
@@ -113,8 +114,8 @@ class Warehouse:
         )
 
     def watermark(self, source: str) -> datetime | None:
-        row = self.watermarks().filter(F.col("source") == source).first()
-        return row["last_watermark"] if row else None
+        own = self.commits().filter(F.col("source") == source)
+        return own.agg(F.max("watermark").alias("mark")).first()["mark"]
 
     # -- facts ------------------------------------------------------------------
 

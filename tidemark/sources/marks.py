@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.coerce import as_instant
+from tidemark.sources.csv import CORRUPT
 
 
 def instant_literal(moment: datetime) -> Column:
@@ -22,15 +23,16 @@ def mark_of(df: DataFrame, column: str) -> Column:
     return as_instant(F.col(column), df.schema[column].dataType)
 
 
-def _bound(df: DataFrame, column: str, mark: datetime) -> Column:
-    """Literal in the column's own type where it can reach the scan as a pushed filter."""
-    literal = instant_literal(mark)
-    return literal.cast("timestamp") if isinstance(df.schema[column].dataType, T.TimestampType) else literal
-
-
-def _pushable(df: DataFrame, column: str) -> Column:
+def _compared(df: DataFrame, column: str, mark: datetime) -> tuple[Column, Column]:
+    """Column and literal of a type the scan can compare by itself, so that the filter is
+    pushed into it; text is parsed first. A date is past a mark when it is past its day."""
     dtype = df.schema[column].dataType
-    return F.col(column) if isinstance(dtype, T.TimestampType) else as_instant(F.col(column), dtype)
+    literal = instant_literal(mark)
+    if isinstance(dtype, T.TimestampType):
+        return F.col(column), literal.cast("timestamp")
+    if isinstance(dtype, T.DateType):
+        return F.col(column), literal.cast("date")
+    return as_instant(F.col(column), dtype), literal
 
 
 def effective_mark(since: datetime | None, stored: datetime | None) -> datetime | None:
@@ -39,16 +41,20 @@ def effective_mark(since: datetime | None, stored: datetime | None) -> datetime
 
 
 def incremental_filter(df: DataFrame, column: str | None, mark: datetime | None) -> DataFrame:
-    """Rows strictly past the mark. Unreadable values drop out once a mark is set and
-    stay in (to be reported) while there is none."""
+    """Rows strictly past the mark. Unreadable values drop out once a mark is set and stay in
+    (to be reported) while there is none. Malformed records always stay: where one stands
+    cannot be told, and it makes the whole batch unusable."""
     if column is None or mark is None:
         return df
-    return df.filter(_pushable(df, column) > _bound(df, column, mark))
+    value, bound = _compared(df, column, mark)
+    past = value > bound
+    return df.filter(past | F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else past)
 
 
 def late_rows(df: DataFrame, column: str, mark: datetime) -> DataFrame:
     """Rows at or below the mark, which a refresh skips."""
-    return df.filter(_pushable(df, column) <= _bound(df, column, mark))
+    value, bound = _compared(df, column, mark)
+    return df.filter(value <= bound)
 
 
 def batch_high_water_mark(df: DataFrame, column: str) -> DataFrame:

@@ -1,3 +1,3 @@
-from tidemark.streaming.refresh_stream import FailedBatch, raw_stream, refresh_stream
+from tidemark.streaming.refresh_stream import FailedBatch, json_stream, raw_stream, refresh_stream
 
-__all__ = ["FailedBatch", "raw_stream", "refresh_stream"]
+__all__ = ["FailedBatch", "json_stream", "raw_stream", "refresh_stream"]

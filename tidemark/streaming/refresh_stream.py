@@ -14,6 +14,7 @@ from tidemark.plans.config import Cube, Source
 from tidemark.plans.job import invalidate_loaded, refresh_batch
 from tidemark.plans.warehouse import Warehouse
 from tidemark.sources.csv import CORRUPT
+from tidemark.sources.json import json_path_rows
 
 
 class FailedBatch(RuntimeError):
@@ -36,6 +37,20 @@ def raw_stream(
     return raw.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in columns], CORRUPT)
 
 
+def json_stream(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    data_path: str | None = None,
+    files_per_batch: int = 1000,
+) -> DataFrame:
+    """Landed JSON responses of a folder as a stream of raw string columns."""
+    pages = (
+        spark.readStream.format("text").options(wholetext=True, maxFilesPerTrigger=files_per_batch).load(path)
+    )
+    return json_path_rows(pages, "value", data_path, columns, report_corrupt=True)
+
+
 def refresh_stream(
     warehouse: Warehouse,
     cube: Cube,
