@@ -131,6 +131,8 @@ def test_malformed_file_fails_its_source_only(warehouse, tmp_path):
     runs = by_source(refresh(warehouse, job))
     assert runs["sales_csv"]["status"] == "failed"
     assert "malformed" in runs["sales_csv"]["errors"][0]
+    kept = [(r["_row"], r["message"], r["value"]) for r in warehouse.errors().collect()]
+    assert kept == [(10, "Malformed record", "11,P001,C001")]
     assert runs["products_csv"]["status"] == runs["customers_csv"]["status"] == "success"
     event = warehouse.invalidations("sales").first()
     assert event["sources"] == ["products_csv", "customers_csv"]

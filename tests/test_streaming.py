@@ -79,3 +79,5 @@ def test_landed_responses_as_a_stream(spark, folders):
     again = json_stream(spark, str(folders / "in"), CONTRACT.columns, "data")
     with pytest.raises(Exception, match="malformed"):
         refresh_stream(warehouse, CUBE, SOURCE, again, str(folders / "checkpoint")).awaitTermination()
+    assert warehouse.runs().filter("status = 'failed'").count() == 1
+    assert warehouse.errors().first()["value"] == "not json"

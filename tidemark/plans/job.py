@@ -44,10 +44,6 @@ def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-class MalformedBatch(ValueError):
-    """A source holds records that cannot be read as rows."""
-
-
 def stage_batch(raw: DataFrame, contract: Contract, watermark_column: str | None, path: str) -> DataFrame:
     """Typed columns, issues and mark of a batch, written once under ``path``.
 
@@ -79,6 +75,20 @@ def _has_duplicates(staged: DataFrame, contract: Contract) -> bool:
     return any(not duplicate_keys(staged, [k], POSITION).isEmpty() for k in contract.unique)
 
 
+def _keep_malformed(warehouse: Warehouse, source: Source, staged: DataFrame, batch_id: str) -> None:
+    """Write the records that could not be read as rows, with their text."""
+    records = batch_row_ordinal(staged).filter(F.col(CORRUPT).isNotNull())
+    errors = records.select(
+        F.lit(source.name).alias("source"),
+        ROW,
+        F.lit(0).alias("issue_no"),
+        F.lit(None).cast("string").alias("field"),
+        F.lit("Malformed record").alias("message"),
+        F.col(CORRUPT).alias("value"),
+    )
+    warehouse.write_errors(errors, batch_id)
+
+
 def _reject(
     warehouse: Warehouse, source: Source, contract: Contract, staged: DataFrame, batch_id: str
 ) -> list[str]:
@@ -122,7 +132,8 @@ def refresh_batch(
     staged = stage_batch(batch, contract, source.watermark_column, path)
     facts = _batch_facts(staged)
     if facts["corrupt"]:
-        raise MalformedBatch(f"{facts['corrupt']} malformed records in source {source.name}")
+        _keep_malformed(warehouse, source, staged, batch_id)
+        return record("failed", errors=[f"{facts['corrupt']} malformed records in source {source.name}"])
     if facts["rows"] == 0:
         return record("success")
     if facts["bad"] or _has_duplicates(staged, contract):
