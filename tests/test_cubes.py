@@ -14,10 +14,11 @@ from tidemark.operators.upsert import absent_rows, insert_if_absent, table_scan_
 @pytest.fixture(scope="module")
 def star(spark):
     rng = random.Random(5)
-    facts = [
-        (f"P{rng.randint(1, 6)}", "C1" if rng.random() < 0.4 else f"C{rng.randint(1, 9)}", rng.choice("NS"), rng.randint(1, 500) / 100)
-        for _ in range(400)
-    ]
+
+    def customer():
+        return "C1" if rng.random() < 0.4 else f"C{rng.randint(1, 9)}"
+
+    facts = [(f"P{rng.randint(1, 6)}", customer(), rng.choice("NS"), rng.randint(1, 500) / 100) for _ in range(400)]
     products = {f"P{i}": rng.choice(["toys", "tools"]) for i in range(1, 6)}
     customers = {f"C{i}": rng.choice(["gold", "plain", None]) for i in range(1, 10)}
     return (
@@ -105,9 +106,8 @@ def test_a_hot_member_is_split_by_adaptive_execution(spark, tmp_path):
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     member = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)
-    spark.range(0, 400_000, 1, 8).select("id", member.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).write.parquet(
-        str(tmp_path / "f")
-    )
+    pad = F.sha2(F.col("id").cast("string"), 256).alias("pad")
+    spark.range(0, 400_000, 1, 8).select("id", member.alias("k"), pad).write.parquet(str(tmp_path / "f"))
     spark.range(5000).select("id", (F.col("id") % 7).alias("grp")).write.parquet(str(tmp_path / "d"))
     try:
         for k, v in settings.items():

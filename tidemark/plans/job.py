@@ -44,30 +44,36 @@ def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def _mark_column(contract: Contract, watermark_column: str | None) -> str:
+    """Staged column that holds the mark: the contract's own date where it is one."""
+    dates = {f.name for f in contract.fields if f.kind == "date"}
+    return watermark_column if watermark_column in dates else _MARK
+
+
 def stage_batch(raw: DataFrame, contract: Contract, watermark_column: str | None, path: str) -> DataFrame:
     """Typed columns, issues and mark of a batch, written once under ``path``.
 
     Everything a single row can tell is decided in the pass that writes it, so the gate
     reads flags instead of parsing the source again.
     """
-    mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
-    corrupt = F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string")
-    staged = check_rows(raw, contract).select(
+    columns = [
         *[f.filled(F.col(TYPED + f.name)).alias(f.name) for f in contract.fields],
         ISSUES,
         BAD,
-        mark.alias(_MARK),
-        corrupt.alias(CORRUPT),
-    )
-    return with_position(write_staged(staged, path=path))
+        F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string").alias(CORRUPT),
+    ]
+    if _mark_column(contract, watermark_column) == _MARK:
+        mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
+        columns.append(mark.alias(_MARK))
+    return with_position(write_staged(check_rows(raw, contract).select(*columns), path=path))
 
 
-def _batch_facts(staged: DataFrame) -> Row:
+def _batch_facts(staged: DataFrame, mark_column: str) -> Row:
     return staged.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(BAD).alias("bad"),
         F.count(CORRUPT).alias("corrupt"),
-        F.max(_MARK).alias("mark"),
+        F.max(mark_column).alias("mark"),
     ).first()
 
 
@@ -130,7 +136,7 @@ def refresh_batch(
     in_place = contract.role == "fact" and not source.insert_if_absent
     path = warehouse.fact_batch_path(contract, batch_id) if in_place else f"{warehouse.base}/stage/{batch_id}"
     staged = stage_batch(batch, contract, source.watermark_column, path)
-    facts = _batch_facts(staged)
+    facts = _batch_facts(staged, _mark_column(contract, source.watermark_column))
     if facts["corrupt"]:
         _keep_malformed(warehouse, source, staged, batch_id)
         return record("failed", errors=[f"{facts['corrupt']} malformed records in source {source.name}"])
@@ -149,10 +155,9 @@ def refresh_batch(
         fresh = absent_rows(warehouse.facts(contract.name), clean, contract.key, [F.col(POSITION)])
         warehouse.append_facts(contract, fresh.drop(POSITION), batch_id, source.watermark_column)
         inserted = warehouse.fact_batch(contract, batch_id).count()
-    warehouse.commit(
-        batch_id, contract.table, source.name, facts["mark"], inserted, updated, utc_now(), rebased
-    )
-    return record("success", facts["rows"], inserted, updated, facts["mark"])
+    reached = facts["mark"] if source.watermark_column else None
+    warehouse.commit(batch_id, contract.table, source.name, reached, inserted, updated, utc_now(), rebased)
+    return record("success", facts["rows"], inserted, updated, reached)
 
 
 def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:

@@ -65,7 +65,8 @@ def get(spark, sf_dir):
 
 @query(
     "run_duration",
-    f"WITH {EVENT_RUNS_SQL} SELECT run_id, CAST(date_diff('microsecond', start_time, end_time) // 1000 AS BIGINT) AS duration_ms FROM runs",
+    f"""WITH {EVENT_RUNS_SQL}
+SELECT run_id, CAST(date_diff('microsecond', start_time, end_time) // 1000 AS BIGINT) AS duration_ms FROM runs""",
 )
 def duration(spark, sf_dir):
     return state.run_duration(event_runs(spark, sf_dir)).select("run_id", "duration_ms")
