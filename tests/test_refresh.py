@@ -329,7 +329,7 @@ def test_command_line(spark, tmp_path, capsys):
     def cube(name, *sources):
         return {"name": name, "factTable": "fact_sales", "dimensions": [], "measures": ["amount"], "sources": list(sources)}
 
-    config = tmp_path / "etl-config.json"
+    config = tmp_path / "job.json"
     config.write_text(
         json.dumps(
             {

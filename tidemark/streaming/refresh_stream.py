@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +64,18 @@ def refresh_stream(
     """Refresh a source from a stream; stops when all files are taken unless
     ``continuous`` gives a trigger interval.
 
-    The batch id comes from the epoch, so a micro-batch that is run again after a loss
-    either replaces its own unfinished folder or finds itself committed and does nothing.
+    The batch id comes from the query, as its checkpoint names it, and the epoch. So a
+    micro-batch that is run again after a loss either replaces its own unfinished folder or
+    finds itself committed and does nothing, and a query with a new checkpoint starts anew.
     A batch invalidates the cube; :func:`rebuild_stale` rebuilds it once for all of them.
     """
 
+    @cache
+    def query_id() -> str:
+        return warehouse.spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
     def load(batch: DataFrame, epoch: int) -> None:
-        batch_id = f"{source.name}-e{epoch}"
+        batch_id = f"{source.name}-{query_id()}-{epoch}"
         if warehouse.is_committed(batch_id):
             return
         mark = warehouse.watermark(source.name)
