@@ -94,34 +94,6 @@ def test_clashing_names_are_refused(star):
         star_join(fact.withColumn("category", F.lit("x")), dims)
 
 
-def test_a_hot_member_is_split_by_adaptive_execution(spark, tmp_path):
-    """A third of the facts on one member: with broadcasts off, the join still splits it."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    member = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)
-    pad = F.sha2(F.col("id").cast("string"), 256).alias("pad")
-    spark.range(0, 400_000, 1, 8).select("id", member.alias("k"), pad).write.parquet(str(tmp_path / "f"))
-    spark.range(5000).select("id", (F.col("id") % 7).alias("grp")).write.parquet(str(tmp_path / "d"))
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        dim = DimensionJoin(spark.read.parquet(str(tmp_path / "d")), "k", "id", ("grp",))
-        joined = star_join(spark.read.parquet(str(tmp_path / "f")), [dim])
-        result = joined.agg(F.count("grp"), F.count(F.xxhash64("pad")))
-        assert result.collect()[0][0] == 400_000
-        assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def test_insert_if_absent(spark):
     target = spark.createDataFrame([("a", 0), (None, 0)], "k string, v int")
     batch = spark.createDataFrame([("a", 1), ("b", 3), ("b", 2), (None, 4), ("c", 5)], "k string, v int")
