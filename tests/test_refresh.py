@@ -348,3 +348,48 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*common, "--since", "yesterday"]) == 1
     assert "ISO date" in capsys.readouterr().err
     assert main([*common, "--cube", "nope"]) == 1
+
+
+@pytest.mark.parametrize("fold_parts", [2, 16])
+def test_rebuilds_from_sums_equal_a_cube_of_all_facts(warehouse, tmp_path, monkeypatch, fold_parts):
+    monkeypatch.setattr("tidemark.plans.grains.FOLD_PARTS", fold_parts)
+
+    def expected(rows, segments):
+        sums = {}
+        for row in rows:
+            _, _, customer, _, amount, _, region = row.split(",")
+            key = (region, segments[customer])
+            sums[key] = round(sums.get(key, 0) + float(amount), 2)
+        return sums
+
+    def found():
+        rows = warehouse.cube("c").filter("grouping_id = 0").collect()
+        return {(r["region"], r["segment"]): float(r["amount"]) for r in rows}
+
+    def load(sales, customers):
+        job = Job(
+            (
+                sales_source(write_csv(tmp_path / "s.csv", SALES_HEADER, sales)),
+                Source(
+                    "customers",
+                    "csv",
+                    "customer",
+                    {"path": write_csv(tmp_path / "c.csv", CUSTOMERS_HEADER, customers)},
+                ),
+            ),
+            (Cube("c", ("sales_csv", "customers"), dimensions=("customer",), measures=("amount",)),),
+        )
+        refresh(warehouse, job)
+        return expected(sales, segments_of(customers))
+
+    assert load(SALES[:4], CUSTOMERS) == found()
+    moved = [c.replace("Premium", "Gold") for c in CUSTOMERS]
+    assert load(SALES[:8], moved) == found()
+    assert load(SALES[:8], CUSTOMERS) == found()
+    warehouse.clear("sales", day(1))
+    load([*SALES, *SALES_LATER], CUSTOMERS)
+    assert found() == expected([*SALES[8:], *SALES_LATER], segments_of(CUSTOMERS))
+
+
+def segments_of(customers):
+    return {c.split(",")[0]: c.split(",")[3] for c in customers}

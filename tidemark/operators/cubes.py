@@ -51,6 +51,19 @@ def star_join(fact: DataFrame, dimensions: Sequence[DimensionJoin]) -> DataFrame
     return joined
 
 
+def collapse_facts(
+    fact: DataFrame, dimensions: Sequence[DimensionJoin], by: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    """Sums and row counts per dimension key and per attribute the fact itself has.
+
+    Such sums of batches add up, and the dimensions are joined to them like to facts.
+    """
+    keys = [k for d in dimensions for k in (d.fact_key, d.at) if k]
+    own = [c for c in by if c in fact.columns]
+    sums = [F.sum(F.col(m).cast(MONEY)).alias(m) for m in measures]
+    return fact.groupBy(*dict.fromkeys([*keys, *own])).agg(*sums, F.count(F.lit(1)).alias("row_count"))
+
+
 def finest_grain(
     fact: DataFrame,
     dimensions: Sequence[DimensionJoin],
@@ -63,15 +76,17 @@ def finest_grain(
     ``collapse_first`` sums the facts per dimension key before the joins. It pays when
     many facts share their keys and the dimensions are too big to broadcast.
     """
-    sums = [F.sum(F.col(m).cast(MONEY)).alias(m) for m in measures]
-    counted = F.count(F.lit(1)).alias("row_count")
     if collapse_first:
-        keys = [k for d in dimensions for k in (d.fact_key, d.at) if k]
-        own = [c for c in by if c in fact.columns]
-        fact = fact.groupBy(*dict.fromkeys([*keys, *own])).agg(*sums, counted)
-        sums = [F.sum(m).alias(m) for m in measures]
-        counted = F.sum("row_count").alias("row_count")
-    return star_join(fact, dimensions).groupBy(*by).agg(*sums, counted)
+        return grain_of_collapsed(collapse_facts(fact, dimensions, by, measures), dimensions, by, measures)
+    sums = [F.sum(F.col(m).cast(MONEY)).alias(m) for m in measures]
+    return star_join(fact, dimensions).groupBy(*by).agg(*sums, F.count(F.lit(1)).alias("row_count"))
+
+
+def grain_of_collapsed(
+    collapsed: DataFrame, dimensions: Sequence[DimensionJoin], by: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in (*measures, "row_count")]
+    return star_join(collapsed, dimensions).groupBy(*by).agg(*sums)
 
 
 def build_cube(
@@ -89,7 +104,17 @@ def build_cube(
     small table: expanding the facts themselves would send each of them through the
     aggregate once per grouping set. ``grouping_id`` tells a subtotal from a NULL member.
     """
-    grain = finest_grain(fact, dimensions, by, measures, collapse_first)
+    return cube_of_grain(finest_grain(fact, dimensions, by, measures, collapse_first), by, measures, mode, sets)
+
+
+def cube_of_grain(
+    grain: DataFrame,
+    by: Sequence[str],
+    measures: Sequence[str],
+    mode: str = "cube",
+    sets: Sequence[Sequence[str]] = (),
+) -> DataFrame:
+    """Supersets of sums at the finest grain."""
     if mode == "cube":
         grouped = grain.cube(*by)
     elif mode == "rollup":

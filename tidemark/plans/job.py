@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.contracts import Contract, contract_named
-from tidemark.operators.cubes import DimensionJoin, build_cube
+from tidemark.operators.cubes import DimensionJoin, build_cube, cube_of_grain, grain_of_collapsed
 from tidemark.operators.quality import (
     BAD,
     ISSUES,
@@ -29,7 +29,8 @@ from tidemark.operators.staging import POSITION, ROW, batch_row_ordinal, with_po
 from tidemark.operators.state import Run
 from tidemark.operators.upsert import absent_rows
 from tidemark.plans.config import Cube, Job, Source
-from tidemark.plans.warehouse import Warehouse
+from tidemark.plans.grains import collapsed_facts
+from tidemark.plans.warehouse import Warehouse, utc_now
 from tidemark.sources.csv import CORRUPT
 from tidemark.sources.marks import effective_mark, incremental_filter, mark_of
 from tidemark.sources.registry import read_source
@@ -40,10 +41,6 @@ REPORTED_ROWS = 20
 _MARK = "_mark"
 
 
-def utc_now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
-
-
 def _mark_column(contract: Contract, watermark_column: str | None) -> str:
     """Staged column that holds the mark: the contract's own date where it is one."""
     dates = {f.name for f in contract.fields if f.kind == "date"}
@@ -161,7 +158,11 @@ def refresh_batch(
 
 
 def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
-    """Aggregate the facts anew over the dimensions."""
+    """Aggregate the facts anew over the dimensions.
+
+    Over current versions the sums of earlier batches by dimension key still hold, so only
+    the facts that came since are read; the dimensions are joined to the sums.
+    """
     if not cube.measures or not cube.by:
         return
     dimensions = []
@@ -170,7 +171,12 @@ def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
         key = contract.key[0]
         frame = warehouse.dimension(name) if cube.versions_at else warehouse.current(name)
         dimensions.append(DimensionJoin(frame, key, key, cube.attributes_of(name), cube.versions_at))
-    built = build_cube(warehouse.facts(cube.fact), dimensions, cube.by, cube.measures)
+    if cube.versions_at:
+        built = build_cube(warehouse.facts(cube.fact), dimensions, cube.by, cube.measures)
+    else:
+        collapsed = collapsed_facts(warehouse, cube, dimensions)
+        grain = grain_of_collapsed(collapsed, dimensions, cube.by, cube.measures)
+        built = cube_of_grain(grain, cube.by, cube.measures)
     warehouse.write_cube(cube.name, built, f"{cube.name}-{uuid.uuid4().hex}", utc_now())
 
 

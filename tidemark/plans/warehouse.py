@@ -3,6 +3,7 @@
     facts/<table>/_batch_id=<id>/        rows of a batch, appended
     dims/<table>/                        see :mod:`tidemark.plans.dimension`
     cubes/<cube>/<id>/                   a rebuilt cube
+    grains/<cube>/<id>/                  see :mod:`tidemark.plans.grains`
     errors/_batch_id=<id>/               issues of a rejected batch
     state/{commits,runs,invalidations,clears}/
 
@@ -16,7 +17,7 @@ that is being read is ever overwritten. One writer per table at a time is assume
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,12 +34,17 @@ BATCH = "_batch_id"
 CLEARED = "cleared"
 COMMITS = (
     "seq bigint, batch_id string, table_name string, source string, watermark timestamp_ntz, "
-    "rows_inserted bigint, rows_updated bigint, is_base boolean, committed_at timestamp_ntz"
+    "rows_inserted bigint, rows_updated bigint, is_base boolean, "
+    "covers bigint, committed_at timestamp_ntz"
 )
 CLEARS = "cube string, cleared_at timestamp_ntz"
 ERRORS = "source string, _row bigint, issue_no int, field string, message string, value string"
 
 
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
 def literal_row(spark: SparkSession, schema: str, values: Sequence[object]) -> DataFrame:
     """A frame of one row, given as literals of the schema's types."""
     columns = []
@@ -101,9 +107,11 @@ class Warehouse:
         updated: int,
         at: datetime,
         is_base: bool = False,
+        covers: int | None = None,
     ) -> None:
+        """Make a batch visible. ``covers`` is the last commit of another table it includes."""
         last = self.commits().agg(F.max("seq").alias("seq")).first()["seq"] or 0
-        row = (last + 1, batch_id, table, source, watermark, inserted, updated, is_base, at)
+        row = (last + 1, batch_id, table, source, watermark, inserted, updated, is_base, covers, at)
         self._append("commits", COMMITS, row)
 
     def watermarks(self) -> DataFrame:
@@ -126,11 +134,14 @@ class Warehouse:
         """Rows of committed batches; their ids prune the folders that are read."""
         contract = contract_named(schema)
         ids = [row["batch_id"] for row in self.commits_of(contract.table)]
+        return table_scan_eq(self.fact_batches(contract, ids), filters)
+
+    def fact_batches(self, contract: Contract, ids: Sequence[str]) -> DataFrame:
         if not ids:
             return self.spark.createDataFrame([], contract.schema)
         columns = T.StructType([*contract.schema.fields, T.StructField(BATCH, T.StringType())])
-        stored = self._read(self._fact_path(contract.table), columns).filter(F.col(BATCH).isin(ids))
-        return table_scan_eq(stored.drop(BATCH), filters)
+        stored = self._read(self._fact_path(contract.table), columns).filter(F.col(BATCH).isin(list(ids)))
+        return stored.drop(BATCH)
 
     def write_batch(self, path: str, df: DataFrame, batch_id: str, sort: str | None = None) -> None:
         """Write the folder of one batch. A retry replaces its own folder and no other."""
@@ -224,7 +235,7 @@ class Warehouse:
     def stats(self) -> DataFrame:
         """Rows per stored table, from the commits: no table is scanned. Every version of a
         dimension was inserted once, so inserts count its rows as well."""
-        loaded = self.commits().filter(~F.col("table_name").startswith("cube_"))
+        loaded = self.commits().filter(~F.col("table_name").rlike("^(cube|grain)_"))
         cleared = F.max(F.when(F.col("batch_id") == CLEARED, F.col("seq"))).over(Window.partitionBy("table_name"))
         kept = loaded.withColumn("_cleared", cleared).filter("_cleared IS NULL OR seq > _cleared")
         return kept.groupBy("table_name").agg(F.sum("rows_inserted").alias("row_count"))
