@@ -5,7 +5,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from tests.fixtures import day
 from tidemark.contracts import SALES
 from tidemark.operators import scd2
@@ -17,16 +16,6 @@ from tidemark.plans import Warehouse
 from workload.roles import order_feed
 
 SF_DIR = "/root/testdata/sf0.001"
-STORING = {
-    "refresh",
-    "refresh_all_cubes",
-    "refresh_batch",
-    "refresh_stream",
-    "fact_append",
-    "dim_append",
-    "dim_close",
-    "dim_versions",
-}
 
 
 def plan_of(df):
@@ -48,13 +37,6 @@ def tables(spark, tmp_path):
     return spark.read.parquet(str(tmp_path / "big")), spark.read.parquet(str(tmp_path / "small"))
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - STORING))
-def test_no_query_multiplies_its_inputs(spark, name):
-    plan = plan_of(driver.queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-
-
 def test_a_small_batch_leaves_a_big_dimension_in_place(spark, tables):
     """The big side meets a broadcast of the batch's keys; only what passes is moved."""
     dimension, batch = tables

@@ -43,6 +43,9 @@ def test_query(spark, duck, name):
     result = driver.queries()[name](spark, SF_DIR)
     rows = [tuple(r) for r in result.collect()]
     assert rows, "a query over whole tables has rows"
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert unwanted not in plan
     sql = driver.oracle_sql().get(name)
     if sql is None:
         return
