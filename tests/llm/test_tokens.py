@@ -1,0 +1,124 @@
+"""Token files and packing against plain encoding."""
+
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tidemark.llm import packing, token_files
+from tidemark.llm.tokens import Encoder
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+TEXTS = [
+    None, "", " ", "a", "a  b", "a\n b", "a \nb c", " lead", "trail ", "über das Maß 12,5 % 'tis it's", "x" * 9000,
+    "<|endoftext|> kept as text", "日本語 テキスト 　 wide", "tab\tand\r\nline", "same text", "same text", "  nb sp",
+    "many words " * 4000,
+]
+
+
+def plain(text):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "doc", "again") for i, t in enumerate(TEXTS)] + [(3, "a", "doc", "again"), (None, "no id", "x", "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, start string, length string").repartition(5)
+
+
+@pytest.mark.parametrize("memo", [10, 10_000_000])
+def test_memo_of_words_changes_nothing(memo):
+    encoder = Encoder(PATH, memo)
+    for _ in range(2):
+        for text in TEXTS:
+            assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)[:-1]
+
+
+def test_token_files_round_trip(spark, docs, tmp_path):
+    token_files.write_token_files(docs, PATH, str(tmp_path))
+    rows = token_files.read_token_files(spark, str(tmp_path)).collect()
+    given = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", plain(r.text)) for r in docs.collect())
+    assert len(rows) == len(given)
+    start = 0
+    for row, (known, doc_id, _, ids) in zip(sorted(rows, key=lambda r: r.start), given):
+        assert (row.doc_id, row.start, row.n_tokens) == (doc_id if known else None, start, len(ids))
+        assert np.frombuffer(row.ids, "<u4").tolist() == ids
+        start += len(ids)
+
+
+def test_one_document_is_read_by_its_offset(spark, docs, tmp_path):
+    token_files.write_token_files(docs.filter("doc_id < 9").coalesce(1), PATH, str(tmp_path))
+    dictionary = spark.read.parquet(f"{tmp_path}/dictionary").first()[0]
+    for row in spark.read.parquet(f"{tmp_path}/catalog").collect():
+        with token_files.TokenFile(f"{tmp_path}/files/{row.name}", dictionary) as opened:
+            last = row.n_docs - 1
+            doc_id = opened.index.column(0)[last].as_py()
+            assert np.frombuffer(opened.ids(last), "<u4").tolist() == plain(TEXTS[doc_id])
+        with pytest.raises(ValueError, match="dictionary"):
+            token_files.TokenFile(f"{tmp_path}/files/{row.name}", b"another")
+
+
+def test_token_files_of_an_empty_table(spark, docs, tmp_path):
+    token_files.write_token_files(docs.limit(0), PATH, str(tmp_path))
+    assert token_files.read_token_files(spark, str(tmp_path)).collect() == []
+
+
+def packed_rows(frame):
+    sequences = defaultdict(list)
+    for r in frame.collect():
+        sequences[r.sequence_id].append(r)
+    for rows in sequences.values():
+        rows.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))]
+    return sequences
+
+
+def test_pack_keeps_every_token(spark, docs, tmp_path):
+    size = 64
+    sequences = packed_rows(packing.pack(docs, PATH, str(tmp_path), size=size))
+    assert all(sum(r.length for r in rows) <= size for rows in sequences.values())
+    by_doc = defaultdict(list)
+    for r in (r for rows in sequences.values() for r in rows):
+        by_doc[r.doc_id].append(r)
+    total = 0
+    for row in docs.filter("doc_id != 3").collect():
+        ids, rows = plain(row.text), sorted(by_doc[row.doc_id], key=lambda r: r.piece)
+        total += len(ids)
+        assert [r.piece for r in rows] == list(range(len(rows)))
+        assert sum((np.frombuffer(r.ids, "<u4").tolist() for r in rows), []) == ids
+        assert [r.start for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))]
+        assert all(r.length == size for r in rows[1:])
+        assert len(rows) == math.ceil(len(ids) / size)
+    assert len(by_doc[3]) == 2
+    assert len(sequences) <= math.ceil(total / size) + 2
+
+
+def test_pack_holds_every_capacity(spark, docs, tmp_path):
+    sequences = packed_rows(packing.pack(docs, PATH, str(tmp_path), size=64, max_docs=3, max_attention=1500, rule="dot"))
+    for rows in sequences.values():
+        assert len(rows) <= 3
+        assert len(rows) == 1 or sum(r.length**2 for r in rows) <= 1500
+    assert packing.pack(docs.limit(0), PATH, str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_vector_best_fit_against_the_bound(rule):
+    draw = random.Random(5)
+    lengths = np.array([draw.randint(1, 700) for _ in range(3000)], np.int64)
+    bins = packing.vector_best_fit(lengths, (2048, 2048, 2048**2), rule)
+    filled = np.bincount(bins, lengths)
+    assert filled.max() <= 2048 and len(filled) <= math.ceil(lengths.sum() / 2048) * 1.01 + 1
+    assert crc([1, 2]) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
