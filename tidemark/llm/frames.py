@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +56,8 @@ def pairs(source: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The first two values of every row, one at a time so that few texts are held as Python objects."""
     for b in source:
         yield from ((x.as_py(), y.as_py()) for x, y in zip(b.column(0), b.column(1)))
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The shared store that a folder lies in, as ``pyarrow`` knows it, and the path there."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")

@@ -22,13 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.frames import arrow_schema, batches, narrowed, pairs, staged, type_of
+from tidemark.llm.frames import arrow_schema, batches, narrowed, pairs, staged, store, type_of
 from tidemark.llm.tokens import ID, encoder
 
 MAGIC = b"TIDETOK1"
@@ -39,10 +38,6 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 4000, 65_536
 LEVEL = 3
 
 
-def store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
-
-
 def narrow(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, ID).astype(f"<u{width}").tobytes()
 
