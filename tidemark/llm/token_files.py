@@ -129,11 +129,15 @@ def write_token_files(
     """
     spark, rows = docs.sparkSession, narrowed(docs, id_col, text_col)
     width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else ID.itemsize
+    # A share of the rows that holds enough of them, by a hash, so that few travel from however many tasks.
+    share = min(1.0, 4 * SAMPLE_DOCS / max(1, rows.count()))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     sample = (
-        rows.filter(F.length("text") > 0)
-        .orderBy(F.xxhash64("doc_id", "text"))
+        rows.filter((F.length("text") > 0) & (drawn <= int(share * (1 << 30))))
+        .select(drawn.alias("drawn"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .orderBy("drawn", "text")
         .limit(SAMPLE_DOCS)
-        .select(F.substring("text", 1, SAMPLE_CHARS))
+        .select("text")
     )
     dictionary = train([narrow(encoder(tokenizer).ids(r[0]), width) for r in sample.collect()])
     spark.createDataFrame([(dictionary,)], "dictionary binary").write.mode("overwrite").parquet(f"{folder}/dictionary")

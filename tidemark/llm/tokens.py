@@ -8,7 +8,17 @@ import numpy as np
 from tokenizers import Tokenizer
 
 ID = np.dtype("<u4")
-MEMO_BYTES = 48_000_000
+#: Bytes that the memo of a worker may take; what an entry takes besides its strings.
+MEMO_BYTES, ENTRY_BYTES = 200_000_000, 170
+#: Marks that a splitting rule cuts off a word's end as a token of their own.
+MARKS = ".,;:!?"
+
+
+def byte_letters() -> dict[int, int]:
+    """Letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one past 255."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
 class Encoder:
@@ -16,13 +26,16 @@ class Encoder:
 
     A byte-level vocabulary starts a new word at every single space between two visible
     characters, so such texts are encoded from a memo of their words. Any other text, and any
-    tokenizer with another splitting rule, goes through the tokenizer whole.
+    tokenizer with another splitting rule, goes through the tokenizer whole. A new word of Latin
+    letters is one token of the splitting rule and goes straight to the tokenizer's merges.
     """
 
     def __init__(self, path: str, memo_bytes: int = MEMO_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_word = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
         self.memo_bytes = memo_bytes
         self._memo: dict[str, bytes | None] = {}
         self._held = 0
@@ -30,6 +43,27 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
+    def _keep(self, word: str, ids: bytes | None) -> bytes | None:
+        self._memo[word] = ids
+        self._held += ENTRY_BYTES + len(word) + len(ids or b"")
+        return ids
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a space and the word; None for a word that touches other white space."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        core = word.rstrip(MARKS)
+        if not core.isalpha() or max(core) > "\u024f":
+            return self.whole(" " + word)
+        ids = self._memo.get(core)
+        if ids is None:
+            spelled = f" {core}".encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.merges.tokenize(spelled)], ID).tobytes()
+        if core == word:
+            return ids
+        self._keep(core, ids)
+        return ids + self.whole(word[len(core) :])
+
     def ids(self, text: str | None) -> bytes:
         """Ids of ``text``; a missing text is an empty one."""
         if not text:
@@ -43,9 +77,8 @@ class Encoder:
             memo.clear()
             self._held, new = 0, set(rest)
         for word in new:
-            ragged = not word or word[0].isspace() or word[-1].isspace()
-            memo[word] = ids = None if ragged else self.whole(" " + word)
-            self._held += 150 + len(word) + len(ids or b"")
+            if word not in memo:
+                self._keep(word, self._word(word))
         try:
             return (self.whole(first) if first else b"") + b"".join(map(memo.__getitem__, rest))
         except TypeError:  # a word next to other white space
