@@ -1,0 +1,65 @@
+"""Totals against a recount."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tests.llm import cases
+from tidemark.llm import queries, rollup
+
+COLUMNS = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
+
+
+def rows(totals):
+    return {tuple(r) for r in totals.totals().collect()}
+
+
+def test_batches_add_up_once(spark, tmp_path):
+    totals = rollup.TokenTotals(spark, str(tmp_path))
+    assert rows(totals) == set()
+    one = spark.createDataFrame([(1, "a", "en", "t1", 5), (2, "a", "en", "t1", 7), (3, None, "en", "t1", None)], COLUMNS)
+    assert totals.apply("one", rollup.inserts(one))
+    assert rows(totals) == {("a", "en", "t1", 2, 12), (None, "en", "t1", 1, 0)}
+    assert not totals.apply("one", rollup.inserts(one))
+    new = one.filter("doc_id = 2").withColumn("tokenizer", rollup.F.lit("t2")).withColumn("n_tokens", rollup.F.lit(9).cast("long"))
+    assert totals.apply("two", rollup.revisions(one.filter("doc_id = 2"), new))
+    assert totals.apply("three", rollup.deletes(one.filter("doc_id = 3")))
+    assert totals.apply("none", rollup.deletes(one.limit(0)))
+    assert rows(totals) == {("a", "en", "t1", 1, 5), ("a", "en", "t2", 1, 9)}
+    assert [r.batch for r in totals.batches().orderBy("version").collect()] == ["one", "two", "three", "none"]
+
+
+def test_a_lost_batch_counts_for_nothing(spark, tmp_path, monkeypatch):
+    totals = rollup.TokenTotals(spark, str(tmp_path))
+    one = spark.createDataFrame([(1, "a", "en", "t1", 5)], COLUMNS)
+    with monkeypatch.context() as lost:
+        lost.setattr(type(one.write), "mode", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        try:
+            totals.apply("one", rollup.inserts(one))
+        except RuntimeError:
+            pass
+    assert rows(totals) == set()
+    assert totals.apply("one", rollup.inserts(one)) and rows(totals) == {("a", "en", "t1", 1, 5)}
+
+
+def test_query_against_a_recount(spark):
+    names = {"byte_bpe_50k": queries.BYTE_BPE, "word_bpe_49k": queries.WORD_BPE}
+    own = {n: Tokenizer.from_file(p) for n, p in names.items()}
+    expected = Counter()
+    for r in queries.documents(spark, cases.SMALL).collect():
+        size = {n: len(t.encode(r.text or "", add_special_tokens=False).ids) for n, t in own.items()}
+        if size["byte_bpe_50k"] >= queries.SHORT:
+            name = "byte_bpe_50k" if r.lang == "en" else "word_bpe_49k"
+            expected[r.source, r.lang, name, "docs"] += 1
+            expected[r.source, r.lang, name, "tokens"] += size[name]
+    found = queries.op8_token_totals(spark, cases.SMALL).collect()
+    assert {(*r[:3], "docs"): r.n_docs for r in found} | {(*r[:3], "tokens"): r.n_tokens for r in found} == expected
+
+
+def test_awkward_documents(spark):
+    docs = cases.documents(spark)
+    found = rollup.counted(docs, public_tokenizers.path("byte_bpe_50k.json"), "t").collect()
+    assert len(found) == docs.count() and all(r.tokenizer == "t" and r.n_tokens >= 0 for r in found)

@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, simhash, token_files
+from tidemark.llm import line_dedup, packing, pieces, pii, quality, rollup, simhash, suffix_dedup, token_files, topk
+from tidemark.llm.frames import staged
 from tidemark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 EXPECTED: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Key of the pseudonyms where the session names none: good for a trial, not for a release.
+KEY_SETTING, TRIAL_KEY = "spark.tidemark.pii.key", "trial key"
+#: Documents below so many tokens are deleted from the totals.
+SHORT = 16
 
 
 def query(run: Query) -> Query:
@@ -26,6 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY).encode()
+
+
 @query
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
@@ -36,6 +47,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier."""
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), scratch_path(spark, "suffixes"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return pieces.round_trip(documents(spark, sf_dir), PIECES)
+
+
 @query
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ratios and verdict of all documents."""
@@ -51,6 +81,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best products of every fiftieth vector with all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, scratch_path(spark, "topk"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines of earlier ones."""
@@ -58,6 +95,32 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op8_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents, short ones deleted, other languages recounted with
+    another tokenizer, and the first batch once more, which changes nothing."""
+    folder = scratch_path(spark, "totals")
+    docs = documents(spark, sf_dir)
+    counts = staged(rollup.counted(docs, BYTE_BPE, "byte_bpe_50k"), f"{folder}/counts")
+    short, kept = F.col("n_tokens") < SHORT, F.col("n_tokens") >= SHORT
+    other = docs.filter("lang != 'en'")
+    revised = rollup.counted(other, WORD_BPE, "word_bpe_49k").join(
+        counts.filter(kept & (F.col("lang") != "en")).select("doc_id"), "doc_id", "left_semi"
+    )
+    totals = rollup.TokenTotals(spark, folder)
+    totals.apply("load", rollup.inserts(counts))
+    totals.apply("short", rollup.deletes(counts.filter(short)))
+    totals.apply("recount", rollup.revisions(counts.filter(kept & (F.col("lang") != "en")), revised))
+    totals.apply("load", rollup.inserts(counts))
+    return totals.totals()
+
+
+@query
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced, and how much of each kind."""
+    return pii.pseudonymized(documents(spark, sf_dir), pii_key(spark))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
