@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+import workload
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -38,7 +39,7 @@ def bag(columns, rows):
     return Counter(tuple(comparable(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query(spark, duck, name):
     result = driver.queries()[name](spark, SF_DIR)
     rows = [tuple(r) for r in result.collect()]

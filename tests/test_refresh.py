@@ -76,25 +76,25 @@ def test_full_load_and_incremental_file(warehouse, tmp_path):
         "products_csv": ("success", 3, 3),
         "customers_csv": ("success", 5, 5),
     }
-    assert runs["sales_csv"]["watermark"] == day(24)
-    assert warehouse.watermark("sales_csv") == day(24)
+    assert runs["sales_csv"]["watermark"] == day(25)
+    assert warehouse.watermark("sales_csv") == day(25)
     assert warehouse.current("product").filter("is_current").count() == 3
 
     later = star_job(tmp_path, sales=SALES + SALES_LATER)
     runs = by_source(refresh(warehouse, later, as_of=day(2, 2)))
     assert (runs["sales_csv"]["rows_processed"], runs["products_csv"]["rows_processed"]) == (3, 0)
     assert runs["products_csv"]["status"] == "success"
-    assert warehouse.watermark("sales_csv") == day(27)
+    assert warehouse.watermark("sales_csv") == day(30)
     assert warehouse.facts("sales").count() == 13
 
     cube = warehouse.cube("sales").filter("category IS NULL AND segment IS NULL")
     sums = {r["region"]: (int(r["quantity"]), float(r["amount"])) for r in cube.collect()}
     assert sums == {
-        "North": (9, 784.99),
-        "South": (5, 1224.98),
-        "East": (20, 825.00),
-        "West": (6, 1299.98),
-        None: (40, 4134.95),
+        "Coast": (11, 217.20),
+        "Hills": (6, 97.50),
+        "Valley": (23, 469.50),
+        "Delta": (13, 214.50),
+        None: (53, 998.70),
     }
     stats = {r["table_name"]: r["row_count"] for r in warehouse.stats().collect()}
     assert stats == {"fact_sales": 13, "dim_product": 3, "dim_customer": 5}
@@ -106,7 +106,7 @@ def test_invalid_batch_loads_nothing(warehouse, tmp_path):
     assert (run["status"], run["rows_processed"], run["rows_inserted"]) == ("failed", 4, 0)
     assert run["errors"][0] == "Validation failed: 3 rows failed, 1 rows passed"
     assert run["errors"][1] == "  Row 1:\n    - customer_id: Required field is missing or empty (value: \"\")"
-    assert run["errors"][2] == "  Row 2:\n    - quantity: Number must be greater than 0 (value: -2)"
+    assert run["errors"][2] == "  Row 2:\n    - quantity: Number must be greater than 0 (value: -6)"
     assert warehouse.facts("sales").count() == 0
     assert warehouse.watermark("sales_csv") is None
     assert warehouse.invalidations().count() == 0
@@ -127,12 +127,12 @@ def test_duplicate_ids_fail_the_batch(warehouse, tmp_path):
 
 
 def test_malformed_file_fails_its_source_only(warehouse, tmp_path):
-    job = star_job(tmp_path, sales=[*SALES, "11,P001,C001"])
+    job = star_job(tmp_path, sales=[*SALES, "s-11,oak,ada"])
     runs = by_source(refresh(warehouse, job))
     assert runs["sales_csv"]["status"] == "failed"
     assert "malformed" in runs["sales_csv"]["errors"][0]
     kept = [(r["_row"], r["message"], r["value"]) for r in warehouse.errors().collect()]
-    assert kept == [(10, "Malformed record", "11,P001,C001")]
+    assert kept == [(10, "Malformed record", "s-11,oak,ada")]
     assert runs["products_csv"]["status"] == runs["customers_csv"]["status"] == "success"
     event = warehouse.invalidations("sales").first()
     assert event["sources"] == ["products_csv", "customers_csv"]
@@ -141,7 +141,7 @@ def test_malformed_file_fails_its_source_only(warehouse, tmp_path):
 def test_a_malformed_record_is_found_behind_the_mark(warehouse, tmp_path):
     path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
     refresh(warehouse, sales_job(path))
-    write_csv(tmp_path / "s.csv", SALES_HEADER, [*SALES, "0,P001,C001,1,1.00,2024-01-01", *SALES_LATER])
+    write_csv(tmp_path / "s.csv", SALES_HEADER, [*SALES, "s-00,oak,ada,1,1.00,2024-01-01", *SALES_LATER])
     run = refresh(warehouse, sales_job(path)).filter("status = 'failed'").first()
     assert "1 malformed" in run["errors"][0]
     assert warehouse.facts("sales").count() == 10
@@ -154,19 +154,19 @@ def test_missing_file_fails_its_source_only(warehouse, tmp_path):
 
 def test_since_replaces_the_mark(warehouse, tmp_path):
     path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
-    run = refresh(warehouse, sales_job(path), since=day(20)).first()
-    assert run["rows_processed"] == 4
-    assert sorted(r["id"] for r in warehouse.facts("sales").collect()) == ["10", "7", "8", "9"]
-    refresh(warehouse, sales_job(path), since=day(22))
-    assert warehouse.facts("sales").count() == 6
-    assert warehouse.watermark("sales_csv") == day(24)
+    run = refresh(warehouse, sales_job(path), since=day(17)).first()
+    assert run["rows_processed"] == 3
+    assert sorted(r["id"] for r in warehouse.facts("sales").collect()) == ["s-08", "s-09", "s-10"]
+    refresh(warehouse, sales_job(path), since=day(19))
+    assert warehouse.facts("sales").count() == 5
+    assert warehouse.watermark("sales_csv") == day(25)
 
 
 def test_insert_if_absent_does_not_repeat_facts(warehouse, tmp_path):
     path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
     job = sales_job(path, insert_if_absent=True)
     refresh(warehouse, job)
-    run = refresh(warehouse, job, since=day(22)).first()
+    run = refresh(warehouse, job, since=day(19)).first()
     assert (run["rows_processed"], run["rows_inserted"]) == (2, 0)
     assert warehouse.facts("sales").count() == 10
 
@@ -178,14 +178,14 @@ def test_price_change_makes_a_second_version(warehouse, tmp_path):
         return Job((source,), (Cube("sales", ("products_csv",), dimensions=("product",)),))
 
     refresh(warehouse, job(PRODUCTS[:2]), as_of=day(1))
-    changed = ["P001,Widget A,Electronics,35.00,2024-01-15", PRODUCTS[1]]
+    changed = ["oak,Oak sapling,Hardwood,24.50,2024-01-15", PRODUCTS[1]]
     run = refresh(warehouse, job(changed), as_of=day(15)).first()
     assert (run["rows_inserted"], run["rows_updated"]) == (1, 1)
     assert warehouse.current("product").count() == 2
-    versions = warehouse.dimension("product", {"product_id": "P001"}).orderBy("valid_from").collect()
+    versions = warehouse.dimension("product", {"product_id": "oak"}).orderBy("valid_from").collect()
     assert [(v["price"], v["valid_from"], v["valid_to"], v["is_current"]) for v in versions] == [
-        (30.0, day(1), day(15), False),
-        (35.0, day(15), None, True),
+        (21.0, day(1), day(15), False),
+        (24.5, day(15), None, True),
     ]
     again = refresh(warehouse, job(changed), as_of=day(16)).first()
     assert (again["rows_inserted"], again["rows_updated"]) == (0, 0)
@@ -194,7 +194,7 @@ def test_price_change_makes_a_second_version(warehouse, tmp_path):
 
 def test_cube_over_the_versions_valid_at_the_sale(warehouse, tmp_path):
     def job(category):
-        products = write_csv(tmp_path / "p.csv", PRODUCTS_HEADER, [f"P001,Widget A,{category},30.00,2024-01-01"])
+        products = write_csv(tmp_path / "p.csv", PRODUCTS_HEADER, [f"oak,Oak sapling,{category},21.00,2023-12-01"])
         sales = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
         cube = Cube("c", ("s", "p"), dimensions=("product",), measures=("amount",), fact_attributes=())
         sources = (Source("s", "csv", "sales", {"path": sales}, "sale_date"), Source("p", "csv", "product", {"path": products}))
@@ -206,8 +206,8 @@ def test_cube_over_the_versions_valid_at_the_sale(warehouse, tmp_path):
     def sums(name):
         return {r["category"]: float(r["amount"]) for r in warehouse.cube(name).filter("grouping_id = 0").collect()}
 
-    assert sums("c") == {"New": 600.0, None: 2599.96}
-    assert sums("then") == {"Old": 210.0, "New": 390.0, None: 2599.96}
+    assert sums("c") == {"New": 378.0, None: 351.0}
+    assert sums("then") == {"Old": 231.0, "New": 147.0, None: 351.0}
 
 
 def test_invalidation_names_cube_and_sources_and_can_be_cleared(warehouse, tmp_path):
@@ -282,9 +282,9 @@ def test_a_cleared_table_is_empty_until_it_is_loaded_again(warehouse, tmp_path):
     refresh(warehouse, sales_job(path))
     warehouse.clear("sales", day(1, 3))
     assert warehouse.facts("sales").count() == 0
-    assert warehouse.watermark("sales_csv") == day(24)
+    assert warehouse.watermark("sales_csv") == day(25)
     assert warehouse.stats().count() == 0
-    refresh(warehouse, sales_job(path), since=day(22))
+    refresh(warehouse, sales_job(path), since=day(19))
     assert warehouse.facts("sales").count() == 2
     assert [tuple(r) for r in warehouse.stats().collect()] == [("fact_sales", 2)]
 
@@ -309,7 +309,7 @@ def test_a_source_of_two_cubes_is_loaded_once(warehouse, tmp_path):
     path = write_csv(tmp_path / "s.csv", SALES_HEADER, SALES)
     job = sales_job(path)
     both = Job(job.sources, (*job.cubes, Cube("again", ("sales_csv",), measures=("amount",))))
-    runs = {r["cube"]: r for r in refresh(warehouse, both, since=day(20)).collect()}
+    runs = {r["cube"]: r for r in refresh(warehouse, both, since=day(14)).collect()}
     assert (runs["sales"]["rows_inserted"], runs["again"]["rows_inserted"]) == (4, 0)
     assert warehouse.facts("sales").count() == 4
     assert warehouse.cube("again").filter("region IS NULL").first()["row_count"] == 4
@@ -340,7 +340,7 @@ def test_command_line(spark, tmp_path, capsys):
         )
     )
     common = ["run", "--config", str(config), "--warehouse", str(tmp_path / "cli")]
-    assert main([*common, "--cube", "sales", "--since", "2024-01-20T00:00:00Z"]) == 0
+    assert main([*common, "--cube", "sales", "--since", "2024-01-14T00:00:00Z"]) == 0
     out = capsys.readouterr().out
     assert "good" in out and "fact_sales" in out and "4" in out
     assert main([*common, "--cube", "broken"]) == 1
@@ -383,7 +383,7 @@ def test_rebuilds_from_sums_equal_a_cube_of_all_facts(warehouse, tmp_path, monke
         return expected(sales, segments_of(customers))
 
     assert load(SALES[:4], CUSTOMERS) == found()
-    moved = [c.replace("Premium", "Gold") for c in CUSTOMERS]
+    moved = [c.replace("Trade", "Public") for c in CUSTOMERS]
     assert load(SALES[:8], moved) == found()
     assert load(SALES[:8], CUSTOMERS) == found()
     warehouse.clear("sales", day(1))

@@ -28,17 +28,17 @@ def incoming(spark, *rows):
 @pytest.mark.parametrize(
     ("stored", "batch", "inserted", "closed"),
     [
-        ([], [("P001", "Widget", 30.0)], 1, 0),
-        ([("P001", "Widget", 30.0)], [("P001", "Widget", 35.0)], 1, 1),
-        ([("P001", "Widget", 30.0)], [("P001", "Widget", 30.0)], 0, 0),
+        ([], [("oak", "Oak sapling", 21.0)], 1, 0),
+        ([("oak", "Oak sapling", 21.0)], [("oak", "Oak sapling", 24.5)], 1, 1),
+        ([("oak", "Oak sapling", 21.0)], [("oak", "Oak sapling", 21.0)], 0, 0),
         (
-            [("P001", "Widget", 30.0), ("P002", "Gadget", 75.0)],
-            [("P001", "Widget", 30.0), ("P002", "Gadget", 80.0), ("P003", "Device", 1.0)],
+            [("oak", "Oak sapling", 21.0), ("elm", "Elm sapling", 19.5)],
+            [("oak", "Oak sapling", 21.0), ("elm", "Elm sapling", 22.5), ("fir", "Fir sapling", 1.0)],
             2,
             1,
         ),
-        ([("P001", None, None)], [("P001", None, None)], 0, 0),
-        ([("P001", None, 1.0)], [("P001", "Widget", 1.0)], 1, 1),
+        ([("oak", None, None)], [("oak", None, None)], 0, 0),
+        ([("oak", None, 1.0)], [("oak", "Oak sapling", 1.0)], 1, 1),
     ],
 )
 def test_inserts_and_closes(spark, stored, batch, inserted, closed, unique_keys):
@@ -52,14 +52,14 @@ def test_inserts_and_closes(spark, stored, batch, inserted, closed, unique_keys)
 
 
 def test_columns_outside_the_comparison_change_nothing(spark):
-    current = dimension(spark, ("P001", "Widget", 30.0))
-    rows = incoming(spark, ("P001", "Renamed", 30.0))
+    current = dimension(spark, ("oak", "Oak sapling", 21.0))
+    rows = incoming(spark, ("oak", "Renamed", 21.0))
     assert scd2.scd2_delta(current, rows, KEY, ["price"], day(20)).count() == 0
 
 
 def test_incoming_validity_is_overwritten_and_columns_are_checked(spark):
     current = dimension(spark)
-    rows = incoming(spark, ("P001", "Widget", 30.0)).withColumn("valid_from", F.lit("1999-01-01").cast("timestamp_ntz"))
+    rows = incoming(spark, ("oak", "Oak sapling", 21.0)).withColumn("valid_from", F.lit("1999-01-01").cast("timestamp_ntz"))
     assert scd2.scd2_inserts(current, rows, KEY, COMPARE, day(20)).first()["valid_from"] == day(20)
     with pytest.raises(ValueError, match="price"):
         scd2.scd2_delta(current, rows.drop("price"), KEY, COMPARE, day(20))
@@ -67,38 +67,38 @@ def test_incoming_validity_is_overwritten_and_columns_are_checked(spark):
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 2])
 def test_repeated_and_missing_keys_in_a_batch(spark, hot_rows):
-    current = dimension(spark, ("P001", "Widget", 30.0), (None, "No key", 1.0), ("P009", "Idle", 9.0))
+    current = dimension(spark, ("oak", "Oak sapling", 21.0), (None, "No key", 1.0), ("ash", "Idle", 9.0))
     rows = incoming(
         spark,
-        ("P001", "Widget", 31.0),
-        ("P001", "Widget", 32.0),
-        ("P001", "Widget", 30.0),
+        ("oak", "Oak sapling", 31.0),
+        ("oak", "Oak sapling", 32.0),
+        ("oak", "Oak sapling", 21.0),
         (None, "No key", 2.0),
-        ("P005", "New", 5.0),
-        ("P005", "New", 6.0),
+        ("yew", "New", 5.0),
+        ("yew", "New", 6.0),
     )
     merged = scd2.scd2_merge(current, rows, KEY, COMPARE, day(20), hot_rows=hot_rows)
     got = sorted(((r["product_id"] or "", r["price"], r["is_current"]) for r in merged.collect()))
     assert got == sorted(
         [
-            ("P001", 30.0, False),
-            ("P001", 31.0, True),
-            ("P001", 32.0, True),
+            ("oak", 21.0, False),
+            ("oak", 31.0, True),
+            ("oak", 32.0, True),
             ("", 1.0, False),
             ("", 2.0, True),
-            ("P005", 5.0, True),
-            ("P005", 6.0, True),
-            ("P009", 9.0, True),
+            ("yew", 5.0, True),
+            ("yew", 6.0, True),
+            ("ash", 9.0, True),
         ]
     )
 
 
 def test_latest_of_several_current_versions_counts(spark):
-    rows = [("P001", "Widget", 10.0, day(1), None, True), ("P001", "Widget", 20.0, day(5), None, True)]
+    rows = [("oak", "Oak sapling", 10.0, day(1), None, True), ("oak", "Oak sapling", 20.0, day(5), None, True)]
     current = spark.createDataFrame(rows, DIMENSION)
-    same = incoming(spark, ("P001", "Widget", 20.0))
+    same = incoming(spark, ("oak", "Oak sapling", 20.0))
     assert scd2.scd2_delta(current, same, KEY, COMPARE, day(20)).count() == 0
-    merged = scd2.scd2_merge(current, incoming(spark, ("P001", "Widget", 25.0)), KEY, COMPARE, day(20))
+    merged = scd2.scd2_merge(current, incoming(spark, ("oak", "Oak sapling", 25.0)), KEY, COMPARE, day(20))
     assert sorted((r["price"], r["is_current"]) for r in merged.collect()) == [(10.0, True), (20.0, False), (25.0, True)]
 
 

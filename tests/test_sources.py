@@ -26,10 +26,10 @@ from tidemark.sources.jdbc import JdbcSplit, jdbc_options
 
 
 def test_csv_rows_are_text(spark, tmp_path):
-    path = write_csv(tmp_path / "a.csv", "id,name,value,date", ["1,Item1,100,2024-01-01", "2,Item2,200,2024-01-02"])
+    path = write_csv(tmp_path / "a.csv", "id,name,value,date", ["a,Birch,12,2024-02-03", "b,Maple,7,2024-02-04"])
     rows = csv_scan(spark, path).collect()
     assert len(rows) == 2
-    assert rows[0].asDict() == {"id": "1", "name": "Item1", "value": "100", "date": "2024-01-01", "_corrupt": None}
+    assert rows[0].asDict() == {"id": "a", "name": "Birch", "value": "12", "date": "2024-02-03", "_corrupt": None}
 
 
 def test_csv_quotes_empty_cells_and_blank_lines(spark, tmp_path):
@@ -62,12 +62,12 @@ def test_files_with_another_header_order_are_refused(spark, tmp_path):
 
 def test_watermark_filter(spark, tmp_path):
     path = write_csv(
-        tmp_path / "w.csv", "id,name,date", ["1,Item1,2024-01-01", "2,Item2,2024-01-15", "3,Item3,2024-01-20", "4,Item4,?"]
+        tmp_path / "w.csv", "id,name,date", ["1,Larch,2024-01-03", "2,Pine,2024-01-14", "3,Rowan,2024-01-22", "4,Alder,?"]
     )
     raw = csv_scan(spark, path)
     fresh = incremental_filter(raw, "date", day(10))
     assert [r["id"] for r in fresh.collect()] == ["2", "3"]
-    assert batch_high_water_mark(fresh, "date").first()[0] == day(20)
+    assert batch_high_water_mark(fresh, "date").first()[0] == day(22)
     assert [r["id"] for r in late_rows(raw, "date", day(15)).collect()] == ["1", "2"]
     assert incremental_filter(raw, "date", day(15)).count() == 1
     assert incremental_filter(raw, "date", None).count() == 4

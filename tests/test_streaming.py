@@ -34,7 +34,7 @@ def test_new_files_are_loaded_once(spark, folders):
     write_csv(folders / "in" / "2.csv", SALES_HEADER, [*SALES[-2:], *SALES_LATER])
     warehouse = run(spark, folders)
     assert warehouse.facts("sales").count() == 13
-    assert warehouse.watermark("sales") == day(27)
+    assert warehouse.watermark("sales") == day(30)
     assert [r["rows_processed"] for r in warehouse.runs().orderBy("start_time").collect()] == [10, 3]
     assert warehouse.cube("sales") is None
     assert rebuild_stale(warehouse, [CUBE]) == ["sales"]
