@@ -13,18 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.coerce import as_flag, as_instant, as_number, as_text
+from tidemark.functions.coerce import as_flag, as_instant, as_key, as_number, as_text, is_json, json_kind, json_text
 
 # Issue texts.
 INVALID_KEY = "Invalid input"
 MISSING = "Required"
-NOT_A_NUMBER = "Expected number, received string"
+NOT_A_NUMBER, NOT_TEXT, NOT_A_FLAG = "Expected number, received ", "Expected string, received ", "Expected boolean, received "
 NAN = "Expected number, received nan"
 NOT_POSITIVE = "Number must be greater than 0"
 EMPTY_TEXT = "String must contain at least 1 character(s)"
 BAD_EMAIL = "Invalid email"
 BAD_DATE = "Invalid date"
-NOT_A_FLAG = "Expected boolean, received string"
 REQUIRED_EMPTY = "Required field is missing or empty"
 DUPLICATE = "Duplicate value found"
 
@@ -41,7 +40,7 @@ SPARK_TYPES: dict[str, T.DataType] = {
 }
 
 CASTS: dict[str, Callable[[Column, T.DataType], Column]] = {
-    "key": as_text,
+    "key": as_key,
     "number": as_number,
     "text": as_text,
     "email": as_text,
@@ -67,25 +66,30 @@ class Field:
     def filled(self, value: Column) -> Column:
         return value if self.default is None else F.coalesce(value, F.lit(self.default))
 
-    def issue(self, raw: Column, value: Column) -> Column:
-        """Text of the first rule a raw value and its cast break, NULL when there is none."""
+    def issue(self, raw: Column, value: Column, dtype: T.DataType = T.StringType()) -> Column:
+        """Text of the first rule a raw value of this type and its cast break, NULL when there is none."""
+        found = json_kind(raw) if is_json(dtype) else F.lit("string")
+
+        def unlike(expected: str) -> tuple[Column, Column]:
+            return value.isNull(), F.concat(F.lit(expected), found)
+
         if self.kind == "number":
-            checks = [(value.isNull(), NOT_A_NUMBER), (F.isnan(value), NAN), (value <= 0, NOT_POSITIVE)]
+            checks = [unlike(NOT_A_NUMBER), (F.isnan(value), F.lit(NAN)), (value <= 0, F.lit(NOT_POSITIVE))]
         elif self.kind == "text":
-            checks = [(F.length(value) == 0, EMPTY_TEXT)]
+            checks = [unlike(NOT_TEXT), (F.length(value) == 0, F.lit(EMPTY_TEXT))]
         elif self.kind == "email":
-            checks = [(~valid_email(value), BAD_EMAIL)]
+            checks = [unlike(NOT_TEXT), (~valid_email(value), F.lit(BAD_EMAIL))]
         elif self.kind == "date":
-            checks = [(value.isNull(), BAD_DATE)]
+            checks = [(value.isNull(), F.lit(BAD_DATE))]
         elif self.kind == "flag":
-            checks = [(value.isNull(), NOT_A_FLAG)]
+            checks = [unlike(NOT_A_FLAG)]
         else:
-            checks = []
+            checks = [(value.isNull(), F.lit(INVALID_KEY))]
         absent = {"key": INVALID_KEY, "date": BAD_DATE}.get(self.kind, MISSING)
         may_be_absent = self.optional or self.default is not None
         message = F.when(raw.isNull(), F.lit(None if may_be_absent else absent))
         for broken, text in checks:
-            message = message.when(broken, F.lit(text))
+            message = message.when(broken, text)
         return message.cast("string")
 
 
@@ -95,7 +99,7 @@ class Contract:
     role: str  # "fact" or "dimension"
     fields: tuple[Field, ...]
     required: tuple[str, ...] = ()
-    unique: tuple[str, ...] = ()
+    unique: tuple[str | tuple[str, ...], ...] = ()
     key: tuple[str, ...] = ("id",)
     compare: tuple[str, ...] = ()
     table: str = field(default="")
@@ -106,7 +110,7 @@ class Contract:
         if not self.table:
             object.__setattr__(self, "table", f"{'fact' if self.role == 'fact' else 'dim'}_{self.name}")
         known = {f.name for f in self.fields}
-        for column in (*self.required, *self.unique, *self.compare):
+        for column in (*self.required, *self.unique_columns, *self.compare):
             if column not in known:
                 raise ValueError(f"contract {self.name}: no field {column!r}")
 
@@ -114,6 +118,20 @@ class Contract:
     def columns(self) -> list[str]:
         return [f.name for f in self.fields]
 
+    @property
+    def unique_keys(self) -> list[tuple[str, ...]]:
+        """Columns that may not repeat together: those declared, and the key of a dimension,
+        since a merge takes at most one row per key from a batch."""
+        declared = [(u,) if isinstance(u, str) else tuple(u) for u in self.unique]
+        covered = any(set(u) <= set(self.key) for u in declared)
+        if self.role == "dimension" and not covered and set(self.key) <= set(self.columns):
+            declared.append(tuple(self.key))
+        return declared
+
+    @property
+    def unique_columns(self) -> list[str]:
+        return list(dict.fromkeys(c for names in self.unique_keys for c in names))
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(f.name, f.spark_type) for f in self.fields])
@@ -144,11 +162,13 @@ def field_issue(df: DataFrame, contract: Contract, name: str) -> Column:
     """Broken rule of one field of the contract, as a column over ``df``."""
     found = next(f for f in contract.fields if f.name == name)
     raw, dtype = raw_columns(df, contract)[name]
-    return found.issue(raw, found.cast(raw, dtype))
+    return found.issue(raw, found.cast(raw, dtype), dtype)
 
 
 def missing_required(df: DataFrame, contract: Contract, name: str) -> Column:
     raw, dtype = raw_columns(df, contract)[name]
+    if is_json(dtype):
+        return raw.isNull() | (json_text(raw) == "")
     return raw.isNull() | (raw == "") if isinstance(dtype, T.StringType) else raw.isNull()
 
 

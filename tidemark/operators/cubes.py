@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.naming import all_of
 from tidemark.operators.scd2 import as_of_join
 
 MONEY = "decimal(18,2)"
@@ -23,11 +24,23 @@ class DimensionJoin:
     """
 
     frame: DataFrame
-    fact_key: str
-    dimension_key: str
+    fact_key: str | tuple[str, ...]
+    dimension_key: str | tuple[str, ...]
     attributes: tuple[str, ...]
     at: str | None = None
 
+    def __post_init__(self) -> None:
+        if len(self.fact_keys) != len(self.dimension_keys):
+            raise ValueError(f"keys {self.fact_key} and {self.dimension_key} differ in length")
+
+    @property
+    def fact_keys(self) -> tuple[str, ...]:
+        return (self.fact_key,) if isinstance(self.fact_key, str) else tuple(self.fact_key)
+
+    @property
+    def dimension_keys(self) -> tuple[str, ...]:
+        return (self.dimension_key,) if isinstance(self.dimension_key, str) else tuple(self.dimension_key)
+
 
 def star_join(fact: DataFrame, dimensions: Sequence[DimensionJoin]) -> DataFrame:
     """Fact rows with the attributes of each dimension; an unknown member gives NULLs.
@@ -39,15 +52,16 @@ def star_join(fact: DataFrame, dimensions: Sequence[DimensionJoin]) -> DataFrame
     for number, dim in enumerate(dimensions):
         if dim.at:
             joined = as_of_join(
-                joined, dim.frame, dim.fact_key, dim.at, dim.attributes, dimension_key=dim.dimension_key
+                joined, dim.frame, dim.fact_keys, dim.at, dim.attributes, dimension_key=dim.dimension_keys
             )
             continue
         clash = sorted(set(dim.attributes) & set(joined.columns))
         if clash:
             raise ValueError(f"the facts already have columns {clash}")
-        key = f"_d{number}"
-        side = dim.frame.select(F.col(dim.dimension_key).alias(key), *dim.attributes)
-        joined = joined.join(side, F.col(dim.fact_key) == F.col(key), "left").drop(key)
+        keys = [f"_d{number}_{k}" for k in range(len(dim.fact_keys))]
+        side = dim.frame.select(*[F.col(c).alias(k) for c, k in zip(dim.dimension_keys, keys)], *dim.attributes)
+        on_key = all_of([F.col(c) == F.col(k) for c, k in zip(dim.fact_keys, keys)])
+        joined = joined.join(side, on_key, "left").drop(*keys)
     return joined
 
 
@@ -58,7 +72,7 @@ def collapse_facts(
 
     Such sums of batches add up, and the dimensions are joined to them like to facts.
     """
-    keys = [k for d in dimensions for k in (d.fact_key, d.at) if k]
+    keys = [k for d in dimensions for k in (*d.fact_keys, d.at) if k]
     own = [c for c in by if c in fact.columns]
     sums = [F.sum(F.col(m).cast(MONEY)).alias(m) for m in measures]
     return fact.groupBy(*dict.fromkeys([*keys, *own])).agg(*sums, F.count(F.lit(1)).alias("row_count"))

@@ -21,6 +21,7 @@ from tidemark.contracts import (
     missing_required,
     raw_columns,
 )
+from tidemark.functions.coerce import is_json, json_text
 from tidemark.functions.naming import any_of, member_of
 from tidemark.operators.staging import HOT_ROWS, ROW, hot_keys, join_hot_apart, write_staged
 
@@ -48,7 +49,7 @@ def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
     raw = raw_columns(df, contract)
     cast = df.withColumns({TYPED + f.name: f.cast(*raw[f.name]) for f in contract.fields})
     messages = {
-        f"_m_{number}": (f.name, f.issue(raw[f.name][0], F.col(TYPED + f.name)))
+        f"_m_{number}": (f.name, f.issue(raw[f.name][0], F.col(TYPED + f.name), raw[f.name][1]))
         for number, f in enumerate(contract.fields)
     }
     for number, name in enumerate(contract.required, start=len(contract.fields)):
@@ -57,7 +58,7 @@ def check_rows(df: DataFrame, contract: Contract) -> DataFrame:
     told = cast.withColumns({column: message for column, (_, message) in messages.items()})
     every = F.array(
         *[
-            _issue(number, name, F.col(column), raw[name][0])
+            _issue(number, name, F.col(column), json_text(raw[name][0]) if is_json(raw[name][1]) else raw[name][0])
             for number, (column, (name, _)) in enumerate(messages.items())
         ]
     )
@@ -70,7 +71,9 @@ def flag_rows(df: DataFrame, contract: Contract, row: str = ROW) -> DataFrame:
 
     All that follows reads this narrow table, and the batch itself is parsed once.
     """
-    flagged = check_rows(df, contract).select(row, *contract.unique, ISSUES, BAD)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    unique = [F.col(TYPED + c).alias(c) if is_json(types.get(c)) else F.col(c) for c in contract.unique_columns]
+    flagged = check_rows(df, contract).select(row, *unique, ISSUES, BAD)
     return write_staged(flagged, name="flags")
 
 
@@ -95,12 +98,14 @@ def duplicate_rows(
     return found.filter(F.col(row) > F.col("first_row")).drop("first_row", "n")
 
 
-def _unique_issues(flagged: DataFrame, contract: Contract, row: str, hot_rows: int) -> list[DataFrame]:
+def unique_issues(flagged: DataFrame, contract: Contract, row: str = ROW, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
+    """Row column, bad flag and issue of every repeated row, a frame for each unique key."""
     first = len(contract.fields) + len(contract.required)
     frames = []
-    for number, name in enumerate(contract.unique, start=first):
-        again = duplicate_rows(flagged.select(row, name, BAD), [name], row, hot_rows)
-        issue = _issue(number, name, F.lit(DUPLICATE), F.col(name))
+    for number, names in enumerate(contract.unique_keys, start=first):
+        again = duplicate_rows(flagged.select(row, *names, BAD), names, row, hot_rows)
+        value = F.col(names[0]) if len(names) == 1 else F.concat_ws(", ", *names)
+        issue = _issue(number, ", ".join(names), F.lit(DUPLICATE), value)
         frames.append(again.select(row, BAD, issue.alias("issue")))
     return frames
 
@@ -114,10 +119,16 @@ def validate_errors(
 
 
 def flagged_errors(
-    flagged: DataFrame, contract: Contract, row: str = ROW, hot_rows: int = HOT_ROWS
+    flagged: DataFrame,
+    contract: Contract,
+    row: str = ROW,
+    hot_rows: int = HOT_ROWS,
+    again: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
+    """``again``: the unique issues, where they are known already."""
     local = flagged.filter(BAD).select(row, F.explode(ISSUES).alias("issue")).filter("issue.message IS NOT NULL")
-    frames = [local] + [f.select(row, "issue") for f in _unique_issues(flagged, contract, row, hot_rows)]
+    again = unique_issues(flagged, contract, row, hot_rows) if again is None else again
+    frames = [local] + [f.select(row, "issue") for f in again]
     return reduce(DataFrame.unionByName, frames).select(row, "issue.*")
 
 
@@ -129,10 +140,16 @@ def validate_counts(
 
 
 def flagged_counts(
-    flagged: DataFrame, contract: Contract, row: str = ROW, hot_rows: int = HOT_ROWS
+    flagged: DataFrame,
+    contract: Contract,
+    row: str = ROW,
+    hot_rows: int = HOT_ROWS,
+    again: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
+    """``again``: the unique issues, where they are known already."""
     total = flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(BAD).alias("failed"))
-    again = [f.filter(~F.col(BAD)).select(row) for f in _unique_issues(flagged, contract, row, hot_rows)]
+    again = unique_issues(flagged, contract, row, hot_rows) if again is None else again
+    again = [f.filter(~F.col(BAD)).select(row) for f in again]
     parts = [total]
     if again:
         repeated = reduce(DataFrame.unionByName, again)

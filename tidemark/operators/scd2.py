@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.naming import any_of, matches, member_of
+from tidemark.functions.naming import all_of, any_of, matches, member_of
 from tidemark.operators.staging import HOT_ROWS, first_per_key, hot_keys, join_hot_apart
 from tidemark.sources.marks import instant_literal
 
@@ -193,54 +193,83 @@ def _slot(width: str, column: str) -> Column:
     return F.date_trunc(width, F.col(column)).cast("timestamp_ntz").alias("_slot")
 
 
+# Versions of one key from which on its history is cut into slots.
+LONG_HISTORY = 64
+
+
 def as_of_join(
     facts: DataFrame,
     dimension: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     at: str,
     attributes: Sequence[str],
     slot: str = "day",
-    dimension_key: str | None = None,
+    dimension_key: str | Sequence[str] | None = None,
+    long_history: int = LONG_HISTORY,
 ) -> DataFrame:
     """Every fact with the attributes of the version valid at its own time, NULL when
     there is none.
 
+    Where no key has a long history (the dimension alone tells) this is an equi-join on
+    the key with the time as a further condition: the facts are read once, and not moved if
+    the dimension can be broadcast. Beyond that time is cut into slots, see
+    :func:`slotted_as_of_join`; the rows are the same.
+    """
+    clash = sorted(set(attributes) & set(facts.columns))
+    if clash:
+        raise ValueError(f"the facts already have columns {clash}")
+    keys = [key] if isinstance(key, str) else list(key)
+    own = keys if dimension_key is None else [dimension_key] if isinstance(dimension_key, str) else list(dimension_key)
+    longest = dimension.groupBy(*own).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    version = F.struct("valid_from", "valid_to", *attributes).alias("_v")
+    versions = dimension.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(own)], version)
+    if longest >= long_history:
+        return slotted_as_of_join(facts, versions, keys, at, attributes, slot)
+    joined = facts.join(versions, all_of([*_on(keys), _valid_at(at)]), "left")
+    return joined.select(*facts.columns, *[F.col("_v")[a].alias(a) for a in attributes])
+
+
+def _on(keys: Sequence[str]) -> list[Column]:
+    return [F.col(c) == F.col(f"_k{n}") for n, c in enumerate(keys)]
+
+
+def _valid_at(at: str) -> Column:
+    return (F.col("_v.valid_from") <= F.col(at)) & (F.col("_v.valid_to").isNull() | (F.col(at) < F.col("_v.valid_to")))
+
+
+def slotted_as_of_join(
+    facts: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, attributes: Sequence[str], slot: str
+) -> DataFrame:
+    """As-of join for long histories. ``versions``: the key as ``_k0``, ``_k1``, ..., and ``_v``.
+
     Time is cut into slots. A slot of a key needs the versions that start in it and the
     one version still open when it begins; that one is found from the last version of
     each earlier slot, so a fact is compared with a few versions instead of a key's whole
     history, and a hot key spreads over its slots. The join itself is an equi-join on key
     and slot with the facts on the left, which AQE may split further.
     """
-    clash = sorted(set(attributes) & set(facts.columns))
-    if clash:
-        raise ValueError(f"the facts already have columns {clash}")
-    dimension_key = dimension_key or key
-    version = F.struct("valid_from", "valid_to", *attributes).alias("_v")
-    starts = dimension.select(F.col(dimension_key).alias("_k"), _slot(slot, "valid_from"), version)
+    names = [f"_k{n}" for n in range(len(keys))]
+    starts = versions.select(*names, _slot(slot, "_v.valid_from"), "_v")
     slotted = facts.select("*", _slot(slot, at))
 
     latest = F.struct("_v.valid_from", F.col("_v.valid_to").isNull(), "_v.valid_to")
-    last_started = starts.groupBy("_k", "_slot").agg(F.max_by("_v", latest).alias("_v"))
-    asked = slotted.select(F.col(key).alias("_k"), "_slot").distinct()
+    last_started = starts.groupBy(*names, "_slot").agg(F.max_by("_v", latest).alias("_v"))
+    asked = slotted.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], "_slot").distinct()
     timeline = last_started.withColumn("_asked", F.lit(False)).unionByName(
         asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True
     )
     # In one slot the question sorts first, so it sees the versions of earlier slots only.
     earlier = (
-        Window.partitionBy("_k")
+        Window.partitionBy(*names)
         .orderBy("_slot", F.col("_asked").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
         timeline.withColumn("_v", F.last("_v", ignorenulls=True).over(earlier))
         .filter(F.col("_asked") & F.col("_v").isNotNull())
-        .select("_k", "_slot", "_v")
+        .select(*names, "_slot", "_v")
     )
     candidates = starts.unionByName(carried).withColumnRenamed("_slot", "_s")
-    valid = (F.col("_v.valid_from") <= F.col(at)) & (
-        F.col("_v.valid_to").isNull() | (F.col(at) < F.col("_v.valid_to"))
-    )
-    joined = slotted.join(
-        candidates, (F.col(key) == F.col("_k")) & (F.col("_slot") == F.col("_s")) & valid, "left"
-    )
+    same = all_of([*_on(keys), F.col("_slot") == F.col("_s"), _valid_at(at)])
+    joined = slotted.join(candidates, same, "left")
     return joined.select(*facts.columns, *[F.col("_v")[a].alias(a) for a in attributes])

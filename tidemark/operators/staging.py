@@ -17,8 +17,8 @@ from tidemark.session import scratch_path
 POSITION = "_pos"
 ROW = "_row"
 
-# A position is the file number above this many bits of row index.
-_ROW_BITS = 32
+# A position is the task, the chunk of its output and the row's index there, in this many bits.
+_ROW_BITS, _CHUNK_BITS = 32, 12
 
 
 def write_staged(df: DataFrame, path: str | None = None, name: str = "batch") -> DataFrame:
@@ -30,15 +30,25 @@ def write_staged(df: DataFrame, path: str | None = None, name: str = "batch") ->
 
 
 def _file_number() -> Column:
-    """Number of a file as Spark names it: ``part-<task>-<uuid>-c<chunk>.<codec>.parquet``."""
+    """Number of a file as Spark names it: ``part-<task>-<uuid>-c<chunk>.<codec>.parquet``.
+
+    More chunks of one task than the bits hold would collide, so they are an error.
+    """
     name = F.col("_metadata.file_name")
     task = F.split_part(name, F.lit("-"), F.lit(2)).cast("long")
-    chunk = F.substring(F.split_part(name, F.lit("-"), F.lit(-1)), 2, 3).cast("long")
-    return task * 1000 + chunk
+    last = F.split_part(F.split_part(name, F.lit("-"), F.lit(-1)), F.lit("."), F.lit(1))
+    chunk = F.substring(last, F.lit(2), F.length(last)).cast("long")
+    most = 1 << _CHUNK_BITS
+    checked = F.when(chunk < most, chunk).otherwise(F.raise_error(F.lit(f"a task wrote over {most} files of a batch")))
+    return F.shiftleft(task, _CHUNK_BITS) + checked.cast("long")
 
 
 def with_position(staged: DataFrame) -> DataFrame:
-    """Adds ``_pos``: unique and in batch order, but not without gaps."""
+    """Adds ``_pos``: unique and in batch order, but not without gaps.
+
+    Batch order is that of the rows within a source file. Spark deals out the files of a
+    batch by size, so between files there is none unless the batch was sorted when staged.
+    """
     position = F.shiftleft(_file_number(), _ROW_BITS) + F.col("_metadata.row_index")
     return staged.select("*", position.alias(POSITION))
 
@@ -75,16 +85,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
-# From this many rows on, a key is handled apart. A table of N rows holds at most
-# N / HOT_ROWS such keys, which bounds what is broadcast for them.
+# From this many rows on, a key is handled apart.
 HOT_ROWS = 1_000_000
 
 
 def hot_keys(counted: DataFrame, keys: Sequence[str], count_column: str, hot_rows: int) -> DataFrame | None:
-    """Keys with at least ``hot_rows`` rows, None when there are none. ``counted`` has one
-    row per key; the few hot ones are written out, so that no later plan counts again."""
-    found = write_staged(counted.filter(F.col(count_column) >= hot_rows).select(*keys), name="hot")
-    return None if found.isEmpty() else found
+    """Keys with at least ``hot_rows`` rows, None when there are none, as in most batches.
+    ``counted`` has one row per key; the few hot ones are written out, so that no later plan
+    counts again and their size is known."""
+    most = counted.agg(F.max(count_column).alias("n")).first()["n"] or 0
+    if most < hot_rows:
+        return None
+    return write_staged(counted.filter(F.col(count_column) >= hot_rows).select(*keys), name="hot")
 
 
 def join_hot_apart(
@@ -92,8 +104,9 @@ def join_hot_apart(
 ) -> DataFrame:
     """Join many rows per key with at most one lookup row per key (null keys match).
 
-    Rows of a hot key stay where they lie and meet a broadcast of the hot lookup rows;
-    the others are joined as Spark sees fit, and no partition fills up with one key.
+    Rows of hot keys meet the lookup rows of these keys only, which are written out first:
+    below the broadcast threshold, by their known size, the rows stay where they lie, and
+    beyond it adaptive execution splits the partition that a key fills. No hint forces either.
     """
     extra = [c for c in lookup.columns if c not in keys]
     wanted = [*rows.columns, *extra]
@@ -104,8 +117,7 @@ def join_hot_apart(
     on_key = matches(keys, "_l_")
     if hot is None:
         return rows.join(named(lookup), on_key, how).select(*wanted)
-    listed = F.broadcast(hot)
-    hot_lookup = F.broadcast(named(member_of(lookup, listed, keys, "left_semi")))
-    apart = member_of(rows, listed, keys, "left_semi").join(hot_lookup, on_key, how)
-    others = member_of(rows, listed, keys, "left_anti").join(named(lookup), on_key, how)
+    hot_lookup = write_staged(named(member_of(lookup, hot, keys, "left_semi")), name="hot")
+    apart = member_of(rows, hot, keys, "left_semi").join(hot_lookup, on_key, how)
+    others = member_of(rows, hot, keys, "left_anti").join(named(lookup), on_key, how)
     return apart.select(*wanted).unionByName(others.select(*wanted))

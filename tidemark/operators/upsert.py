@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.naming import all_of, member_of
 from tidemark.operators.staging import first_per_key
+from tidemark.sources.marks import instant_literal
 
 
 def absent_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -31,8 +33,9 @@ def insert_if_absent(
 
 
 def table_scan_eq(table: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:
-    """Rows that equal every given value; NULL equals NULL."""
-    return table.filter(all_of([F.col(c).eqNullSafe(F.lit(v)) for c, v in (filters or {}).items()]))
+    """Rows that equal every given value; NULL equals NULL. Moments are UTC, or aware ones."""
+    literals = {c: instant_literal(v) if isinstance(v, datetime) else F.lit(v) for c, v in (filters or {}).items()}
+    return table.filter(all_of([F.col(c).eqNullSafe(v) for c, v in literals.items()]))
 
 
 def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:

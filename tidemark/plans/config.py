@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from tidemark.contracts import contract_named
+
 # Attributes a dimension adds to a cube unless the cube names others.
 DEFAULT_ATTRIBUTES = {"product": ("category",), "customer": ("segment",)}
 
@@ -17,6 +19,8 @@ class Source:
     options: Mapping[str, object]
     watermark_column: str | None = None
     insert_if_absent: bool = False
+    # Columns that put the rows of a batch in order; several files have none among them.
+    order_by: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,11 @@ class Cube:
     def attributes_of(self, dimension: str) -> tuple[str, ...]:
         return tuple(self.attributes.get(dimension, ()))
 
+    @property
+    def tables(self) -> list[str]:
+        """Tables the cube is built from."""
+        return [contract_named(name).table for name in (self.fact, *self.dimensions)]
+
     @property
     def by(self) -> list[str]:
         return [*self.fact_attributes, *[a for d in self.dimensions for a in self.attributes_of(d)]]

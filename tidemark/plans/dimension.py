@@ -30,6 +30,9 @@ ADDED_BY = "_added_by"
 
 # Ended versions per current version at which the base is written anew.
 REBASE_SHARE = 0.2
+# Batches since the base at which it is written anew if they started this share of the current
+# versions, so that a dimension that only grows does not end in a folder for every batch.
+REBASE_BATCHES, GROWN_SHARE = 16, 0.1
 
 
 class Merged(NamedTuple):
@@ -98,15 +101,18 @@ class DimensionTable:
         written = self.spark.read.schema(f"{contract.key[0]} string, _op string").parquet(self._changes(batch_id))
         counted = {row["_op"]: row["count"] for row in written.groupBy("_op").count().collect()}
         inserted, closed = counted.get(INSERT, 0), counted.get(CLOSE, 0)
-        return Merged(inserted, closed, bool(closed) and self._rebase(batch_id, closed))
+        return Merged(inserted, closed, bool(inserted or closed) and self._rebase(batch_id, inserted, closed))
 
-    def _rebase(self, batch_id: str, closed: int) -> bool:
+    def _rebase(self, batch_id: str, inserted: int, closed: int) -> bool:
         current = sum(c["rows_inserted"] - c["rows_updated"] for c in self.commits)
         ended = closed + sum(c["rows_updated"] for c in self.since)
-        if ended < REBASE_SHARE * current:
+        started = inserted + sum(c["rows_inserted"] for c in self.since)
+        grown = len(self.since) + 1 >= REBASE_BATCHES and started >= GROWN_SHARE * (current + inserted)
+        if not grown and (not closed or ended < REBASE_SHARE * current):
             return False
         after = self._open_versions(
-            [*self._batches("rows_inserted"), batch_id], [*self._batches("rows_updated"), batch_id]
+            [*self._batches("rows_inserted"), *[batch_id] * bool(inserted)],
+            [*self._batches("rows_updated"), *[batch_id] * bool(closed)],
         )
         after.write.mode("overwrite").parquet(f"{self.path}/base/{batch_id}")
         return True

@@ -32,7 +32,7 @@ def _table(cube: Cube, keys: Sequence[str]) -> str:
 def collapsed_facts(warehouse: Warehouse, cube: Cube, dimensions: Sequence[DimensionJoin]) -> DataFrame:
     """The facts of a cube as sums, brought up to the last committed batch."""
     contract = contract_named(cube.fact)
-    keys = [d.fact_key for d in dimensions]
+    keys = [k for d in dimensions for k in d.fact_keys]
     table = _table(cube, keys)
     folder = f"{warehouse.base}/grains/{table}"
     loads = [c for c in warehouse.commits_of(contract.table) if c["rows_inserted"]]

@@ -6,7 +6,7 @@ The functions here decide and write; all row work is done by the operators.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
@@ -24,6 +24,7 @@ from tidemark.operators.quality import (
     flagged_counts,
     flagged_errors,
     report_header,
+    unique_issues,
 )
 from tidemark.operators.staging import POSITION, ROW, batch_row_ordinal, with_position, write_staged
 from tidemark.operators.state import Run
@@ -32,13 +33,16 @@ from tidemark.plans.config import Cube, Job, Source
 from tidemark.plans.grains import collapsed_facts
 from tidemark.plans.warehouse import Warehouse, utc_now
 from tidemark.sources.csv import CORRUPT
-from tidemark.sources.marks import effective_mark, incremental_filter, mark_of
+from tidemark.sources.marks import effective_mark, incremental_filter, late_rows, mark_of
 from tidemark.sources.registry import read_source
 
-# A failed run's log entry quotes this many rows; the errors table holds all of them.
+# A failed run's log entry quotes this many rows and says where the others are; the errors
+# table holds all of them.
 REPORTED_ROWS = 20
 
 _MARK = "_mark"
+# Source named in the run record of a rebuild that failed.
+REBUILD = "(rebuild)"
 
 
 def _mark_column(contract: Contract, watermark_column: str | None) -> str:
@@ -47,8 +51,11 @@ def _mark_column(contract: Contract, watermark_column: str | None) -> str:
     return watermark_column if watermark_column in dates else _MARK
 
 
-def stage_batch(raw: DataFrame, contract: Contract, watermark_column: str | None, path: str) -> DataFrame:
-    """Typed columns, issues and mark of a batch, written once under ``path``.
+def stage_batch(
+    raw: DataFrame, contract: Contract, watermark_column: str | None, path: str, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Typed columns, issues and mark of a batch, written once under ``path``, in the order
+    of ``order_by`` if it names columns.
 
     Everything a single row can tell is decided in the pass that writes it, so the gate
     reads flags instead of parsing the source again.
@@ -62,7 +69,10 @@ def stage_batch(raw: DataFrame, contract: Contract, watermark_column: str | None
     if _mark_column(contract, watermark_column) == _MARK:
         mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
         columns.append(mark.alias(_MARK))
-    return with_position(write_staged(check_rows(raw, contract).select(*columns), path=path))
+    checked = check_rows(raw, contract).select(*columns)
+    if order_by:
+        checked = checked.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    return with_position(write_staged(checked, path=path))
 
 
 def _batch_facts(staged: DataFrame, mark_column: str) -> Row:
@@ -75,7 +85,7 @@ def _batch_facts(staged: DataFrame, mark_column: str) -> Row:
 
 
 def _has_duplicates(staged: DataFrame, contract: Contract) -> bool:
-    return any(not duplicate_keys(staged, [k], POSITION).isEmpty() for k in contract.unique)
+    return any(not duplicate_keys(staged, k, POSITION).isEmpty() for k in contract.unique_keys)
 
 
 def _keep_malformed(warehouse: Warehouse, source: Source, staged: DataFrame, batch_id: str) -> None:
@@ -96,14 +106,18 @@ def _reject(
     warehouse: Warehouse, source: Source, contract: Contract, staged: DataFrame, batch_id: str
 ) -> list[str]:
     """Write all issues of the batch and return the log lines of the first rows."""
-    flagged = batch_row_ordinal(staged).select(ROW, *contract.unique, ISSUES, BAD)
-    counts = flagged_counts(flagged, contract).first()
-    errors = flagged_errors(flagged, contract).withColumn("source", F.lit(source.name))
+    numbered = batch_row_ordinal(staged).select(ROW, *contract.unique_columns, ISSUES, BAD)
+    flagged = write_staged(numbered, name="flags")
+    again = [write_staged(f, name="again") for f in unique_issues(flagged, contract)]
+    counts = flagged_counts(flagged, contract, again=again).first()
+    errors = flagged_errors(flagged, contract, again=again).withColumn("source", F.lit(source.name))
     warehouse.write_errors(errors, batch_id)
     stored = warehouse.errors().filter(F.col("_batch_id") == batch_id)
     first = stored.select(ROW).distinct().orderBy(ROW).limit(REPORTED_ROWS)
     blocks = error_report(stored.join(F.broadcast(first), ROW, "left_semi")).orderBy(ROW).collect()
-    return [report_header(counts["rows_failed"], counts["rows_passed"]), *[b["report"] for b in blocks]]
+    lines = [report_header(counts["rows_failed"], counts["rows_passed"]), *[b["report"] for b in blocks]]
+    others = counts["rows_failed"] - len(blocks)
+    return [*lines, f"  {others} more rows in the errors of batch {batch_id}"] if others > 0 else lines
 
 
 def refresh_batch(
@@ -115,10 +129,12 @@ def refresh_batch(
     batch_id: str,
     mark: datetime | None = None,
     as_of: datetime | None = None,
+    keep_late: bool = False,
 ) -> Run:
     """Take one batch of raw rows through the whole pipeline; returns its run record.
 
-    Only rows past ``mark`` count, all rows when there is none.
+    Only rows past ``mark`` count, all rows when there is none. With ``keep_late`` the others
+    go to the late table, and the record says how many they are.
     """
     started = utc_now()
     contract = contract_named(source.schema)
@@ -129,16 +145,20 @@ def refresh_batch(
         )
 
     batch = incremental_filter(raw, source.watermark_column, mark)
+    notes = None
+    if keep_late and source.watermark_column and mark:
+        late = warehouse.write_late(late_rows(raw, source.watermark_column, mark), source.name, batch_id)
+        notes = [f"{late} late rows under batch {batch_id}"] if late else None
     # A plain fact batch is staged where it will stay: nobody reads it before its commit.
     in_place = contract.role == "fact" and not source.insert_if_absent
     path = warehouse.fact_batch_path(contract, batch_id) if in_place else f"{warehouse.base}/stage/{batch_id}"
-    staged = stage_batch(batch, contract, source.watermark_column, path)
+    staged = stage_batch(batch, contract, source.watermark_column, path, source.order_by)
     facts = _batch_facts(staged, _mark_column(contract, source.watermark_column))
     if facts["corrupt"]:
         _keep_malformed(warehouse, source, staged, batch_id)
         return record("failed", errors=[f"{facts['corrupt']} malformed records in source {source.name}"])
     if facts["rows"] == 0:
-        return record("success")
+        return record("success", errors=notes)
     if facts["bad"] or _has_duplicates(staged, contract):
         lines = _reject(warehouse, source, contract, staged, batch_id)
         return record("failed", processed=facts["rows"], errors=lines)
@@ -154,7 +174,7 @@ def refresh_batch(
         inserted = warehouse.fact_batch(contract, batch_id).count()
     reached = facts["mark"] if source.watermark_column else None
     warehouse.commit(batch_id, contract.table, source.name, reached, inserted, updated, utc_now(), rebased)
-    return record("success", facts["rows"], inserted, updated, reached)
+    return record("success", facts["rows"], inserted, updated, reached, notes)
 
 
 def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
@@ -165,10 +185,13 @@ def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
     """
     if not cube.measures or not cube.by:
         return
+    covers = warehouse.last_change(cube.tables)
+    fact_columns = set(contract_named(cube.fact).columns)
     dimensions = []
     for name in cube.dimensions:
-        contract = contract_named(name)
-        key = contract.key[0]
+        key = contract_named(name).key
+        if not set(key) <= fact_columns:
+            raise ValueError(f"cube {cube.name}: the facts lack part of the key {key} of {name}")
         frame = warehouse.dimension(name) if cube.versions_at else warehouse.current(name)
         dimensions.append(DimensionJoin(frame, key, key, cube.attributes_of(name), cube.versions_at))
     if cube.versions_at:
@@ -177,7 +200,7 @@ def rebuild_cube(warehouse: Warehouse, cube: Cube) -> None:
         collapsed = collapsed_facts(warehouse, cube, dimensions)
         grain = grain_of_collapsed(collapsed, dimensions, cube.by, cube.measures)
         built = cube_of_grain(grain, cube.by, cube.measures)
-    warehouse.write_cube(cube.name, built, f"{cube.name}-{uuid.uuid4().hex}", utc_now())
+    warehouse.write_cube(cube.name, built, f"{cube.name}-{uuid.uuid4().hex}", utc_now(), covers)
 
 
 def invalidate_loaded(warehouse: Warehouse, cube: Cube, runs: Iterable[Run]) -> bool:
@@ -189,13 +212,23 @@ def invalidate_loaded(warehouse: Warehouse, cube: Cube, runs: Iterable[Run]) ->
 
 
 def rebuild_stale(warehouse: Warehouse, cubes: Iterable[Cube]) -> list[str]:
-    """Rebuild the cubes that were invalidated after they were last built."""
-    stale = [cube for cube in cubes if warehouse.is_stale(cube.name)]
+    """Rebuild the cubes whose inputs changed, or that were invalidated, since they were built."""
+    stale = [cube for cube in cubes if warehouse.is_stale(cube.name, cube.tables)]
     for cube in stale:
         rebuild_cube(warehouse, cube)
     return [cube.name for cube in stale]
 
 
+def _rebuild_logged(warehouse: Warehouse, cube: Cube, run_id: str) -> None:
+    """Rebuild a stale cube; a failure is logged, leaves the cube stale and stops no other."""
+    started = utc_now()
+    try:
+        rebuild_stale(warehouse, [cube])
+    except Exception as error:  # noqa: BLE001 - one cube that fails must not stop the rest
+        failed = Run(run_id, cube.name, REBUILD, started, utc_now(), 0, 0, 0, None, "failed", [str(error)])
+        warehouse.log_run(failed)
+
+
 def _refresh_source(
     warehouse: Warehouse, cube: Cube, source: Source, run_id: str, since: datetime | None, as_of: datetime | None
 ) -> Run:
@@ -222,19 +255,25 @@ def refresh(
     """Refresh one cube, or all of them; returns the run records.
 
     A source that fails is logged and does not stop the others. A source that several
-    cubes share is loaded once: the later cubes log that it had nothing more to give, and
-    are rebuilt from what it gave.
+    cubes share is loaded once, and invalidates all of them: the later cubes log that it had
+    nothing more to give. In the end every cube asked for whose inputs have changed since it
+    was built is rebuilt, also if another call or a lost job brought the change.
     """
     run_id = run_id or uuid.uuid4().hex
     done: dict[str, Run] = {}
-    for cube in job.cubes_named(cube_name):
+    cubes = job.cubes_named(cube_name)
+    for cube in cubes:
+        fresh = []
         for source in job.sources_of(cube):
             if source.name in done:
                 first = done[source.name]
                 run = first._replace(cube=cube.name, rows_processed=0, rows_inserted=0, rows_updated=0)
             else:
                 run = done[source.name] = _refresh_source(warehouse, cube, source, run_id, since, as_of)
+                fresh.append(run)
             warehouse.log_run(run)
-        if invalidate_loaded(warehouse, cube, done.values()):
-            rebuild_cube(warehouse, cube)
+        for other in job.cubes:
+            invalidate_loaded(warehouse, other, fresh)
+    for cube in cubes:
+        _rebuild_logged(warehouse, cube, run_id)
     return warehouse.runs().filter(F.col("run_id") == run_id)

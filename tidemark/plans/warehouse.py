@@ -5,7 +5,8 @@
     cubes/<cube>/<id>/                   a rebuilt cube
     grains/<cube>/<id>/                  see :mod:`tidemark.plans.grains`
     errors/_batch_id=<id>/               issues of a rejected batch
-    state/{commits,runs,invalidations,clears}/
+    late/<source>/_batch_id=<id>/          rows a stream skipped for their mark
+    state/{commits,runs,invalidations,clears,starts}/
 
 A batch is written under its own id, checked there, and then one row is added to
 ``commits``. Readers look at committed ids only, so that row makes the data visible and
@@ -37,6 +38,7 @@ COMMITS = (
     "rows_inserted bigint, rows_updated bigint, is_base boolean, "
     "covers bigint, committed_at timestamp_ntz"
 )
+STARTS = "query_id string, at timestamp_ntz, mark timestamp_ntz, finished boolean"
 CLEARS = "cube string, cleared_at timestamp_ntz"
 ERRORS = "source string, _row bigint, issue_no int, field string, message string, value string"
 
@@ -131,17 +133,17 @@ class Warehouse:
         return f"{self.base}/facts/{table}"
 
     def facts(self, schema: str, filters: dict | None = None) -> DataFrame:
-        """Rows of committed batches; their ids prune the folders that are read."""
+        """Rows of committed batches, read from their folders only."""
         contract = contract_named(schema)
         ids = [row["batch_id"] for row in self.commits_of(contract.table)]
         return table_scan_eq(self.fact_batches(contract, ids), filters)
 
     def fact_batches(self, contract: Contract, ids: Sequence[str]) -> DataFrame:
+        """Named folders: what was rejected, lost or cleared is not even listed."""
         if not ids:
             return self.spark.createDataFrame([], contract.schema)
-        columns = T.StructType([*contract.schema.fields, T.StructField(BATCH, T.StringType())])
-        stored = self._read(self._fact_path(contract.table), columns).filter(F.col(BATCH).isin(list(ids)))
-        return stored.drop(BATCH)
+        paths = [self.fact_batch_path(contract, i) for i in dict.fromkeys(ids)]
+        return self.spark.read.schema(contract.schema).parquet(*paths)
 
     def write_batch(self, path: str, df: DataFrame, batch_id: str, sort: str | None = None) -> None:
         """Write the folder of one batch. A retry replaces its own folder and no other."""
@@ -181,9 +183,20 @@ class Warehouse:
 
     # -- runs, errors, invalidations ---------------------------------------------
 
+    def _append_rows(self, name: str, schema: str, rows: DataFrame) -> None:
+        """Append a frame in the columns of a state table; columns it lacks are NULL."""
+        given = set(rows.columns)
+        declared = [c.split(" ") for c in schema.split(", ")]
+        typed = [(F.col(n) if n in given else F.lit(None)).cast(t).alias(n) for n, t in declared]
+        rows.select(*typed).write.mode("append").parquet(self._state(name))
+
     def log_run(self, run: Run) -> None:
         self._append("runs", RUNS, run)
 
+    def log_runs(self, runs: DataFrame) -> None:
+        """Append run records that another system kept."""
+        self._append_rows("runs", RUNS, runs)
+
     def runs(self) -> DataFrame:
         return self._read(self._state("runs"), RUNS)
 
@@ -193,9 +206,42 @@ class Warehouse:
     def errors(self) -> DataFrame:
         return self._read(f"{self.base}/errors", f"{ERRORS}, {BATCH} string")
 
+    def write_late(self, rows: DataFrame, source: str, batch_id: str) -> int:
+        """Keep rows a batch skipped for their mark; returns how many they are."""
+        path = f"{self.base}/late/{source}"
+        self.write_batch(path, rows, batch_id)
+        return self.spark.read.schema(rows.schema).parquet(f"{path}/{BATCH}={batch_id}").count()
+
+    def late(self, source: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self.base}/late/{source}")
+
+    # -- stream starts -----------------------------------------------------------
+
+    def stream_mark(self, query: str, source: str) -> datetime | None:
+        """Mark that a start of a stream holds to: that of the last start if it did not come to
+        its end, else the source's mark now."""
+        starts = self._read(self._state("starts"), STARTS).filter(F.col("query_id") == query)
+        last = starts.orderBy(F.desc("at")).first()
+        if last and not last["finished"]:
+            return last["mark"]
+        mark = self.watermark(source)
+        self._append("starts", STARTS, (query, utc_now(), mark, False))
+        return mark
+
+    def finish_stream(self, query: str) -> None:
+        self._append("starts", STARTS, (query, utc_now(), None, True))
+
     def invalidate(self, cube: str, sources: Sequence[str], at: datetime, reason: str) -> None:
         self._append("invalidations", INVALIDATIONS, (cube, list(sources), at, reason))
 
+    def invalidate_all(self, events: DataFrame) -> None:
+        """Append a frame of invalidation events."""
+        self._append_rows("invalidations", INVALIDATIONS, events)
+
+    def clear_all(self, clears: DataFrame) -> None:
+        """Append a frame of clears: ``cube``, ``cleared_at``."""
+        self._append_rows("clears", CLEARS, clears)
+
     def invalidations(self, cube: str | None = None) -> DataFrame:
         events = self._read(self._state("invalidations"), INVALIDATIONS)
         return invalidations_of(without_cleared(events, self._read(self._state("clears"), CLEARS)), cube)
@@ -207,14 +253,21 @@ class Warehouse:
     def clear_invalidations(self, at: datetime, cube: str | None = None) -> None:
         """Hide the events so far, of one cube or of all."""
         open_cubes = self.invalidations(cube).select("cube").distinct()
-        marks = open_cubes.withColumn("cleared_at", F.lit(at).cast("timestamp_ntz"))
+        marks = open_cubes.withColumn("cleared_at", instant_literal(at))
         write_staged(marks, name="clears").coalesce(1).write.mode("append").parquet(self._state("clears"))
 
     # -- cubes ------------------------------------------------------------------
 
-    def write_cube(self, name: str, cube: DataFrame, batch_id: str, at: datetime) -> None:
+    def write_cube(self, name: str, cube: DataFrame, batch_id: str, at: datetime, covers: int | None = None) -> None:
+        """``covers``: the last commit of its inputs that the cube includes."""
         cube.write.mode("overwrite").parquet(f"{self.base}/cubes/{name}/{batch_id}")
-        self.commit(batch_id, f"cube_{name}", None, None, 0, 0, at)
+        self.commit(batch_id, f"cube_{name}", None, None, 0, 0, at, covers=covers)
+
+    def last_change(self, tables: Sequence[str]) -> int:
+        """Number of the last commit that changed one of the tables, 0 for none."""
+        own = self.commits().filter(F.col("table_name").isin(list(tables)))
+        changed = own.filter((F.col("rows_inserted") > 0) | (F.col("rows_updated") > 0) | (F.col("batch_id") == CLEARED))
+        return changed.agg(F.max("seq").alias("seq")).first()["seq"] or 0
 
     def cube(self, name: str) -> DataFrame | None:
         commits = self.commits_of(f"cube_{name}")
@@ -222,13 +275,15 @@ class Warehouse:
             return None
         return self.spark.read.parquet(f"{self.base}/cubes/{name}/{commits[-1]['batch_id']}")
 
-    def is_stale(self, name: str) -> bool:
-        """Whether the cube was invalidated after it was last built, or never built."""
+    def is_stale(self, name: str, tables: Sequence[str] = ()) -> bool:
+        """Whether the cube was invalidated after it was last built, or some input table
+        changed since, whoever changed it; a cube never built is stale once there is either."""
         built = self.commits_of(f"cube_{name}")
         events = self.invalidations(name)
         if built:
             events = events.filter(F.col("event_time") > instant_literal(built[-1]["committed_at"]))
-        return not events.isEmpty()
+        covered = (built[-1]["covers"] or 0) if built else 0
+        return self.last_change(tables) > covered or not events.isEmpty()
 
     # -- statistics -------------------------------------------------------------
 

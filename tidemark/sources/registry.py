@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.contracts import Contract
 from tidemark.sources.csv import csv_scan
 from tidemark.sources.jdbc import jdbc_scan
-from tidemark.sources.json import json_pages, json_path_rows
+from tidemark.sources.json import json_pages, json_path_rows, json_records
 from tidemark.sources.rest import rest_pages
 
 Since = tuple[str, datetime] | None
@@ -47,9 +47,11 @@ def _jdbc(spark: SparkSession, options: dict, contract: Contract, since: Since)
 
 @register_source("json")
 def _json(spark: SparkSession, options: dict, contract: Contract, since: Since) -> DataFrame:
-    """Landed responses."""
+    """Landed responses, or with ``records`` landed records: ``lines`` or one ``array`` a file."""
+    if options.get("records"):
+        return json_records(spark, options["path"], contract.columns, options["records"] == "lines")
     pages = json_pages(spark, options["path"])
-    return json_path_rows(pages, "body", options.get("data_path"), contract.columns, report_corrupt=True)
+    return json_path_rows(pages, "body", options.get("data_path"), contract.columns, report_corrupt=True, typed=True)
 
 
 @register_source("rest")
@@ -57,7 +59,7 @@ def _rest(spark: SparkSession, options: dict, contract: Contract, since: Since)
     """Responses fetched now."""
     request = {k: v for k, v in options.items() if k != "data_path"}
     pages = rest_pages(spark, since=since, **request)
-    return json_path_rows(pages, "body", options.get("data_path"), contract.columns, report_corrupt=True)
+    return json_path_rows(pages, "body", options.get("data_path"), contract.columns, report_corrupt=True, typed=True)
 
 
 @register_source("parquet")

@@ -61,8 +61,12 @@ def refresh_stream(
     as_of: datetime | None = None,
     continuous: str | None = None,
 ) -> StreamingQuery:
-    """Refresh a source from a stream; stops when all files are taken unless
-    ``continuous`` gives a trigger interval.
+    """Refresh a source from a stream: returns when all files are taken, or at once with
+    the running query if ``continuous`` gives a trigger interval.
+
+    All micro-batches of a start skip rows by the mark the source had when it began, so what is
+    loaded does not depend on how many files one takes; a start that follows an unfinished
+    one goes on with its mark. Skipped rows go to the late table.
 
     The batch id comes from the query, as its checkpoint names it, and the epoch. So a
     micro-batch that is run again after a loss either replaces its own unfinished folder or
@@ -74,18 +78,24 @@ def refresh_stream(
     def query_id() -> str:
         return warehouse.spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
+    @cache
+    def start_mark() -> datetime | None:
+        return warehouse.stream_mark(query_id(), source.name)
+
     def load(batch: DataFrame, epoch: int) -> None:
         batch_id = f"{source.name}-{query_id()}-{epoch}"
         if warehouse.is_committed(batch_id):
             return
-        mark = warehouse.watermark(source.name)
-        run = refresh_batch(warehouse, cube.name, source, batch, batch_id, batch_id, mark, as_of)
+        run = refresh_batch(warehouse, cube.name, source, batch, batch_id, batch_id, start_mark(), as_of, keep_late=True)
         warehouse.log_run(run)
         if run.status == "failed":
             raise FailedBatch("\n".join(run.errors or []))
         invalidate_loaded(warehouse, cube, [run])
 
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
-    return (
-        stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    query = writer.trigger(**trigger).start()
+    if not continuous:
+        query.awaitTermination()
+        warehouse.finish_stream(query_id())
+    return query

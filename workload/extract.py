@@ -15,7 +15,6 @@ from tidemark.sources import (
     csv_scan,
     effective_mark,
     incremental_filter,
-    json_pages,
     json_path_rows,
     late_rows,
     order_by_watermark,
@@ -136,15 +135,12 @@ def json_nested(spark, sf_dir):
 
 @query("json_landed_pages", f"WITH {EVENT_SALES_SQL} SELECT id, region, sale_date FROM sales")
 def json_landed(spark, sf_dir):
-    """Response files of up to a thousand records, each a top-level array over many lines."""
-    record = F.to_json(F.struct("id", "region", "sale_date"))
-    lines = event_sales(spark, sf_dir).select("region", F.concat(record, F.lit(",")).alias("value"))
+    """Landed files of up to a thousand records, one to a line, through the source kind."""
     path = scratch_path(spark, "pages")
-    lines.write.option("maxRecordsPerFile", 1000).partitionBy("region").text(path)
-    pages = json_pages(spark, f"{path}/*/*")
-    closed = F.concat(F.lit("["), F.regexp_replace("body", r",\s*$", ""), F.lit("]"))
-    rows = json_path_rows(pages.select(closed.alias("body")), "body", None, ["id", "region", "sale_date"])
+    record = F.to_json(F.struct("id", "region", "sale_date"))
+    event_sales(spark, sf_dir).select(record).write.option("maxRecordsPerFile", 1000).text(path)
     contract = Contract("page", "fact", (Field("id", "key"), Field("region", "text"), Field("sale_date", "date")))
+    rows = read_source(spark, "json", {"path": path, "records": "lines"}, contract)
     return typed_projection(rows, contract)
 
 

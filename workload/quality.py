@@ -24,6 +24,8 @@ from tidemark.operators.quality import (
     validate_gate,
 )
 from tidemark.operators.staging import batch_row_ordinal, ordered_batch
+from tidemark.session import scratch_path
+from tidemark.sources import read_source
 from workload import query
 from workload.roles import FEED_ERRORS_SQL, FEED_SQL, order_feed, table
 
@@ -241,3 +243,38 @@ def custom_contract(spark, sf_dir):
 def ordinal(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return batch_row_ordinal(ordered_batch(orders, ["o_orderkey"])).select("o_orderkey", "_row")
+
+
+READING = Contract(
+    "reading", "fact", (Field("id", "key"), Field("amount", "number"), Field("kind", "text"), Field("seen_at", "date"))
+)
+
+
+@query(
+    "rule_type_json",
+    """SELECT event_id AS _row, field, message, value FROM (
+  SELECT event_id, 'amount' AS field, 'Expected number, received string' AS message, CAST(user_id AS VARCHAR) AS value
+  FROM events WHERE event_type = 'error'
+  UNION ALL
+  SELECT event_id, 'kind', 'Expected string, received number', CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'purchase'
+  UNION ALL
+  SELECT event_id, 'seen_at', 'Invalid date', 'true' FROM events WHERE event_type = 'signup')""",
+)
+def json_types(spark, sf_dir):
+    """Records whose JSON types are right or wrong by the kind of event: an amount as text, a
+    name as a number, a flag for a date; dates are milliseconds otherwise."""
+    event = F.col("event_type")
+    user = F.col("user_id").cast("string")
+    quoted = F.concat(F.lit('"'), user, F.lit('"'))
+    millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    record = F.concat(
+        F.lit('{"id": '), F.col("event_id").cast("string"),
+        F.lit(', "amount": '), F.when(event == "error", quoted).otherwise(F.concat(user, F.lit(".5"))),
+        F.lit(', "kind": '), F.when(event == "purchase", user).otherwise(quoted),
+        F.lit(', "seen_at": '), F.when(event == "signup", "true").otherwise(millis), F.lit("}"),
+    )
+    path = scratch_path(spark, "readings")
+    table(spark, sf_dir, "events").select(record).write.text(path)
+    rows = read_source(spark, "json", {"path": path, "records": "lines"}, READING)
+    numbered = rows.withColumn("_row", F.try_variant_get("id", "$", "bigint"))
+    return validate_errors(numbered, READING).select("_row", "field", "message", "value")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import state
+from tidemark.plans import Warehouse
+from tidemark.session import scratch_path
 from workload import query
 from workload.roles import EVENT_RUNS_SQL, event_runs, table, when
 from workload.extract import MARK, SINCE
@@ -114,15 +116,13 @@ def latest(spark, sf_dir):
 SELECT run_id, cube, source, status, end_time FROM runs""",
 )
 def log_append(spark, sf_dir):
-    """Runs of before and after the middle of the month, appended to one log and read back."""
-    from tidemark.session import scratch_path
-
-    runs = event_runs(spark, sf_dir).select("run_id", "cube", "source", "status", "end_time", "start_time")
+    """Runs of before and after the middle of the month, appended to the log and read back."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    runs = event_runs(spark, sf_dir)
     middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    path = scratch_path(spark, "runs")
     for part in (F.col("start_time") <= middle, F.col("start_time") > middle):
-        runs.filter(part).drop("start_time").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        warehouse.log_runs(runs.filter(part))
+    return warehouse.runs().select("run_id", "cube", "source", "status", "end_time")
 
 
 INVALIDATIONS_SQL = """
@@ -141,12 +141,14 @@ WHERE c.cleared_at IS NULL OR i.event_time > c.cleared_at""",
 )
 def open_invalidations(spark, sf_dir):
     """Errors invalidate a user's cube, a purchase clears what came before."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     events = table(spark, sf_dir, "events").withColumn("cube", F.col("user_id").cast("string"))
     raised = events.filter("event_type = 'error'").select(
-        "cube", F.col("event_type").alias("reason"), F.col("ts").alias("event_time")
+        "cube", F.array("event_type").alias("sources"), F.col("event_type").alias("reason"), F.col("ts").alias("event_time")
     )
-    clears = events.filter("event_type = 'purchase'").select("cube", F.col("ts").alias("cleared_at"))
-    return state.without_cleared(raised, clears)
+    warehouse.invalidate_all(raised)
+    warehouse.clear_all(events.filter("event_type = 'purchase'").select("cube", F.col("ts").alias("cleared_at")))
+    return warehouse.invalidations().select("cube", "reason", "event_time")
 
 
 @query(
@@ -155,5 +157,8 @@ def open_invalidations(spark, sf_dir):
 SELECT cube, source, end_time AS event_time FROM runs WHERE cube = 'purchase'""",
 )
 def of_cube(spark, sf_dir):
-    events = event_runs(spark, sf_dir).select("cube", "source", F.col("end_time").alias("event_time"))
-    return state.invalidations_of(events, "purchase")
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    runs = event_runs(spark, sf_dir)
+    warehouse.invalidate_all(runs.select("cube", F.array("source").alias("sources"), F.col("end_time").alias("event_time")))
+    found = warehouse.invalidations("purchase")
+    return found.select("cube", F.col("sources")[0].alias("source"), "event_time")
