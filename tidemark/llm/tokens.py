@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from functools import cache
 
 import numpy as np
@@ -9,9 +10,9 @@ from tokenizers import Tokenizer
 
 ID = np.dtype("<u4")
 #: Bytes that the memo of a worker may take; what an entry takes besides its strings.
-MEMO_BYTES, ENTRY_BYTES = 200_000_000, 170
+MEMO_BYTES, ENTRY_BYTES = 280_000_000, 170
 #: Marks that a splitting rule cuts off a word's end as a token of their own.
-MARKS = ".,;:!?"
+MARKS, LINE = ".,;:!?", "\n"
 
 
 def byte_letters() -> dict[int, int]:
@@ -21,6 +22,10 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit integers.
 
@@ -37,32 +42,51 @@ class Encoder:
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
         self.memo_bytes = memo_bytes
-        self._memo: dict[str, bytes | None] = {}
+        self._memo: dict[str, bytes | bool] = {}
+        self._marks: dict[str, bytes] = {}
         self._held = 0
+        self.line = self.whole(LINE)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _keep(self, word: str, ids: bytes | None) -> bytes | None:
+    def _keep(self, word: str, ids: bytes | bool) -> bytes | bool:
         self._memo[word] = ids
         self._held += ENTRY_BYTES + len(word) + len(ids or b"")
         return ids
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a space and the word; None for a word that touches other white space."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        core = word.rstrip(MARKS)
+    def _run(self, run: str, core: str) -> bytes:
+        """Ids of a run of letters, ``core``, after a space or nothing, and of the marks behind it."""
         if not core.isalpha() or max(core) > "\u024f":
-            return self.whole(" " + word)
-        ids = self._memo.get(core)
+            return self.whole(run)
+        bare = run.rstrip(MARKS)
+        ids = self._memo.get(core if run[0] == " " else LINE + core)
         if ids is None:
-            spelled = f" {core}".encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.merges.tokenize(spelled)], ID).tobytes()
-        if core == word:
+            ids = pack_ids([t.id for t in self.merges.tokenize(bare.encode().decode("latin-1").translate(self.letters))])
+            self._keep(core if run[0] == " " else LINE + core, ids)
+        marks = run[len(bare) :]
+        if not marks:
             return ids
-        self._keep(core, ids)
-        return ids + self.whole(word[len(core) :])
+        end = self._marks.get(marks)
+        if end is None:
+            end = self.whole(marks)
+            if len(marks) <= 3:
+                self._marks[marks] = end
+        return ids + end
+
+    def _word(self, word: str) -> bytes | bool:
+        """Ids of a space and the word; False for a word that touches other white space.
+
+        A single line break between visible characters is a token of its own.
+        """
+        first, *lines = word.split(LINE)
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in (first, *lines)):
+            ragged = not word or word[0].isspace() or word[-1].isspace()
+            return False if ragged else self.whole(" " + word)
+        ids = self._run(" " + first, first.rstrip(MARKS))
+        for line in lines:
+            ids += self.line + self._run(line, line.rstrip(MARKS))
+        return ids
 
     def ids(self, text: str | None) -> bytes:
         """Ids of ``text``; a missing text is an empty one."""
@@ -72,17 +96,18 @@ class Encoder:
         if not self.by_word or first[-1:].isspace():
             return self.whole(text)
         memo = self._memo
-        new = set(rest).difference(memo)
-        if self._held + sum(map(len, new)) > self.memo_bytes:
+        if self._held > self.memo_bytes:
             memo.clear()
-            self._held, new = 0, set(rest)
-        for word in new:
-            if word not in memo:
-                self._keep(word, self._word(word))
-        try:
-            return (self.whole(first) if first else b"") + b"".join(map(memo.__getitem__, rest))
-        except TypeError:  # a word next to other white space
+            self._held = 0
+        parts = list(map(memo.get, rest))
+        if None in parts:
+            for k, part in enumerate(parts):
+                if part is None:
+                    word = rest[k]
+                    parts[k] = memo[word] if word in memo else self._keep(word, self._word(word))
+        if False in parts:  # a word next to other white space
             return self.whole(text)
+        return (self.whole(first) if first else b"") + b"".join(parts)
 
 
 @cache
