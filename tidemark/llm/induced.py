@@ -14,7 +14,6 @@ before it in line: one symbol more than the least that the reader saw in common
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 from collections import defaultdict
 
@@ -22,8 +21,6 @@ import numpy as np
 
 #: Tuples that the queues of one sort hold in memory.
 QUEUED = 4_000_000
-#: Symbols of a stretch that are compared in one go.
-STEP = 8
 
 
 class Lines:
@@ -79,27 +76,30 @@ def large_types(t: np.ndarray) -> np.ndarray:
 
 def names_of(t: np.ndarray, is_large: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Rank of the stretch that starts at each seed, equal stretches sharing one."""
-    symbols = (t.astype(np.int64) * 2 + ~is_large + 1).astype(">u4")
+    symbols = t.astype(np.int64) * 2 + ~is_large + 1
+    bits = int(symbols.max()).bit_length()
+    step = max(1, 62 // bits)
+    shifts = bits * np.arange(step - 1, -1, -1)
     ends = np.append(seeds[1:] + 1, len(t))
     names = np.zeros(len(seeds), np.int64)
     at, open_ = seeds.copy(), np.arange(len(seeds))
     while len(open_):
         # Ties so far are told apart by their next symbols; a stretch that has ended is filled up with zeros.
-        places = at[open_, None] + np.arange(STEP)
-        inside = places < ends[open_, None]
-        block = np.where(inside, symbols[np.minimum(places, len(t) - 1)], 0).astype(">u4")
-        keys = np.concatenate([names[open_, None].astype(">u8").view(">u4").reshape(-1, 2), block], 1).astype(">u4")
-        own, rank = np.unique(np.ascontiguousarray(keys).view(f"S{4 * keys.shape[1]}").ravel(), return_inverse=True)
+        key = np.zeros(len(open_), np.int64)
+        for k, shift in enumerate(shifts.tolist()):
+            place = at[open_] + k
+            key |= np.where(place < ends[open_], symbols[np.minimum(place, len(t) - 1)], 0) << shift
+        own, rank = np.unique(key, return_inverse=True)
+        base = names[open_]
+        own, rank = np.unique(base * len(own) + rank, return_inverse=True)
         # A name leaves room for as many more as it has seeds, so that refined names stay in order.
         counts = np.bincount(rank, minlength=len(own))
-        base = names[open_]
-        order = np.argsort(rank, kind="stable")
         first = np.zeros(len(own), np.int64)
-        first[rank[order]] = base[order]
+        first[rank] = base
         before = np.cumsum(counts) - counts
         starts = np.searchsorted(first, first)  # first own name with the same base
         names[open_] = (first + before - before[starts])[rank]
-        at[open_] += STEP
+        at[open_] += step
         open_ = open_[(at[open_] < ends[open_]) & (counts[rank] > 1)]
     return names
 
@@ -114,48 +114,53 @@ def seed_order(t: np.ndarray, is_large: np.ndarray, seeds: np.ndarray) -> np.nda
 
 
 def sorted_names(t: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, whose last one is the only smallest."""
+    """Order of the suffixes of a string of names, which are 0, 1, ... and whose last one is the only smallest.
+
+    Induced like the text itself, with a line for every name; what they share is not asked here.
+    """
     if len(t) < 3:
         return np.argsort(t)
     is_large = large_types(t)
     seeds = np.flatnonzero(~is_large[1:] & is_large[:-1]) + 1
     ordered = seed_order(t, is_large, seeds) if len(seeds) > 1 else seeds
-    text, large = t.tolist(), is_large.tolist()
-    by_symbol = defaultdict(list)
-    for s in ordered.tolist():
-        by_symbol[text[s]].append(s)
-    sign, found = 1, {1: defaultdict(list), -1: defaultdict(list)}
-    for sign in (1, -1):
-        lines, heap = found[sign], []
-        after = by_symbol if sign > 0 else found[1]
-        heap = [sign * c for c in after]
-        heapq.heapify(heap)
-        done = set()
-        while heap:
-            c = sign * heapq.heappop(heap)
-            if c in done:
-                continue
-            done.add(c)
-            line = lines[c]
-            k = 0
-            while k < len(line):  # the line may grow as it is read
-                p = line[k] - 1
-                k += 1
-                if p >= 0 and large[p] == (sign > 0):
-                    if text[p] not in lines and text[p] not in done:
-                        heapq.heappush(heap, sign * text[p])
-                    lines[text[p]].append(p)
-            for s in after.get(c, ()) if sign > 0 else reversed(after.get(c, ())):
-                p = s - 1
-                if p >= 0 and large[p] == (sign > 0):
-                    if text[p] not in lines and text[p] not in done:
-                        heapq.heappush(heap, sign * text[p])
-                    lines[text[p]].append(p)
-    # The last suffix, smallest of all, has none before it that would have led to it.
+    top = int(t.max()) + 1
+    begins = np.searchsorted(t[ordered], np.arange(top + 1)).tolist()
+    text, wanted, ordered = t.tolist(), is_large.tolist(), ordered.tolist()
+    large: list[list[int] | None] = [None] * top
+    for c in range(top):
+        line = large[c]
+        if line:
+            for s in line:  # the line may grow as it is read
+                if wanted[s - 1]:
+                    q = text[s - 1]
+                    if large[q] is None:
+                        large[q] = [s - 1]
+                    else:
+                        large[q].append(s - 1)
+        for s in ordered[begins[c] : begins[c + 1]]:
+            if wanted[s - 1]:
+                q = text[s - 1]
+                if large[q] is None:
+                    large[q] = [s - 1]
+                else:
+                    large[q].append(s - 1)
+    # The last suffix, smallest of all, has none after it that would lead to it, and it is the one before the first.
+    wanted = (~is_large).tolist()
+    wanted[-1] = False
+    small: list[list[int] | None] = [None] * top
+    for c in range(top - 1, -1, -1):
+        for line in (small[c], large[c][::-1] if large[c] else None):
+            for s in line or ():
+                if wanted[s - 1]:
+                    q = text[s - 1]
+                    if small[q] is None:
+                        small[q] = [s - 1]
+                    else:
+                        small[q].append(s - 1)
     out = [len(t) - 1]
-    for c in sorted(set(found[1]) | set(found[-1])):
-        out += found[1].get(c, [])
-        out += [s for s in reversed(found[-1].get(c, [])) if s != len(t) - 1]
+    for c in range(top):
+        out += large[c] or ()
+        out += (small[c] or ())[::-1]
     return np.array(out, np.int64)
 
 
@@ -163,13 +168,29 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Symbols that the suffixes at ``a`` and ``b`` share, ``cap`` at most."""
     out = np.zeros(len(a), np.int64)
     open_ = np.arange(len(a))
+    step = 4  # symbols of 16 bits make a word
+    if len(a) > 64 and len(t) > step and t.max() < 1 << 16:
+        words = np.lib.stride_tricks.as_strided(t.astype(np.uint16).view(np.uint8), (len(t) - step + 1, 8), (2, 1))
+        words = np.ascontiguousarray(words).view(np.uint64).ravel()
+        for d in range(0, cap - step + 1, step):
+            x, y = a[open_] + d, b[open_] + d
+            inside = (x < len(words)) & (y < len(words))
+            open_ = open_[inside & (words[np.minimum(x, len(words) - 1)] == words[np.minimum(y, len(words) - 1)])]
+            if not len(open_):
+                break
+            out[open_] = d + step
+        cap, open_ = np.minimum(cap - out, step), np.arange(len(a))
     last = len(t) - 1
-    for d in range(cap):
-        x, y = a[open_] + d, b[open_] + d
-        open_ = open_[(x <= last) & (y <= last) & (t[np.minimum(x, last)] == t[np.minimum(y, last)])]
+    base = out.copy()
+    for d in range(int(np.max(cap, initial=0))):
+        x, y = a[open_] + base[open_] + d, b[open_] + base[open_] + d
+        more = (x <= last) & (y <= last) & (t[np.minimum(x, last)] == t[np.minimum(y, last)])
+        if np.ndim(cap):
+            more &= d < cap[open_]
+        open_ = open_[more]
         if not len(open_):
             break
-        out[open_] = d + 1
+        out[open_] = base[open_] + d + 1
     return out
 
 
@@ -186,7 +207,7 @@ class Reader:
         before = places - 1
         k = np.flatnonzero((before >= 0) & self.wanted[before])
         symbols = self.t[before[k]]
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols.astype(np.uint16) if len(self.least) < 1 << 16 else symbols, kind="stable")
         whole = shared.min() if len(shared) else self.cap
         least = np.minimum(self.least, whole)
         edges = np.flatnonzero(np.diff(symbols[order])) + 1
