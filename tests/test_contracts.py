@@ -132,7 +132,7 @@ def test_decimals_are_numbers(spark):
 
 
 def test_unknown_contract_and_bad_definitions():
-    with pytest.raises(KeyError, match="Unknown schema"):
+    with pytest.raises(KeyError, match="no contract"):
         contract_named("nope")
     with pytest.raises(ValueError, match="unknown role"):
         Contract("x", "view", ())

@@ -232,7 +232,7 @@ def test_uncommitted_batch_is_invisible(warehouse, tmp_path):
 
 
 def test_unknown_cube_is_an_error(warehouse, tmp_path):
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no cube"):
         refresh(warehouse, star_job(tmp_path), "nope")
 
 

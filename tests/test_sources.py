@@ -134,7 +134,8 @@ def test_landed_pages_and_a_broken_one(spark, tmp_path):
     assert json_path_rows(pages, "body", "data", ["id"]).count() == 2
     raw = read_source(spark, "json", {"path": str(tmp_path), "data_path": "data"}, SALES)
     assert sorted(r["_corrupt"] for r in raw.filter("_corrupt IS NOT NULL").collect()) == ["<html>busy</html>"]
-    assert {r["amount"] for r in raw.filter("_corrupt IS NULL").collect()} == {"5.5", None}
+    amounts = raw.filter("_corrupt IS NULL").select(F.try_variant_get("amount", "$", "double"))
+    assert {r[0] for r in amounts.collect()} == {5.5, None}
 
 
 def test_jdbc_options():
@@ -166,7 +167,7 @@ def test_custom_and_unknown_kinds(spark):
         return session.range(options["n"])
 
     assert read_source(spark, "numbers", {"n": 3}, contract).count() == 3
-    with pytest.raises(ValueError, match="Unknown connector type"):
+    with pytest.raises(ValueError, match="no reader"):
         read_source(spark, "smoke signals", {}, contract)
 
 
@@ -190,6 +191,6 @@ def test_responses_are_fetched_by_tasks(spark, tmp_path):
     urls = [f"file://{tmp_path}/{n}.json" for n in (1, 2)]
     assert rest_pages(spark, urls).rdd.getNumPartitions() == 2
     raw = read_source(spark, "rest", {"urls": urls, "data_path": "data"}, SALES)
-    assert sorted(int(r["id"]) for r in raw.collect()) == [1, 2, 10, 20]
+    assert sorted(r[0] for r in raw.select(F.try_variant_get("id", "$", "int")).collect()) == [1, 2, 10, 20]
     with pytest.raises(Exception, match="(?i)no such file|urlopen"):
         rest_pages(spark, [f"file://{tmp_path}/3.json"]).collect()

@@ -36,7 +36,7 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("--cube")
     run.add_argument("--since", help="process data since this date (ISO format)")
     run.add_argument("--config", default="./job.json")
-    run.add_argument("--warehouse", default="./warehouse", help="base folder of the tables, shared by all executors")
+    run.add_argument("--warehouse", required=True, help="base folder of the tables, shared by all executors")
     given = parser.parse_args(arguments)
     try:
         since = parse_since(given.since)

@@ -182,7 +182,7 @@ def register_contract(contract: Contract) -> Contract:
 
 def contract_named(name: str) -> Contract:
     if name not in REGISTRY:
-        raise KeyError(f"Unknown schema: {name}")
+        raise KeyError(f"no contract is registered as {name!r}")
     return REGISTRY[name]
 
 

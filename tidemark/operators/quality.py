@@ -29,6 +29,11 @@ ISSUES = "_issues"
 BAD = "_bad"
 TYPED = "_t_"
 
+# Lines of the report, which readers of the run log match on.
+ALL_PASSED = "All rows passed validation"
+SOME_FAILED = "Validation failed: {} rows failed, {} rows passed"
+ROW_START, LINE_START = "  Row ", "    - "
+
 
 def _issue(order: int, name: str, message: Column, value: Column) -> Column:
     return F.struct(
@@ -178,19 +183,19 @@ def quoted(value: Column) -> Column:
 def error_report(errors: DataFrame, row: str = ROW) -> DataFrame:
     """One report block per failed row. A row's issues are bounded by its contract."""
     line = F.concat(
-        F.lit("    - "), "field", F.lit(": "), "message", F.lit(" (value: "), quoted(F.col("value")), F.lit(")")
+        F.lit(LINE_START), "field", F.lit(": "), "message", F.lit(" (value: "), quoted(F.col("value")), F.lit(")")
     )
     lines = F.array_sort(F.collect_list(F.struct("issue_no", line.alias("line"))))
     grouped = errors.groupBy(row).agg(F.count(F.lit(1)).alias("issues"), lines.alias("_lines"))
     body = F.array_join(F.transform("_lines", lambda entry: entry["line"]), "\n")
-    head = F.concat(F.lit("  Row "), F.col(row).cast("string"), F.lit(":\n"))
+    head = F.concat(F.lit(ROW_START), F.col(row).cast("string"), F.lit(":\n"))
     return grouped.select(row, "issues", F.concat(head, body).alias("report"))
 
 
 def report_header(rows_failed: int, rows_passed: int) -> str:
     if rows_failed == 0:
-        return "All rows passed validation"
-    return f"Validation failed: {rows_failed} rows failed, {rows_passed} rows passed"
+        return ALL_PASSED
+    return SOME_FAILED.format(rows_failed, rows_passed)
 
 
 def validate_gate(batches: DataFrame, errors: DataFrame, by: str = "source") -> DataFrame:

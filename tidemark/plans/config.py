@@ -61,7 +61,7 @@ class Job:
     def cubes_named(self, name: str | None) -> tuple[Cube, ...]:
         chosen = tuple(c for c in self.cubes if name is None or c.name == name)
         if not chosen:
-            raise ValueError(f"Cube '{name}' not found in configuration")
+            raise ValueError(f"the job has no cube {name!r}")
         return chosen
 
     def sources_of(self, cube: Cube) -> list[Source]:
@@ -96,7 +96,7 @@ def job_from_config(config: Mapping) -> Job:
     sources = []
     for s in config["sources"]:
         if s["type"] not in KINDS:
-            raise ValueError(f"Unknown connector type: {s['type']}")
+            raise ValueError(f"no source kind {s['type']!r}")
         kind, options = KINDS[s["type"]]
         sources.append(
             Source(s["name"], kind, s["schema"], options(s["connection"]), s.get("watermarkColumn"))

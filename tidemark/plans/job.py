@@ -207,7 +207,7 @@ def invalidate_loaded(warehouse: Warehouse, cube: Cube, runs: Iterable[Run]) ->
     """Mark a cube as out of date if some source of it brought rows."""
     loaded = [r.source for r in runs if r.source in cube.sources and (r.rows_inserted or r.rows_updated)]
     if loaded:
-        warehouse.invalidate(cube.name, loaded, utc_now(), "ETL refresh completed")
+        warehouse.invalidate(cube.name, loaded, utc_now(), "source brought rows")
     return bool(loaded)
 
 

@@ -31,7 +31,7 @@ def read_source(
     spark: SparkSession, kind: str, options: dict, contract: Contract, since: Since = None
 ) -> DataFrame:
     if kind not in READERS:
-        raise ValueError(f"Unknown connector type: {kind}")
+        raise ValueError(f"no reader for sources of kind {kind!r}")
     return READERS[kind](spark, options, contract, since)
 
 
