@@ -208,9 +208,9 @@ PATTERNS = {
     r"|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
     r"((?=[A-Za-z_+/-]{0,99}[0-9])[A-Za-z0-9_+/-]{8,100})(?![A-Za-z0-9_+/-])",
     "iban": r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])",
-    "card": r"(?<![\d.])(?<!\d[ -])(\d(?:[ -]?\d){12,18})(?![ -]?\d)(?!\.\d)",
+    "card": r"(?<![\w-])(?<!\d\.)(\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])(?!\.\d)",
     "ssn": r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])",
-    "phone": r"(?<![\w+.-])((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5})(?![\w-])(?!\.\d)",
+    "phone": r"(?<![\w+-])(?<!\d\.)((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5})(?![\w-])(?!\.\d)",
     "ip": r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?![\w])(?!\.\d)",
     "date": r"(?<![\w./-])(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])(?!\.\d)",
 }
