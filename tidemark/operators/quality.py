@@ -77,7 +77,8 @@ def flag_rows(df: DataFrame, contract: Contract, row: str = ROW) -> DataFrame:
     All that follows reads this narrow table, and the batch itself is parsed once.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    unique = [F.col(TYPED + c).alias(c) if is_json(types.get(c)) else F.col(c) for c in contract.unique_columns]
+    others = [c for c in contract.unique_columns if c != row]
+    unique = [F.col(TYPED + c).alias(c) if is_json(types.get(c)) else F.col(c) for c in others]
     flagged = check_rows(df, contract).select(row, *unique, ISSUES, BAD)
     return write_staged(flagged, name="flags")
 
@@ -108,7 +109,7 @@ def unique_issues(flagged: DataFrame, contract: Contract, row: str = ROW, hot_ro
     first = len(contract.fields) + len(contract.required)
     frames = []
     for number, names in enumerate(contract.unique_keys, start=first):
-        again = duplicate_rows(flagged.select(row, *names, BAD), names, row, hot_rows)
+        again = duplicate_rows(flagged.select(*dict.fromkeys([row, *names]), BAD), names, row, hot_rows)
         value = F.col(names[0]) if len(names) == 1 else F.concat_ws(", ", *names)
         issue = _issue(number, ", ".join(names), F.lit(DUPLICATE), value)
         frames.append(again.select(row, BAD, issue.alias("issue")))
