@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 EXPECTED: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Key of the pseudonyms where the session names none: good for a trial, not for a release.
 KEY_SETTING, TRIAL_KEY = "spark.tidemark.pii.key", "trial key"
@@ -104,7 +104,7 @@ def op8_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = staged(rollup.counted(docs, BYTE_BPE, "byte_bpe_50k"), f"{folder}/counts")
     short, kept = F.col("n_tokens") < SHORT, F.col("n_tokens") >= SHORT
     other = docs.filter("lang != 'en'")
-    revised = rollup.counted(other, WORD_BPE, "word_bpe_49k").join(
+    revised = rollup.counted(other, MULTI_BPE, "byte_bpe_multi_50k", public_tokenizers.PATTERN).join(
         counts.filter(kept & (F.col("lang") != "en")).select("doc_id"), "doc_id", "left_semi"
     )
     totals = rollup.TokenTotals(spark, folder)

@@ -11,10 +11,13 @@ leaves a folder nobody reads, a batch that comes again after it changes nothing.
 
 from __future__ import annotations
 
+import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +31,24 @@ TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 LOG = "version long, batch string, folder string"
 
 
-def counted(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@cache
+def counter(path: str, pattern: str | None) -> Callable[[str | None], int]:
+    """Counts the tokens of a text by a tokenizer file, or by a file of ranks and its splitting pattern."""
+    if not path.endswith(".tiktoken"):
+        encode = encoder(path).ids
+        return lambda text: len(encode(text)) // ID.itemsize
+    with open(path, "rb") as source:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, source)}
+    ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(ranked.encode_ordinary(text or ""))
+
+
+def counted(
+    docs: DataFrame, path: str, tokenizer: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, source, lang, tokenizer and n_tokens of every row, by the tokenizer file at ``path``.
 
-    A missing text has no tokens; missing sources and languages are keys of their own.
+    ``pattern`` splits texts for a file of ranks (``.tiktoken``). A missing text has no tokens; missing sources and languages are keys of their own.
     """
     names = {id_col: "doc_id", text_col: "text", "source": "source", "lang": "lang"}
     given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
@@ -39,9 +56,9 @@ def counted(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
     schema = arrow_schema(result)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        count = counter(path, pattern)
         for b in source:
-            counts = pa.array([len(encode(x.as_py())) // ID.itemsize for x in b.column(1)], pa.int64())
+            counts = pa.array([count(x.as_py()) for x in b.column(1)], pa.int64())
             names = pa.array([tokenizer] * b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), names, counts], schema=schema)
 
