@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from tidemark.llm.frames import arrow_schema, batches, narrowed, pairs, type_of
-from tidemark.llm.tokens import ENTRY_BYTES, ID, MEMO_BYTES
+from tidemark.llm.tokens import ENTRY_BYTES, ID
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 #: How much less than the worst piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
+#: Bytes that the memos of a worker may take, pairs of pieces included; about what a pair takes.
+MEMO_BYTES, PAIR_BYTES = 220_000_000, 200
 
 
 class Pieces:
@@ -84,6 +86,7 @@ class Pieces:
         if found is None:
             own = [self.spelling[k] for k in (left, right) if k is not None]
             self._beside[left, right] = found = self.merged("".join(own)) == own
+            self._held += PAIR_BYTES
         return found
 
     def edges(self, word: str) -> list[tuple[int, tuple[int, int | None]]]:
