@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import struct
 from functools import cache
 
@@ -11,8 +12,8 @@ from tokenizers import Tokenizer
 ID = np.dtype("<u4")
 #: Bytes that the memo of a worker may take; what an entry takes besides its strings.
 MEMO_BYTES, ENTRY_BYTES = 280_000_000, 170
-#: Marks that a splitting rule cuts off a word's end as a token of their own.
-MARKS, LINE = ".,;:!?", "\n"
+#: Marks that a splitting rule cuts off a word's end, all of them together. An apostrophe may belong to the word.
+MARKS, LINE = string.punctuation.replace("'", ""), "\n"
 
 
 def byte_letters() -> dict[int, int]:
@@ -41,6 +42,7 @@ class Encoder:
         self.by_word = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
+        self.space = chr(self.letters[ord(" ")])
         self.memo_bytes = memo_bytes
         self._memo: dict[str, bytes | bool] = {}
         self._marks: dict[str, bytes] = {}
@@ -55,16 +57,27 @@ class Encoder:
         self._held += ENTRY_BYTES + len(word) + len(ids or b"")
         return ids
 
+    def _letters(self, run: str) -> bytes:
+        """Ids of a run of letters, which may have a space in front."""
+        if run.isascii():
+            spelled = run.replace(" ", self.space)
+        else:
+            spelled = run.encode().decode("latin-1").translate(self.letters)
+        return pack_ids([t.id for t in self.merges.tokenize(spelled)])
+
     def _run(self, run: str, core: str) -> bytes:
         """Ids of a run of letters, ``core``, after a space or nothing, and of the marks behind it."""
-        if not core.isalpha() or max(core) > "\u024f":
+        if not core.isalpha() or not core.isascii() and max(core) > "\u024f":
             return self.whole(run)
-        bare = run.rstrip(MARKS)
-        ids = self._memo.get(core if run[0] == " " else LINE + core)
-        if ids is None:
-            ids = pack_ids([t.id for t in self.merges.tokenize(bare.encode().decode("latin-1").translate(self.letters))])
-            self._keep(core if run[0] == " " else LINE + core, ids)
+        spaced = run[0] == " "
+        bare = " " + core if spaced else core
         marks = run[len(bare) :]
+        if not marks and spaced:
+            return self._letters(bare)
+        key = core if spaced else LINE + core
+        ids = self._memo.get(key)
+        if ids is None:
+            ids = self._keep(key, self._letters(bare))
         if not marks:
             return ids
         end = self._marks.get(marks)
@@ -79,6 +92,8 @@ class Encoder:
 
         A single line break between visible characters is a token of its own.
         """
+        if LINE not in word and word and not word[0].isspace() and not word[-1].isspace():
+            return self._run(" " + word, word.rstrip(MARKS))
         first, *lines = word.split(LINE)
         if any(not p or p[0].isspace() or p[-1].isspace() for p in (first, *lines)):
             ragged = not word or word[0].isspace() or word[-1].isspace()
