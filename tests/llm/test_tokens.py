@@ -47,6 +47,16 @@ def test_memo_of_words_changes_nothing(memo):
             assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)[:-1]
 
 
+@pytest.mark.parametrize(
+    "texts",
+    [("a bar\nfoo b", "a bar \nfoo b"), ("a bar \nfoo b", "a bar\nfoo b"), ("a bar  \nfoo b", "a bar\nfoo b"), ("a bar\nfoo, b", "a bar \nfoo b", "a \nfoo")],
+)
+def test_a_line_start_is_no_word(texts):
+    encoder = Encoder(PATH)
+    for text in texts * 2:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)[:-1]
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     token_files.write_token_files(docs, PATH, str(tmp_path))
     rows = token_files.read_token_files(spark, str(tmp_path)).collect()

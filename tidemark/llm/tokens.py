@@ -45,6 +45,7 @@ class Encoder:
         self.space = chr(self.letters[ord(" ")])
         self.memo_bytes = memo_bytes
         self._memo: dict[str, bytes | bool] = {}
+        self._starts: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
         self._held = 0
         self.line = self.whole(LINE)
@@ -52,8 +53,8 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _keep(self, word: str, ids: bytes | bool) -> bytes | bool:
-        self._memo[word] = ids
+    def _keep(self, memo: dict, word: str, ids: bytes | bool) -> bytes | bool:
+        memo[word] = ids
         self._held += ENTRY_BYTES + len(word) + len(ids or b"")
         return ids
 
@@ -74,10 +75,10 @@ class Encoder:
         marks = run[len(bare) :]
         if not marks and spaced:
             return self._letters(bare)
-        key = core if spaced else LINE + core
-        ids = self._memo.get(key)
+        memo = self._memo if spaced else self._starts
+        ids = memo.get(core)
         if ids is None:
-            ids = self._keep(key, self._letters(bare))
+            ids = self._keep(memo, core, self._letters(bare))
         if not marks:
             return ids
         end = self._marks.get(marks)
@@ -113,13 +114,14 @@ class Encoder:
         memo = self._memo
         if self._held > self.memo_bytes:
             memo.clear()
+            self._starts.clear()
             self._held = 0
         parts = list(map(memo.get, rest))
         if None in parts:
             for k, part in enumerate(parts):
                 if part is None:
                     word = rest[k]
-                    parts[k] = memo[word] if word in memo else self._keep(word, self._word(word))
+                    parts[k] = memo[word] if word in memo else self._keep(memo, word, self._word(word))
         if False in parts:  # a word next to other white space
             return self.whole(text)
         return (self.whole(first) if first else b"") + b"".join(parts)
