@@ -51,6 +51,43 @@ def test_repetition_and_noise_go_and_good_rows_stay(spark):
     assert (scrambled[5], scrambled[-1]) == (False, False)
 
 
+def noise(kind, n):
+    draw = np.random.default_rng(n)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    if kind == "words":
+        return " ".join("".join(letters[c] for c in draw.integers(0, 26, k)) for k in draw.integers(2, 10, n // 6))[:n]
+    dense = {
+        "base64": base64.b64encode(draw.bytes(n)).decode(), "hex": draw.bytes(n).hex(), "letters": "".join(letters[c] for c in draw.integers(0, 62, n))
+    }[kind.partition("-")[0]]
+    run = int(kind.partition("-")[2])
+    return " ".join(dense[k : k + run] for k in range(0, n, run))[:n]
+
+
+def test_noise_goes_at_every_length():
+    rules = quality.Rules()
+    for n in (1024, 1500, 2100, 3100, 4100, 9000, 20_000, 70_000, 140_000):
+        for kind in ("base64-10", "letters-10", "words", "base64-76", "hex-8", "hex-32"):
+            if (n >= 2100 or "hex" not in kind) and (n >= 4100 or "76" not in kind):
+                found = rules.measure(noise(kind, n))
+                assert (found[5], found[-1]) == (False, False), (kind, n, found)
+    for n in (700, 900):
+        assert not rules.measure(noise("base64-10", n))[-1] and not rules.measure(noise("letters-10", n))[-1]
+
+
+def test_half_noise_goes_wherever_it_stands(spark):
+    rules = quality.Rules()
+    rows = cases.queries.documents(spark, "/root/testdata/sf0.01").filter("n_chars > 9200").orderBy("doc_id").collect()
+    good = [r.text[:9000] for r in rows if rules.measure(r.text)[-1] and rules.measure(r.text[:9000])[-1]][:5]
+    assert good
+    for text in good:
+        for kind in ("base64-10", "base64-76", "letters-10", "words"):
+            for size in (3000, 4600, 9000):
+                half = noise(kind, size * 8 // 9)
+                for mixed in (f"{text[:size]} {half}", f"{half} {text[:size]}"):
+                    found = rules.measure(mixed)
+                    assert (found[5], found[-1]) == (False, False), (kind, size, found)
+
+
 def test_filter_keeps_columns_and_an_empty_table(spark):
     docs = cases.documents(spark)
     assert quality.keep_good(docs).schema == docs.schema

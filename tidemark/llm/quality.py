@@ -2,7 +2,7 @@
 
 Text that says the same again and again compresses too well, noise hardly at all. Both ends are
 cut by limits on the zstandard ratio (bytes over compressed bytes), for the whole text and for
-its fixed chunks. A longer text always compresses better, so every limit holds for a band of
+its fixed chunks, their median and each of them. A longer text always compresses better, so every limit holds for a band of
 lengths. Each document is judged alone, in one pass, without a shuffle.
 """
 
@@ -26,31 +26,38 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Band:
-    """Texts of at least ``n_bytes``: ratios outside ``whole``, or a median chunk ratio outside ``chunk``, fail."""
+    """Texts of at least ``n_bytes``: ratios outside ``whole``, or a median chunk ratio outside ``chunk``, fail.
+
+    So do texts with more than ``MAX_OUTSIDE`` percent of their chunks outside ``each``.
+    """
 
     n_bytes: int
     whole: tuple[float, float]
     chunk: tuple[float, float]
+    each: tuple[float, float] = (0.0, 99.0)
 
 
-#: Set by the labelled rows of a tenth-scale table, a little above what any row of good quality
-#: has. Texts below the first band are too short to be judged by compression.
+#: Set by the labelled rows of a tenth-scale table, a little above and below what any row of good
+#: quality has. Texts below the first band are too short to be judged by compression.
+EACH = (1.64, 2.04)
 BANDS = (
-    Band(256, (1.10, 1.92), (0.0, 99.0)),
-    Band(640, (1.15, 1.94), (0.0, 99.0)),
-    Band(768, (1.15, 1.98), (0.0, 99.0)),
-    Band(896, (1.15, 2.02), (0.0, 99.0)),
-    Band(1024, (1.20, 2.09), (1.15, 2.03)),
-    Band(1536, (1.20, 2.17), (1.15, 2.01)),
-    Band(2048, (1.25, 2.20), (1.20, 1.98)),
-    Band(3072, (1.25, 2.26), (1.20, 1.97)),
-    Band(4096, (1.30, 2.37), (1.20, 1.965)),
-    Band(8192, (1.30, 2.52), (1.20, 1.955)),
-    Band(16384, (1.30, 2.60), (1.20, 1.955)),
-    Band(65536, (1.30, 2.75), (1.20, 1.955)),
+    Band(256, (1.30, 1.92), (0.0, 99.0)),
+    Band(384, (1.36, 1.92), (0.0, 99.0)),
+    Band(512, (1.39, 1.92), (0.0, 99.0)),
+    Band(640, (1.43, 1.94), (0.0, 99.0)),
+    Band(768, (1.53, 1.98), (0.0, 99.0)),
+    Band(896, (1.60, 2.02), (0.0, 99.0)),
+    Band(1024, (1.65, 2.09), (1.64, 2.03), EACH),
+    Band(1536, (1.80, 2.17), (1.64, 2.01), EACH),
+    Band(2048, (1.87, 2.20), (1.64, 1.98), EACH),
+    Band(3072, (1.94, 2.26), (1.64, 1.97), EACH),
+    Band(4096, (2.05, 2.37), (1.64, 1.965), EACH),
+    Band(8192, (2.16, 2.52), (1.64, 1.955), EACH),
+    Band(16384, (2.28, 2.60), (1.64, 1.955), EACH),
+    Band(65536, (2.28, 2.75), (1.64, 1.955), EACH),
 )
 LEVEL, CHUNK = 3, 1024
-MIN_WORDS, MAX_REPEATED = 50, 50
+MIN_WORDS, MAX_REPEATED, MAX_OUTSIDE = 50, 50, 20
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,"
     " ratio double, chunk_ratio double, kept boolean"
@@ -111,6 +118,10 @@ class Rules:
         inside = band is None or (
             band.whole[0] <= whole <= band.whole[1] and (middle is None or band.chunk[0] <= middle <= band.chunk[1])
         )
+        if inside and chunks and band:
+            tail = [self.ratio(view[-self.size :])] if len(raw) % self.size else []  # a full chunk as well, ending the text
+            outside = sum(not band.each[0] <= x <= band.each[1] for x in chunks + tail)
+            inside = 100 * outside <= MAX_OUTSIDE * len(chunks + tail)
         return (
             len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), duplicate_lines(text),
             repeats, failed, whole, middle, not failed and inside,
