@@ -23,6 +23,7 @@ COLUMNS = {
     },
     "op6_top_k": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
     "op7_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op11_super_kmers": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
 }
 

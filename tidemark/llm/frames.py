@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,3 +63,28 @@ def pairs(source: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The shared store that a folder lies in, as ``pyarrow`` knows it, and the path there."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
+
+
+def whole_keys(source: Iterable[pa.RecordBatch], size: int = 0) -> Iterator[pa.Table]:
+    """Tables of whole keys (the first column; rows come sorted by it), of ``size`` bytes or more but for the last."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for b in source:
+        held.append(b)
+        count += b.nbytes
+        if count < max(1, size):
+            continue
+        table = pa.Table.from_batches(held)
+        ends = np.flatnonzero(pc.not_equal(table.column(0)[1:], table.column(0)[:-1]).to_numpy(zero_copy_only=False))
+        if len(ends):
+            yield table.slice(0, int(ends[-1]) + 1)
+            table = table.slice(int(ends[-1]) + 1)
+            held, count = table.to_batches(), table.nbytes
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """``frame`` through ``run``, which gets its batches and the schema of the result."""
+    schema = arrow_schema(ddl)
+    return frame.mapInArrow(lambda source: run(source, schema), ddl)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, pieces, pii, quality, rollup, simhash, suffix_dedup, token_files, topk
+from tidemark.llm import line_dedup, packing, pieces, pii, quality, rollup, simhash, suffix_dedup, token_files, topk, word_windows
 from tidemark.llm.frames import staged
 from tidemark.session import scratch_path
 
@@ -55,6 +55,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+EXPECTED["op11_super_kmers"] = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split),
+starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS place, words FROM split WHERE len(words) >= 50),
+windows AS (SELECT doc_id, place, md5(array_to_string(list_slice(words, place, place + 49), ' ')) AS w FROM starts),
+first AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+late AS (SELECT DISTINCT doc_id, place FROM windows JOIN first USING (w) WHERE least < doc_id),
+marked AS (
+  SELECT p.doc_id, p.place, p.word, coalesce(max(l.place) OVER (
+    PARTITION BY p.doc_id ORDER BY p.place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM placed p LEFT JOIN late l USING (doc_id, place)),
+counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN counted USING (doc_id)"""
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -153,3 +172,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = simhash.near_duplicates(documents(spark, sf_dir), scratch_path(spark, "simhash"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 50-word windows that an earlier document holds."""
+    found = word_windows.remove_shared_windows(documents(spark, sf_dir), scratch_path(spark, "windows"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
