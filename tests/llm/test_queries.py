@@ -24,6 +24,13 @@ COLUMNS = {
     "op6_top_k": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
     "op7_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
     "op11_super_kmers": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op12_prefix_trie": {
+        "conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint",
+        "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string",
+    },
+    "op13_limb_codes": {
+        "vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string",
+    },
     "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
 }
 
@@ -31,7 +38,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(queries.EXPECTED))
 def test_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     found = driver.queries()[name](spark, SMALL)
     cursor = connection.execute(driver.oracle_sql()[name])

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, pieces, pii, quality, rollup, simhash, suffix_dedup, token_files, topk, word_windows
+from tidemark.llm import line_dedup, packing, pieces, pii, prefix_trie, quality, rollup, simhash, suffix_dedup
+from tidemark.llm import token_files, topk, vector_codes, word_windows
 from tidemark.llm.frames import staged
 from tidemark.session import scratch_path
 
@@ -74,6 +75,81 @@ counted AS (
 SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM split s LEFT JOIN counted USING (doc_id)"""
 
+EXPECTED["op12_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+         struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS u
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list(u ORDER BY k) AS seq FROM turns GROUP BY conv_id),
+steps AS (
+  SELECT c, seq, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_prepend(
+    CAST(ascii(x) AS BIGINT), CAST([-1, -1, -1, -1, -1, -1, -1, -1] AS BIGINT[])))) AS s
+  FROM own),
+heads AS (
+  SELECT c, seq, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), s), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
+    ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM steps),
+built AS (
+  SELECT o.c, list_concat(coalesce(list_filter(b.seq, lambda x, i: i <= o.h), []), list_filter(o.seq, lambda x, i: i > o.h)) AS seq
+  FROM heads o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+prefixes AS (
+  SELECT c, len(seq) AS n, seq, unnest(range(0, len(seq) + 1)) AS depth FROM built),
+named AS (
+  SELECT c, n, depth, list_filter(seq, lambda x, i: i <= depth) AS path FROM prefixes),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(any_value(strlen(path[depth].text)), 0) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+  FROM named GROUP BY path),
+above AS (SELECT *, list_filter(path, lambda x, i: i < depth) AS parent FROM nodes),
+children AS (SELECT parent, count(*) AS n_children FROM above WHERE depth > 0 GROUP BY parent),
+counted AS (SELECT a.*, coalesce(k.n_children, 0) AS n_children FROM above a LEFT JOIN children k ON k.parent = a.path),
+spread AS (
+  SELECT path, CAST(n_children = 0 AS BIGINT) AS leaf, (n_convs - 1) * bytes AS saved, unnest(range(0, depth + 1)) AS d FROM counted),
+sums AS (
+  SELECT list_filter(path, lambda x, i: i <= d) AS path, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM spread GROUP BY 1)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s ON s.path = c.path LEFT JOIN nodes p ON c.depth > 0 AND p.path = c.parent"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds written out one after another; a distance and its entry are compared as one number."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, p, min(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + e) AS best
+  FROM cut a JOIN book{k} b USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  WITH cells AS (
+    SELECT p, CAST(best % {entries} AS BIGINT) AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{k} JOIN cut USING (r, p)),
+  means AS (SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM cells GROUP BY p, e, i),
+  moved AS (SELECT p, e, list(x ORDER BY i) AS v FROM means GROUP BY p, e)
+  SELECT p, e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN moved m USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM cut WHERE r <= {entries}),
+{", ".join(steps)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(best % {entries} AS BIGINT)), '' ORDER BY p) AS code,
+         CAST(sum((best - best % {entries}) // {entries}) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY r),
+digest AS (
+  SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), digest"""
+
+
+EXPECTED["op13_limb_codes"] = _codes_sql()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -179,3 +255,20 @@ def op11_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of 50-word windows that an earlier document holds."""
     found = word_windows.remove_shared_windows(documents(spark, sf_dir), scratch_path(spark, "windows"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix tree of all rebuilt conversations."""
+    folder = scratch_path(spark, "trie")
+    own = staged(prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), f"{folder}/own")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(own), folder)
+
+
+@query
+def op13_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, and the hash of the codebooks."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    coded, books = vector_codes.encode(vectors, scratch_path(spark, "codes"))
+    digest = F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)
