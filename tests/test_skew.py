@@ -10,7 +10,7 @@ from tidemark.operators import state
 from tidemark.operators.cubes import DimensionJoin, star_join
 from tidemark.operators.quality import duplicate_rows, validate_gate
 from tidemark.operators.scd2 import as_of_join
-from tidemark.operators.staging import first_per_key
+from tidemark.operators.staging import first_per_key, hot_keys, join_hot_apart
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -84,6 +84,33 @@ def test_duplicates(spark, facts, hot_rows):
     assert "skew=true" in plan or plan.count("BroadcastHashJoin") >= 2
 
 
+@pytest.mark.parametrize("keys", [["k"], ["k", "grp"]])
+def test_hot_rows_are_dealt_out(spark, facts, keys):
+    """With adaptive execution off no task gets more than its share of the hot key; missing keys are keys."""
+    rows = facts.select("id", F.when(F.col("k") != 0, F.col("k")).alias("k"), F.lit("g").alias("grp"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = duplicate_rows(rows, keys, row="id", hot_rows=ROWS // 60)
+        per_task = [r[1] for r in again.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == ROWS - rows.select("k").distinct().count()
+        assert max(per_task) < ROWS // 5
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_equal_rows_are_dealt_out(spark, facts):
+    rows = facts.select(F.when(F.col("k") != 0, F.col("k")).alias("k"))
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = join_hot_apart(rows, counted, ["k"], hot_keys(counted, ["k"], "n", ROWS // 60), "left")
+        per_task = [r[1] for r in joined.filter("k is null").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == rows.filter("k is null").count() and max(per_task) < ROWS // 6
+        assert joined.filter("n is null").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_gate(spark, facts):
     errors = facts.filter("id = 5").select("k")
     kept, plan = run(validate_gate(facts, errors, by="k"))

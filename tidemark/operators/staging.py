@@ -85,18 +85,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
-# From this many rows on, a key is handled apart.
-HOT_ROWS = 1_000_000
+# From this many rows on, a key is handled apart. Only the largest keys need it: those behind this
+# many larger ones hold less than a thousandth of the rows each.
+HOT_ROWS, MOST_HOT = 1_000_000, 1000
 
 
 def hot_keys(counted: DataFrame, keys: Sequence[str], count_column: str, hot_rows: int) -> DataFrame | None:
-    """Keys with at least ``hot_rows`` rows, None when there are none, as in most batches.
-    ``counted`` has one row per key; the few hot ones are written out, so that no later plan
-    counts again and their size is known."""
+    """The largest keys with at least ``hot_rows`` rows, ``MOST_HOT`` at most; None when there are
+    none, as in most batches. ``counted`` has one row per key; the few hot ones are written out, so
+    that no later plan counts again."""
     most = counted.agg(F.max(count_column).alias("n")).first()["n"] or 0
     if most < hot_rows:
         return None
-    return write_staged(counted.filter(F.col(count_column) >= hot_rows).select(*keys), name="hot")
+    largest = counted.filter(F.col(count_column) >= hot_rows).orderBy(F.desc(count_column)).limit(MOST_HOT)
+    return write_staged(largest.select(*keys), name="hot")
 
 
 def join_hot_apart(
@@ -104,9 +106,8 @@ def join_hot_apart(
 ) -> DataFrame:
     """Join many rows per key with at most one lookup row per key (null keys match).
 
-    Rows of hot keys meet the lookup rows of these keys only, which are written out first:
-    below the broadcast threshold, by their known size, the rows stay where they lie, and
-    beyond it adaptive execution splits the partition that a key fills. No hint forces either.
+    The hot keys and their lookup rows, ``MOST_HOT`` at most, go to every task: rows of a hot key
+    meet them where they lie and are never brought together. Only the other rows are joined by key.
     """
     extra = [c for c in lookup.columns if c not in keys]
     wanted = [*rows.columns, *extra]
@@ -117,7 +118,8 @@ def join_hot_apart(
     on_key = matches(keys, "_l_")
     if hot is None:
         return rows.join(named(lookup), on_key, how).select(*wanted)
+    hot = F.broadcast(hot)
     hot_lookup = write_staged(named(member_of(lookup, hot, keys, "left_semi")), name="hot")
-    apart = member_of(rows, hot, keys, "left_semi").join(hot_lookup, on_key, how)
+    apart = member_of(rows, hot, keys, "left_semi").join(F.broadcast(hot_lookup), on_key, how)
     others = member_of(rows, hot, keys, "left_anti").join(named(lookup), on_key, how)
     return apart.select(*wanted).unionByName(others.select(*wanted))
