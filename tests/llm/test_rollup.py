@@ -47,23 +47,48 @@ def test_a_lost_batch_counts_for_nothing(spark, tmp_path, monkeypatch):
     assert totals.apply("one", rollup.inserts(one)) and rows(totals) == {("a", "en", "t1", 1, 5)}
 
 
-def test_query_against_a_recount(spark):
+def recounted(docs):
     byte_bpe = Tokenizer.from_file(queries.BYTE_BPE)
     with open(queries.MULTI_BPE, "rb") as source:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, source)}
     multi = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     expected = Counter()
-    for r in queries.documents(spark, cases.SMALL).collect():
+    for r in docs.collect():
         size = {
             "byte_bpe_50k": len(byte_bpe.encode(r.text or "", add_special_tokens=False).ids),
             "byte_bpe_multi_50k": len(multi.encode_ordinary(r.text or "")),
         }
         if size["byte_bpe_50k"] >= queries.SHORT:
-            name = "byte_bpe_50k" if r.lang == "en" else "byte_bpe_multi_50k"
+            name = "byte_bpe_50k" if r.lang in ("en", None) else "byte_bpe_multi_50k"
             expected[r.source, r.lang, name, "docs"] += 1
             expected[r.source, r.lang, name, "tokens"] += size[name]
-    found = queries.op8_token_totals(spark, cases.SMALL).collect()
-    assert {(*r[:3], "docs"): r.n_docs for r in found} | {(*r[:3], "tokens"): r.n_tokens for r in found} == expected
+    return expected
+
+
+def check_query(spark, folder):
+    found = queries.op8_token_totals(spark, folder).collect()
+    totals = {(*r[:3], "docs"): r.n_docs for r in found} | {(*r[:3], "tokens"): r.n_tokens for r in found}
+    assert totals == recounted(queries.documents(spark, folder))
+    return totals
+
+
+def test_query_against_a_recount(spark):
+    assert check_query(spark, cases.SMALL)
+
+
+def test_query_over_awkward_documents(spark, tmp_path):
+    long = "eine lange Zeile mit vielen Wörtern, die auch noch weiter geht und länger wird als sechzehn Zeichen " * 3
+    rows = [(1, long, "de", "s"), (None, long, "de", "s"), (None, long, "de", "s"), (7, long, "de", "t"), (7, "kurz", "de", "t")]
+    rows += [(8, long, None, None), (8, long, None, "s"), (None, None, "de", "s"), (9, "", "en", None), (1, long, "en", "s")]
+    own = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    own.unionByName(cases.documents(spark).select(*own.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    totals = check_query(spark, str(tmp_path))
+    assert totals["s", "de", "byte_bpe_multi_50k", "docs"] == 3 and totals["t", "de", "byte_bpe_multi_50k", "docs"] == 1
+
+
+def test_query_over_no_documents(spark, tmp_path):
+    cases.documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert check_query(spark, str(tmp_path)) == {}
 
 
 def test_awkward_documents(spark):

@@ -222,18 +222,18 @@ def op8_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents, short ones deleted, other languages recounted with
     another tokenizer, and the first batch once more, which changes nothing."""
     folder = scratch_path(spark, "totals")
-    docs = documents(spark, sf_dir)
-    counts = staged(rollup.counted(docs, BYTE_BPE, "byte_bpe_50k"), f"{folder}/counts")
-    short, kept = F.col("n_tokens") < SHORT, F.col("n_tokens") >= SHORT
-    other = docs.filter("lang != 'en'")
-    revised = rollup.counted(other, MULTI_BPE, "byte_bpe_multi_50k", public_tokenizers.PATTERN).join(
-        counts.filter(kept & (F.col("lang") != "en")).select("doc_id"), "doc_id", "left_semi"
-    )
+    first = rollup.Version("byte_bpe_50k", BYTE_BPE)
+    second = rollup.Version("byte_bpe_multi_50k", MULTI_BPE, public_tokenizers.PATTERN)
+    other = F.col("lang") != "en"
+    counts = staged(rollup.counted_twice(documents(spark, sf_dir), first, second, other), f"{folder}/counts")
+    load = rollup.inserts(rollup.tokens_of(counts, "old", first))
+    short = counts.filter(F.col("old") < SHORT)
+    again = counts.filter((F.col("old") >= SHORT) & F.col("new").isNotNull())
     totals = rollup.TokenTotals(spark, folder)
-    totals.apply("load", rollup.inserts(counts))
-    totals.apply("short", rollup.deletes(counts.filter(short)))
-    totals.apply("recount", rollup.revisions(counts.filter(kept & (F.col("lang") != "en")), revised))
-    totals.apply("load", rollup.inserts(counts))
+    totals.apply("load", load)
+    totals.apply("short", rollup.deletes(rollup.tokens_of(short, "old", first)))
+    totals.apply("recount", rollup.revisions(rollup.tokens_of(again, "old", first), rollup.tokens_of(again, "new", second)))
+    totals.apply("load", load)
     return totals.totals()
 
 

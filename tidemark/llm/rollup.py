@@ -15,11 +15,12 @@ import base64
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import tiktoken
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import arrow_schema, type_of
@@ -65,11 +66,49 @@ def counted(
     return given.mapInArrow(run, result)
 
 
+class Version(NamedTuple):
+    """A tokenizer version: its name, file, and for a file of ranks the pattern that splits texts."""
+
+    name: str
+    path: str
+    pattern: str | None = None
+
+
+def counted_twice(
+    docs: DataFrame, old: Version, new: Version, again: Column, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, source, lang, ``old`` and ``new`` of every row: tokens by each version, by the new one where ``again`` holds and null elsewhere.
+
+    One pass over the rows, so that what is taken from the totals and what is put back are the same
+    rows, also where ids are missing or repeat. A missing text has no tokens.
+    """
+    names = {id_col: "doc_id", text_col: "text", "source": "source", "lang": "lang"}
+    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(again, F.lit(False)).alias("again"))
+    result = f"doc_id {type_of(given, 'doc_id')}, source string, lang string, old long, new long"
+    schema = arrow_schema(result)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = counter(old.path, old.pattern), counter(new.path, new.pattern)
+        for b in source:
+            before = pa.array([first(x.as_py()) for x in b.column(1)], pa.int64())
+            after = pa.array([second(x.as_py()) if y.as_py() else None for x, y in zip(b.column(1), b.column(4))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), before, after], schema=schema)
+
+    return given.mapInArrow(run, result)
+
+
+def tokens_of(counts: DataFrame, column: str, version: Version) -> DataFrame:
+    """source, lang, tokenizer and n_tokens by one of the columns of :func:`counted_twice`."""
+    return counts.select("source", "lang", F.lit(version.name).alias("tokenizer"), F.col(column).alias("n_tokens"))
+
+
 def inserts(counts: DataFrame) -> DataFrame:
+    """Every row as one document more; a missing count is no token, an empty table no change."""
     return counts.withColumn("sign", F.lit(1))
 
 
 def deletes(counts: DataFrame) -> DataFrame:
+    """Every row as one document less, a repeated row as two."""
     return counts.withColumn("sign", F.lit(-1))
 
 
@@ -115,7 +154,7 @@ class TokenTotals:
         )
         new = self.totals().unionByName(signed).groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
         folder = f"{self.folder}/totals-{uuid.uuid4().hex}"
-        new.filter(" or ".join(f"{c} != 0" for c in SUMS)).coalesce(1).write.parquet(folder)
+        new.filter(" or ".join(f"{c} != 0" for c in SUMS)).write.parquet(folder)
         version = (log.agg(F.max("version")).first()[0] or 0) + 1
         self.spark.createDataFrame([(version, batch, folder)], LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
         return True
