@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, pii, quality, queries, simhash
+from tidemark.llm import line_dedup, near_copies, packing, pii, quality, queries
 from tidemark.session import scratch_path
 
 
@@ -28,8 +28,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    return simhash.one_of_each(docs, scratch_path(spark, "stage-simhash"))
+    """One document of each group of near copies, found by SimHash tables and decided by their
+    five-word shingles: that of the smallest id."""
+    return near_copies.one_of_each(docs, scratch_path(spark, "stage-simhash"))
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
