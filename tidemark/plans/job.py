@@ -29,6 +29,7 @@ from tidemark.operators.quality import (
 from tidemark.operators.staging import POSITION, ROW, batch_row_ordinal, with_position, write_staged
 from tidemark.operators.state import Run
 from tidemark.operators.upsert import absent_rows
+from tidemark.plans.commits import CommitConflict
 from tidemark.plans.config import Cube, Job, Source
 from tidemark.plans.grains import collapsed_facts
 from tidemark.plans.warehouse import Warehouse, utc_now
@@ -40,6 +41,9 @@ from tidemark.sources.registry import read_source
 # table holds all of them.
 REPORTED_ROWS = 20
 
+# A batch is taken again so often in all where other writers commit first.
+ATTEMPTS = 5
+
 _MARK = "_mark"
 # Source named in the run record of a rebuild that failed.
 REBUILD = "(rebuild)"
@@ -130,9 +134,13 @@ def refresh_batch(
     mark: datetime | None = None,
     as_of: datetime | None = None,
     keep_late: bool = False,
+    seen: int | None = None,
 ) -> Run:
     """Take one batch of raw rows through the whole pipeline; returns its run record.
 
+    ``seen`` is the last commit that ``mark`` was read from, by default the last one now; a commit
+    after it that the batch would have had to know raises :class:`CommitConflict`.
+
     Only rows past ``mark`` count, all rows when there is none. With ``keep_late`` the others
     go to the late table, and the record says how many they are.
     """
@@ -144,6 +152,7 @@ def refresh_batch(
             run_id, cube, source.name, started, utc_now(), processed, inserted, updated, reached, status, errors
         )
 
+    seen = warehouse.last_commit() if seen is None else seen
     batch = incremental_filter(raw, source.watermark_column, mark)
     notes = None
     if keep_late and source.watermark_column and mark:
@@ -173,7 +182,9 @@ def refresh_batch(
         warehouse.append_facts(contract, fresh.drop(POSITION), batch_id, source.watermark_column)
         inserted = warehouse.fact_batch(contract, batch_id).count()
     reached = facts["mark"] if source.watermark_column else None
-    warehouse.commit(batch_id, contract.table, source.name, reached, inserted, updated, utc_now(), rebased)
+    warehouse.commit(
+        batch_id, contract.table, source.name, reached, inserted, updated, utc_now(), rebased, seen=seen, depends=not in_place
+    )
     return record("success", facts["rows"], inserted, updated, reached, notes)
 
 
@@ -235,11 +246,17 @@ def _refresh_source(
     started = utc_now()
     try:
         contract = contract_named(source.schema)
-        mark = effective_mark(since, warehouse.watermark(source.name))
-        past = (source.watermark_column, mark) if source.watermark_column and mark else None
-        raw = read_source(warehouse.spark, source.kind, dict(source.options), contract, past)
-        batch_id = f"{source.name}-{uuid.uuid4().hex}"
-        return refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, mark, as_of)
+        for attempt in range(1, ATTEMPTS + 1):
+            seen = warehouse.last_commit()
+            mark = effective_mark(since, warehouse.watermark(source.name))
+            past = (source.watermark_column, mark) if source.watermark_column and mark else None
+            raw = read_source(warehouse.spark, source.kind, dict(source.options), contract, past)
+            batch_id = f"{source.name}-{uuid.uuid4().hex}"
+            try:
+                return refresh_batch(warehouse, cube.name, source, raw, run_id, batch_id, mark, as_of, seen=seen)
+            except CommitConflict:
+                if attempt == ATTEMPTS:
+                    raise
     except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
         return Run(run_id, cube.name, source.name, started, utc_now(), 0, 0, 0, None, "failed", [str(error)])
 

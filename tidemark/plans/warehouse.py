@@ -6,18 +6,21 @@
     grains/<cube>/<id>/                  see :mod:`tidemark.plans.grains`
     errors/_batch_id=<id>/               issues of a rejected batch
     late/<source>/_batch_id=<id>/          rows a stream skipped for their mark
-    state/{commits,runs,invalidations,clears,starts}/
+    state/{commits,folded}/              see :mod:`tidemark.plans.commits`
+    state/{runs,invalidations,clears,starts}/
 
-A batch is written under its own id, checked there, and then one row is added to
-``commits``. Readers look at committed ids only, so that row makes the data visible and
+A batch is written under its own id, checked there, and then one commit is added to
+the log. Readers look at committed ids only, so that commit makes the data visible and
 moves the source's mark in a single step: a batch that fails its checks or a job lost
 half way leaves nothing behind that counts, and facts are written just once. Nothing
-that is being read is ever overwritten. One writer per table at a time is assumed.
+that is being read is ever overwritten. Several writers may commit: each gets a number of its own,
+and one whose batch was made without knowing what another has committed meanwhile to the same
+table or from the same source is told so and takes the batch again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -28,6 +31,7 @@ from tidemark.contracts import Contract, contract_named
 from tidemark.operators.staging import write_staged
 from tidemark.operators.state import INVALIDATIONS, RUNS, Run, invalidations_of, without_cleared
 from tidemark.operators.upsert import table_scan_eq
+from tidemark.plans.commits import FIELDS, CommitConflict, CommitLog, files_of
 from tidemark.plans.dimension import DimensionTable
 from tidemark.sources.marks import instant_literal
 
@@ -38,6 +42,8 @@ COMMITS = (
     "rows_inserted bigint, rows_updated bigint, is_base boolean, "
     "covers bigint, committed_at timestamp_ntz"
 )
+#: So many commits are handed over as rows, more are read from the log's files.
+LISTED = 1000
 STARTS = "query_id string, at timestamp_ntz, mark timestamp_ntz, finished boolean"
 CLEARS = "cube string, cleared_at timestamp_ntz"
 ERRORS = "source string, _row bigint, issue_no int, field string, message string, value string"
@@ -66,6 +72,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.base = base.rstrip("/")
+        self._log: CommitLog | None = None
 
     # -- paths and small tables -------------------------------------------------
 
@@ -86,18 +93,31 @@ class Warehouse:
 
     # -- commits ----------------------------------------------------------------
 
+    @property
+    def log(self) -> CommitLog:
+        if self._log is None:
+            files, base = files_of(self.spark, self.base)
+            self._log = CommitLog(files, f"{base}/state")
+        return self._log
+
     def commits(self) -> DataFrame:
-        return self._read(self._state("commits"), COMMITS)
+        rows = self.log.rows()
+        if len(rows) <= LISTED:
+            return self.spark.createDataFrame(rows, COMMITS)
+        return self.spark.read.schema(COMMITS).json(self.log.paths())
 
     def commits_of(self, table: str) -> list[Row]:
         """Commits of one table since it was last cleared, oldest first: a small row each."""
-        rows = self.commits().filter(F.col("table_name") == table).collect()
-        rows.sort(key=lambda row: row["seq"])
+        rows = [row for row in self.log.rows() if row["table_name"] == table]
         cleared = [i for i, row in enumerate(rows) if row["batch_id"] == CLEARED]
         return rows[cleared[-1] + 1 :] if cleared else rows
 
     def is_committed(self, batch_id: str) -> bool:
-        return not self.commits().filter(F.col("batch_id") == batch_id).isEmpty()
+        return any(row["batch_id"] == batch_id for row in self.log.rows())
+
+    def last_commit(self) -> int:
+        """Number of the last commit, 0 for none."""
+        return len(self.log.rows())
 
     def commit(
         self,
@@ -110,11 +130,23 @@ class Warehouse:
         at: datetime,
         is_base: bool = False,
         covers: int | None = None,
+        seen: int | None = None,
+        depends: bool = False,
     ) -> None:
-        """Make a batch visible. ``covers`` is the last commit of another table it includes."""
-        last = self.commits().agg(F.max("seq").alias("seq")).first()["seq"] or 0
-        row = (last + 1, batch_id, table, source, watermark, inserted, updated, is_base, covers, at)
-        self._append("commits", COMMITS, row)
+        """Make a batch visible. ``covers`` is the last commit of another table it includes.
+
+        ``seen`` is the last commit that the batch was made with. A later one from the same source, or,
+        if what the batch holds ``depends`` on the table's rows, to the same table, is a conflict.
+        """
+
+        def check(others: Iterable[Row]) -> None:
+            for row in others:
+                same_source = source is not None and row["source"] == source and batch_id != CLEARED
+                if same_source or (depends and row["table_name"] == table):
+                    raise CommitConflict(f"commit {row['seq']} of batch {row['batch_id']} came before batch {batch_id}")
+
+        values = (batch_id, table, source, watermark, inserted, updated, is_base, covers, at)
+        self.log.append(dict(zip(FIELDS[1:], values)), check if seen is not None else None, seen)
 
     def watermarks(self) -> DataFrame:
         """Mark and last run time per source, from the commits. A mark never moves back."""
@@ -124,8 +156,8 @@ class Warehouse:
         )
 
     def watermark(self, source: str) -> datetime | None:
-        own = self.commits().filter(F.col("source") == source)
-        return own.agg(F.max("watermark").alias("mark")).first()["mark"]
+        own = (row["watermark"] for row in self.log.rows() if row["source"] == source and row["watermark"])
+        return max(own, default=None)
 
     # -- facts ------------------------------------------------------------------
 
@@ -265,9 +297,8 @@ class Warehouse:
 
     def last_change(self, tables: Sequence[str]) -> int:
         """Number of the last commit that changed one of the tables, 0 for none."""
-        own = self.commits().filter(F.col("table_name").isin(list(tables)))
-        changed = own.filter((F.col("rows_inserted") > 0) | (F.col("rows_updated") > 0) | (F.col("batch_id") == CLEARED))
-        return changed.agg(F.max("seq").alias("seq")).first()["seq"] or 0
+        own = (row for row in self.log.rows() if row["table_name"] in tables)
+        return max((r["seq"] for r in own if r["rows_inserted"] or r["rows_updated"] or r["batch_id"] == CLEARED), default=0)
 
     def cube(self, name: str) -> DataFrame | None:
         commits = self.commits_of(f"cube_{name}")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from workload import dimensions, extract, jobs, quality, star, state  # noqa: F401
+    from workload import commits, dimensions, extract, jobs, quality, star, state  # noqa: F401
