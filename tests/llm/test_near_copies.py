@@ -80,12 +80,14 @@ def families(spark):
     for k in range(30):
         chain = [*chain[12:], *draw.choices(vocabulary, weights, k=12)] if k % 2 else edited(draw, chain, 0.01)
         rows.append(" ".join(chain))
+    large = draw.choices(vocabulary, weights, k=300)
+    rows += [" ".join(edited(draw, large, 0.01)) for _ in range(80)]
     rows += [rows[3], rows[3].upper(), rows[5].replace(" ", "\n")]
     draw.shuffle(rows)
     return spark.createDataFrame([(2 * k, t, 1, "x") for k, t in enumerate(rows)], "doc_id long, text string, n int, name string").repartition(4)
 
 
-@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 3])
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 32])
 def test_families(spark, tmp_path, monkeypatch, bucket):
     # With the small bucket many are dealt out again.
     monkeypatch.setattr(near_copies, "BUCKET", bucket)

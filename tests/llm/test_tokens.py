@@ -124,6 +124,33 @@ def test_pack_holds_every_capacity(spark, docs, tmp_path):
     assert packing.pack(docs.limit(0), PATH, str(tmp_path / "none")).collect() == []
 
 
+def test_rounds_end_where_mixing_is_no_use(spark, tmp_path, monkeypatch):
+    """Two thirds of the tokens are pieces of which no two fit a sequence."""
+    monkeypatch.setattr(packing, "BUFFER_PIECES", 40)
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d e f g h i j k l m n"] * 600 + ["a b c d e f"] * 900
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    sequences = packed_rows(packing.pack(docs, PATH, str(tmp_path), size=64))
+    tokens = [len(plain(t)) for t in (texts[0], texts[-1])]
+    assert 2 * tokens[0] > 64 and 600 * tokens[0] > 1.5 * 900 * tokens[1]
+    assert sum(map(len, sequences.values())) == len(texts) and len(sequences) <= 600 + 900 * tokens[1] // (64 - tokens[1])
+    rounds = sorted(tmp_path.glob("round-*"))
+    assert 1 < len(rounds) < 5
+    for path in rounds[1:]:
+        rows = spark.read.parquet(str(path))
+        groups = rows.select((rows.sequence_id.bitwiseAND((1 << 56) - 1) / (1 << 32)).cast("long")).distinct().count()
+        assert rows.count() <= groups * 2 * 40
+
+
+def test_the_dictionary_sees_all_of_a_text(spark, tmp_path, monkeypatch):
+    seen = []
+    train = token_files.train
+    monkeypatch.setattr(token_files, "train", lambda samples: seen.extend(samples) or train(samples))
+    text = " ".join(str(k) for k in range(20_000))
+    docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string")
+    token_files.write_token_files(docs, PATH, str(tmp_path))
+    assert len(set(seen)) > 30 and all(len(s) <= 2 * token_files.SAMPLE_CHARS for s in seen)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_vector_best_fit_against_the_bound(rule):
     draw = random.Random(5)

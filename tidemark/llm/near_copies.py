@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -152,12 +153,12 @@ def near_trees(prints: np.ndarray) -> Iterator[tuple[int, int]]:
             front = members
 
 
-def _close(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _close(source: Iterator[pa.RecordBatch], schema: pa.Schema, bucket: int) -> Iterator[pa.RecordBatch]:
     """Edges and members of the buckets, whose entries come sorted by key, print and node."""
 
     def closed(key: int, held: list[tuple[int, int]], free: int, members: int) -> Iterator[tuple]:
         """``held``: different prints, each with its first node."""
-        if len(held) > BUCKET:
+        if len(held) > bucket:
             yield from ((2, key, node, print_, free) for print_, node in held)
             return
         if len(held) < 2:
@@ -186,9 +187,9 @@ def _close(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
                         yield 1, key, node, print_, 0
                         yield 1, key, held[-1][1], print_, 0
                     continue
-                if len(held) > 2 * BUCKET:  # goes on to the next dealing at once, so that no bucket is held
-                    yield from ((2, key, n, p, f) for p, n in held[:BUCKET])
-                    held = held[BUCKET:]
+                if len(held) > 2 * bucket:  # goes on to the next dealing at once, so that no bucket is held
+                    yield from ((2, key, n, p, f) for p, n in held[:bucket])
+                    held = held[bucket:]
                 held.append((print_, node))
         if members > 1:
             yield from closed(last, held, free, members)
@@ -208,7 +209,7 @@ def _candidates(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     edges, members = [], []
     for level in range(BITS):
         dealt = entries.repartition("key").sortWithinPartitions("key", "print", "node")
-        found = staged(mapped(dealt, _close, FOUND), f"{folder}/close-{level}")
+        found = staged(mapped(dealt, partial(_close, bucket=BUCKET), FOUND), f"{folder}/close-{level}")
         edges.append(found.filter("kind = 0").select("a", "b"))
         members.append(found.filter("kind = 1").select("key", "a", F.col("b").alias("print")))
         large = found.filter("kind = 2").select("key", F.col("b").alias("print"), F.col("a").alias("node"), "free")

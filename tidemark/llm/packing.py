@@ -1,15 +1,17 @@
 """Best-fit packing of documents into training sequences under several capacities at once.
 
 Every task cuts its documents into pieces and packs them as they come, a bounded buffer at a
-time. Bins that came out full stay; the pieces of the others are dealt anew into fewer, mixed
-groups and packed again, until one group is left. So no task holds more than its buffer, only
-the poorly filled rest is ever shuffled, and the waste is that of the last round.
+time. Bins that came out full stay; the pieces of the others are dealt anew into as many groups as
+they fill buffers, mixed, and packed again, until they fit one buffer or mixing no longer lowers the
+number of sequences. So no task gets more than its buffer, and only the poorly filled rest is ever
+shuffled; pieces that cannot fill a bin together, whatever they are mixed with, are shuffled once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from tidemark.llm.tokens import ID, encoder
 BUFFER_TOKENS, BUFFER_PIECES = 4_000_000, 16_000
 #: A bin with this share of its tokens free, or less, is not packed again.
 FULL = 1 / 512
+#: A round that lowers the number of open bins by less than this share is the last one.
+GAIN = 1 / 1000
 
 
 def vector_best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], rule: str = "norm") -> np.ndarray:
@@ -72,8 +76,8 @@ def vector_best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], rule:
 class Packer:
     """Packs pieces as they come; yields rows of the packed table."""
 
-    def __init__(self, size: int, capacities: tuple[int, int, int], rule: str, base: int, last: bool) -> None:
-        self.size, self.capacities, self.rule, self.next, self.last = size, capacities, rule, base, last
+    def __init__(self, size: int, capacities: tuple[int, int, int], rule: str, base: int, last: bool, buffer: tuple[int, int]) -> None:
+        self.size, self.capacities, self.rule, self.next, self.last, self.buffer = size, capacities, rule, base, last, buffer
         self.held: list[tuple] = []
         self.tokens = 0
 
@@ -85,7 +89,7 @@ class Packer:
             return
         self.held.append(piece)
         self.tokens += piece[3]
-        if self.tokens >= BUFFER_TOKENS or len(self.held) >= BUFFER_PIECES:
+        if self.tokens >= self.buffer[0] or len(self.held) >= self.buffer[1]:
             yield from self.flush()
 
     def flush(self) -> Iterator[tuple]:
@@ -142,8 +146,10 @@ def pack(
     )
     schema = arrow_schema(result)
 
+    buffer = (BUFFER_TOKENS, BUFFER_PIECES)
+
     def packer(round_: int, last: bool) -> Packer:
-        return Packer(size, capacities, rule, (round_ << 56) + (TaskContext.get().partitionId() << 32), last)
+        return Packer(size, capacities, rule, (round_ << 56) + (TaskContext.get().partitionId() << 32), last, buffer)
 
     def first_round(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
@@ -169,17 +175,23 @@ def pack(
         return run
 
     packed = staged(rows.mapInArrow(first_round, result), f"{folder}/round-0")
-    done = packed.filter(~F.col("again"))
-    groups, round_ = math.inf, 0
-    while groups > 1:
-        open_ = packed.filter("again")
-        tokens, count = open_.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    done, open_, round_ = [packed.filter(~F.col("again"))], packed.filter("again"), 0
+    while True:
+        tokens, count, bins = open_.agg(
+            F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("offset") == 0)
+        ).first()
         if not count:
             break
-        # Each round deals into fewer groups, so that one is left in the end.
-        wanted = max(1, math.ceil(tokens / BUFFER_TOKENS), math.ceil(count / BUFFER_PIECES))
-        groups, round_ = min(wanted, groups // 2) if groups < math.inf else wanted, round_ + 1
+        groups, round_ = max(1, math.ceil(tokens / BUFFER_TOKENS), math.ceil(count / BUFFER_PIECES)), round_ + 1
         again = open_.select("doc_id", "piece", "start", "length", "ids").repartition(groups)
         packed = staged(again.mapInArrow(later_round(round_, groups == 1), result), f"{folder}/round-{round_}")
-        done = done.unionByName(packed.filter(~F.col("again")))
-    return done.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+        now = packed.filter("offset = 0").count()
+        if now > bins:
+            done.append(open_)
+            break
+        done.append(packed.filter(~F.col("again")))
+        open_ = packed.filter("again")
+        if now > bins * (1 - GAIN):
+            done.append(open_)
+            break
+    return reduce(DataFrame.unionByName, done).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")

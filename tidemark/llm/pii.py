@@ -15,6 +15,7 @@ import hashlib
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -254,10 +255,12 @@ class Redactor:
         for kind, pattern in self.kinds:
             if not may_hold.get(kind, digits):
                 continue
-            taken = list(found)
+            taken = sorted(found)
+            starts = [t[0] for t in taken]
             values = self.accounts(text, pattern) if kind == "iban" else self.values(text, kind, pattern)
             for start, end, pseudonym in values:
-                if not any(start < b and a < end for a, b, _, _ in taken):
+                before = bisect_left(starts, end)  # values do not overlap, so only the last one that starts before the end can
+                if not before or taken[before - 1][1] <= start:
                     found.append((start, end, kind, pseudonym))
         return sorted(found)
 
@@ -313,7 +316,7 @@ def pseudonymized(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 
 def without_personal_data(docs: DataFrame, key: bytes, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """``docs`` with all columns and the values in ``text_col`` replaced."""
+    """``docs`` with all columns and the values in ``text_col`` replaced; missing and empty texts stay, every row stays."""
     place = docs.columns.index(text_col)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

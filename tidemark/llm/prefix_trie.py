@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +202,8 @@ def _tree(table: pa.Table, upper: bool, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _shards(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for table in whole_keys(source, PACKED):
+def _shards(source: Iterator[pa.RecordBatch], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    for table in whole_keys(source, size):
         yield _tree(table, False, schema)
 
 
@@ -212,7 +213,7 @@ def _upper(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         yield _tree(pa.Table.from_batches(held), True, schema)
 
 
-def _join_ids(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _join_ids(source: Iterator[pa.RecordBatch], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, conv_id) rows as (key, first id, ids joined by commas)."""
 
     def rows() -> Iterator[tuple]:
@@ -220,7 +221,7 @@ def _join_ids(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         last = None
         for b in source:
             for key, conv in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and (key != last or len(held) >= JOINED):
+                if held and (key != last or len(held) >= most):
                     yield last, held[0], ",".join(map(str, held))
                     held = []
                 last = key
@@ -318,7 +319,7 @@ def prefix_trie(sequences: DataFrame, folder: str) -> DataFrame:
     """
     rows = staged(sequences.select("conv_id", "seq", F.sha2("seq", 256).alias("key")), f"{folder}/sequences")
     ids = rows.select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
-    joined = mapped(ids, _join_ids, "key string, conv_id long, ids string")
+    joined = mapped(ids, partial(_join_ids, most=JOINED), "key string, conv_id long, ids string")
     ends = mapped(joined.repartition("key").sortWithinPartitions("key", "conv_id"), _hash_ids, "key string, ends string")
     strings = rows.groupBy("key", "seq").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first"))
     zeros = [F.lit(0).cast("long").alias(c) for c in ("leaves", "saved", "children")]
@@ -326,7 +327,7 @@ def prefix_trie(sequences: DataFrame, folder: str) -> DataFrame:
     dealt = _dealt(strings, folder)
     behind = F.length("seq") > F.col("t") * UNIT
     shards = dealt.filter(behind).select(F.xxhash64(_prefix(F.col("t") + 1)).alias("shard"), *dealt.columns)
-    lower = staged(mapped(shards.repartition("shard").sortWithinPartitions("shard"), _shards, NODES), f"{folder}/lower")
+    lower = staged(mapped(shards.repartition("shard").sortWithinPartitions("shard"), partial(_shards, size=PACKED), NODES), f"{folder}/lower")
     sums = lower.filter("summary").select(
         F.col("trunk").alias("seq"), F.col("n_convs").alias("n"), F.col("conv_id").alias("first"), F.lit(None).cast("string").alias("ends"),
         F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"), F.col("n_children").alias("children"),

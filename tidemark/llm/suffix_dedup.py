@@ -5,7 +5,7 @@ of ``WINDOW`` bytes the one with the smallest hash is the window's anchor, so eq
 equal anchors. Neighbouring windows with one anchor form a segment.
 
 1. Every task hashes the segments of its documents and keeps the first of equal ones; the others
-   are covered. One row per segment goes to its anchor's partition.
+   are covered and only pass by. One row per segment goes to its anchor's partition.
 2. There, of equal segments again only the first one stays open, and only where an anchor has
    several different ones. Anchors that hold more than their share of a sample are dealt out finer,
    by all the bytes that eight neighbouring windows have in common.
@@ -42,7 +42,7 @@ HASHED, SORTED = 1 << 20, 3 << 20
 #: there can be no more than ``HOT`` of them. Neighbouring windows dealt out together then.
 SAMPLE, HOT, CLASS = 16, 10_000, 8
 NO_ID = (1 << 63) - 1
-SEGMENT, PLACE = "key long, own long, doc long, place long", "doc long, place long"
+SEGMENT, PLACE = "key long, own long, doc long, place long, again boolean", "doc long, place long"
 
 
 def packed(start: np.ndarray, span: np.ndarray, tag: np.ndarray) -> np.ndarray:
@@ -140,8 +140,9 @@ def _refined(data: bytes, anchor: np.ndarray, first: np.ndarray, count: np.ndarr
     )
 
 
-def _hash_segments(hot: np.ndarray, repeated: bool, schema: pa.Schema):
-    """Rows of the segments: the first of equal ones in each chunk, or else (``repeated``) the places of the others."""
+def _hash_segments(hot: np.ndarray, schema: pa.Schema):
+    """Rows of the segments: the first of equal ones in each chunk; the others are known to be covered (``again``)
+    and only pass by, under keys that spread them over all tasks."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in chunks(texts(source)):
@@ -164,11 +165,9 @@ def _hash_segments(hot: np.ndarray, repeated: bool, schema: pa.Schema):
             # Rows that repeat an id stand at the same place: neither is earlier.
             lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
             again &= ~((docs == docs[lead]) & (place >> 24 == place[lead] >> 24))
-            if repeated:
-                columns = [docs[again], place[again]]
-            else:
-                columns = [_signed(key[~again]), _signed(own[~again]), docs[~again], place[~again]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+            key = np.where(again, mixed(docs.view(np.uint64) ^ mixed(place.view(np.uint64), 1), 2), key)
+            columns = [pa.array(c, pa.int64()) for c in (_signed(key), _signed(own), docs, place)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(again, pa.bool_())], schema=schema)
 
     return run
 
@@ -206,6 +205,10 @@ def _meet(schema: pa.Schema):
         last: tuple | None = None  # key, segment, doc, start of the first one, and of the key: row of its first, if not yet told
         for b in source:
             key, own, docs, place = (b.column(c).to_numpy().astype(np.int64) for c in range(4))
+            again = b.column(4).to_numpy(zero_copy_only=False)
+            if again.any():
+                yield _rows(schema, key[again], docs[again], place[again], 0)
+                key, own, docs, place = key[~again], own[~again], docs[~again], place[~again]
             if not len(key):
                 continue
             if last is not None:  # the row before this batch decides how it goes on
@@ -359,7 +362,7 @@ def _cut(schema: pa.Schema):
 def hot_anchors(docs: DataFrame) -> np.ndarray:
     """Anchors that hold more than 1 / ``HOT`` of the segments of every ``SAMPLE``-th document, by hash."""
     drawn = docs.filter(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0)
-    keys = drawn.mapInArrow(_hash_segments(np.zeros(0, np.uint64), False, arrow_schema(SEGMENT)), SEGMENT).select("key")
+    keys = drawn.mapInArrow(_hash_segments(np.zeros(0, np.uint64), arrow_schema(SEGMENT)), SEGMENT).filter("not again").select("key")
     share = max(64, keys.count() // HOT)
     found = keys.groupBy("key").count().filter(F.col("count") > share).select("key").collect()
     return np.array([r[0] for r in found], np.int64).view(np.uint64)
@@ -376,7 +379,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     hot = hot_anchors(rows)
     order = ["key", "own", "doc", "place"]
-    hashed = rows.mapInArrow(_hash_segments(hot, False, arrow_schema(SEGMENT)), SEGMENT)
+    hashed = rows.mapInArrow(_hash_segments(hot, arrow_schema(SEGMENT)), SEGMENT)
     told = "key long, doc long, place long, kind int"
     met = staged(
         hashed.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(arrow_schema(told)), told), f"{folder}/met"
@@ -385,8 +388,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     bytes_ = "key long, doc long, place long, raw binary"
     fetched = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch(arrow_schema(bytes_)), bytes_)
     sorted_ = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(arrow_schema(PLACE)), PLACE)
-    repeated = rows.mapInArrow(_hash_segments(hot, True, arrow_schema(PLACE)), PLACE)
-    covered = sorted_.unionByName(repeated).unionByName(met.filter("kind = 0").select("doc", "place"))
+    covered = sorted_.unionByName(met.filter("kind = 0").select("doc", "place"))
     by_doc = covered.groupBy("doc").agg(F.collect_list("place").alias("places"))
     result = f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
     joined = rows.join(by_doc, "doc", "left").select("doc", "text", "places")

@@ -33,7 +33,8 @@ from tidemark.llm.tokens import ID, encoder
 MAGIC = b"TIDETOK1"
 HEAD, HEAD_BYTES = "<8s32sB", 41
 TAIL, TAIL_BYTES = "<Q8s", 16
-#: The dictionary is trained on at most so many documents, on so many characters of each.
+#: The dictionary is trained on so many documents at most, drawn by hash from all, and of each on so many
+#: characters at most, from a place in the text that is drawn by hash as well.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 4000, 65_536
 LEVEL = 3
 
@@ -125,16 +126,18 @@ def write_token_files(
 
     A missing text is an empty one and holds the end id alone. Rows that repeat an id stay, next
     to each other, ordered by text; a missing id sorts first. Other columns are ignored. The texts
-    are dealt out by ranges of ids once; a task encodes and compresses its range as it streams.
+    are dealt out by ranges of ids once; a task encodes and compresses its range as it streams. The shared
+    dictionary is trained on 4000 characters at most, from anywhere in the text, of 512 documents at most.
     """
     spark, rows = docs.sparkSession, narrowed(docs, id_col, text_col)
     width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else ID.itemsize
     # A share of the rows that holds enough of them, by a hash, so that few travel from however many tasks.
     share = min(1.0, 4 * SAMPLE_DOCS / max(1, rows.count()))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1)))
     sample = (
         rows.filter((F.length("text") > 0) & (drawn <= int(share * (1 << 30))))
-        .select(drawn.alias("drawn"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .select(drawn.alias("drawn"), F.substring(F.col("text"), (place + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
         .orderBy("drawn", "text")
         .limit(SAMPLE_DOCS)
         .select("text")
