@@ -178,7 +178,8 @@ def refresh_batch(
         table = warehouse.dimension_table(contract.name)
         inserted, updated, rebased = table.merge(clean.drop(POSITION), batch_id, as_of or started)
     elif not in_place:
-        fresh = absent_rows(warehouse.facts(contract.name), clean, contract.key, [F.col(POSITION)])
+        stored = warehouse.facts_holding(contract, clean.select(*contract.key))
+        fresh = absent_rows(stored, clean, contract.key, [F.col(POSITION)])
         warehouse.append_facts(contract, fresh.drop(POSITION), batch_id, source.watermark_column)
         inserted = warehouse.fact_batch(contract, batch_id).count()
     reached = facts["mark"] if source.watermark_column else None

@@ -4,6 +4,7 @@
     dims/<table>/                        see :mod:`tidemark.plans.dimension`
     cubes/<cube>/<id>/                   a rebuilt cube
     grains/<cube>/<id>/                  see :mod:`tidemark.plans.grains`
+    keys/<table>/_batch_id=<id>/         see :mod:`tidemark.operators.key_index`
     errors/_batch_id=<id>/               issues of a rejected batch
     late/<source>/_batch_id=<id>/          rows a stream skipped for their mark
     state/{commits,folded}/              see :mod:`tidemark.plans.commits`
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.contracts import Contract, contract_named
+from tidemark.operators.key_index import filter_size, key_filter, may_hold
 from tidemark.operators.staging import write_staged
 from tidemark.operators.state import INVALIDATIONS, RUNS, Run, invalidations_of, without_cleared
 from tidemark.operators.upsert import table_scan_eq
@@ -177,6 +179,25 @@ class Warehouse:
         paths = [self.fact_batch_path(contract, i) for i in dict.fromkeys(ids)]
         return self.spark.read.schema(contract.schema).parquet(*paths)
 
+    def facts_holding(self, contract: Contract, asked: DataFrame) -> DataFrame:
+        """Facts of the committed batches that may hold one of the keys asked for, by the filter of each
+        batch's keys. Batches that came without one get it here, from their key columns."""
+        loads = {r["batch_id"]: r["rows_inserted"] for r in self.commits_of(contract.table) if r["rows_inserted"]}
+        path, table = f"{self.base}/keys/{contract.table}", f"keys_{contract.table}"
+        indexed = {r["batch_id"] for r in self.commits_of(table)}
+        for batch_id in loads.keys() - indexed:
+            made = key_filter(self.fact_batch(contract, batch_id), contract.key, filter_size(loads[batch_id]))
+            made.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+            self.commit(batch_id, table, None, None, 0, 0, utc_now())
+        if not loads:
+            return self.fact_batches(contract, [])
+        schema = f"size bigint, word bigint, bits bigint, {BATCH} string"
+        paths = [f"{path}/{BATCH}={batch_id}" for batch_id in loads]
+        filters = self.spark.read.schema(schema).option("basePath", path).parquet(*paths)
+        sizes = sorted({filter_size(rows) for rows in loads.values()})
+        found = may_hold(filters, asked, contract.key, sizes, BATCH).collect()
+        return self.fact_batches(contract, [row[BATCH] for row in found])
+
     def write_batch(self, path: str, df: DataFrame, batch_id: str, sort: str | None = None) -> None:
         """Write the folder of one batch. A retry replaces its own folder and no other."""
         if sort:
@@ -321,7 +342,7 @@ class Warehouse:
     def stats(self) -> DataFrame:
         """Rows per stored table, from the commits: no table is scanned. Every version of a
         dimension was inserted once, so inserts count its rows as well."""
-        loaded = self.commits().filter(~F.col("table_name").rlike("^(cube|grain)_"))
+        loaded = self.commits().filter(~F.col("table_name").rlike("^(cube|grain|keys)_"))
         cleared = F.max(F.when(F.col("batch_id") == CLEARED, F.col("seq"))).over(Window.partitionBy("table_name"))
         kept = loaded.withColumn("_cleared", cleared).filter("_cleared IS NULL OR seq > _cleared")
         return kept.groupBy("table_name").agg(F.sum("rows_inserted").alias("row_count"))
