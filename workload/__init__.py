@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from workload import backdated, commits, dimensions, extract, indexes, jobs, quality, star, state  # noqa: F401
+    from workload import backdated, commits, dimensions, extract, indexes, jobs, quality, star, state, streams  # noqa: F401

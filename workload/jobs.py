@@ -196,7 +196,7 @@ def stream_chunks(spark, sf_dir):
     edges = ["2024-01-21", MIDDLE, "2024-01-08", ""]
     for start, end in zip(edges, ["9999", *edges]):
         part = sales.filter((F.col("sale_date") > start) & (F.col("sale_date") <= end))
-        part.coalesce(1).write.options(header=True, escape='"').mode("append").csv(landed)
+        part.write.options(header=True, escape='"').mode("append").csv(landed)
     files = raw_stream(spark, landed, sales.columns, files_per_batch=1)
     refresh_stream(warehouse, REGION_CUBE, source, files, checkpoint, as_of=FIRST)
     return warehouse.facts("sales").drop("updated_at")
