@@ -51,9 +51,10 @@ def found(frame):
     return sorted(((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in frame.collect()), key=str)
 
 
-@pytest.mark.parametrize("shares", [(16, 10_000), (1, 3_000_000)])
+@pytest.mark.parametrize("shares", [(16, 10_000, 16 << 20), (1, 3_000_000, 16 << 20), (16, 10_000, 0)])
 def test_awkward_documents(spark, tmp_path, monkeypatch, shares):
-    # The second case takes every anchor that occurs often for hot.
+    monkeypatch.setattr(suffix_dedup, "LARGE", shares[2])
+    # The second case takes every anchor that occurs often for hot, the third every key for too large to be sorted.
     for name, value in zip(("SAMPLE", "HOT"), shares):
         monkeypatch.setattr(suffix_dedup, name, value)
     docs = cases.documents(spark)

@@ -13,6 +13,8 @@ equal anchors. Neighbouring windows with one anchor form a segment.
    megabytes of whole anchors at a time, by induced sorting with queues that spill to disk; in
    the sorted order, windows that share ``WINDOW`` bytes stand next to each other, and all but the
    first one in the corpus are covered.
+   The windows of an anchor that holds more than a shard's worth of different segments meet by their 128-bit
+   hash instead, first by partial minima: however many texts follow a template, no task holds them.
 4. Covered windows go back to their documents.
 
 Only segments of strings that occur twice ever travel as bytes, and a group of copies costs one
@@ -42,6 +44,8 @@ HASHED, SORTED = 1 << 20, 3 << 20
 #: there can be no more than ``HOT`` of them. Neighbouring windows dealt out together then.
 SAMPLE, HOT, CLASS = 16, 10_000, 8
 NO_ID = (1 << 63) - 1
+#: A key whose open segments exceed so many bytes is dealt out again, a window at a time.
+LARGE = 16 << 20
 SEGMENT, PLACE = "key long, own long, doc long, place long, again boolean", "doc long, place long"
 
 
@@ -331,6 +335,30 @@ def _fetch(schema: pa.Schema):
     return run
 
 
+SINGLE = "high long, low long, doc long, place long"
+
+
+def _single(schema: pa.Schema):
+    """Every window of the wanted segments with its 128-bit hash, which is what its equals meet by."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in source:
+                for doc, text, wanted in zip(*b.columns):
+                    raw = (text.as_py() or "").encode()
+                    tag, doc = xxhash.xxh64_intdigest(raw) & 65535, doc.as_py()
+                    for w in wanted.as_py():
+                        start, span, own = unpacked(w["place"])
+                        for at in range(start, start + span + 1) if own == tag else ():
+                            h = xxhash.xxh3_128_intdigest(raw[at : at + WINDOW])
+                            high, low = np.array([h >> 64, h & ((1 << 64) - 1)], np.uint64).view(np.int64).tolist()
+                            yield high, low, doc, at << 24 | own
+
+        yield from batches(rows(), schema, 32)
+
+    return run
+
+
 def spans_of(places: list[int], tag: int, size: int) -> list[tuple[int, int]]:
     """Covered stretches (begin, end) of a text, joined where they touch."""
     start, span, own = unpacked(np.array(places, np.int64))
@@ -384,11 +412,25 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     met = staged(
         hashed.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet(arrow_schema(told)), told), f"{folder}/met"
     )
-    wanted = met.filter("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
+    open_ = met.filter("kind = 1")
+    size = F.sum(F.expr("(shiftright(place, 16) & 255)") + WINDOW)
+    large = staged(open_.groupBy("key").agg(size.alias("size")).filter(F.col("size") > LARGE).select("key"), f"{folder}/large")
+
+    def texts_of(which: DataFrame) -> DataFrame:
+        wanted = which.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
+        return rows.join(wanted, "doc").select("doc", "text", "wanted")
+
     bytes_ = "key long, doc long, place long, raw binary"
-    fetched = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch(arrow_schema(bytes_)), bytes_)
+    has_large = bool(large.take(1))
+    fetched = texts_of(open_.join(large, "key", "left_anti") if has_large else open_).mapInArrow(_fetch(arrow_schema(bytes_)), bytes_)
     sorted_ = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(arrow_schema(PLACE)), PLACE)
     covered = sorted_.unionByName(met.filter("kind = 0").select("doc", "place"))
+    if has_large:
+        single = texts_of(open_.join(large, "key", "left_semi")).mapInArrow(_single(arrow_schema(SINGLE)), SINGLE)
+        single = staged(single, f"{folder}/single").withColumn("start", F.expr("shiftright(place, 24)"))
+        first = single.groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"))
+        late = single.join(first, ["high", "low"]).filter(F.struct("doc", "start") > F.col("first"))
+        covered = covered.unionByName(late.select("doc", "place"))
     by_doc = covered.groupBy("doc").agg(F.collect_list("place").alias("places"))
     result = f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
     joined = rows.join(by_doc, "doc", "left").select("doc", "text", "places")
