@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -66,3 +68,16 @@ def test_rows(spark):
     assert again == {(r.doc_id, r.text or "") for r in docs.collect()}
     assert all(r.same for r in pieces.round_trip(docs, PATH).collect())
     assert pieces.round_trip(docs.limit(0), PATH).collect() == []
+
+
+def test_a_text_without_blanks_takes_memory_in_proportion():
+    own = pieces.pieces(PATH)
+    draw = random.Random(1)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz日本語\U0001f600", k=120_000))
+    expected = own.encode(text[:3000])
+    tracemalloc.start()
+    ids = own.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.decode(ids) == text and peak < 120 * len(text)  # pairs remembered included, which are bounded
+    assert own.decode(expected) == text[:3000]

@@ -15,8 +15,10 @@ each other; the cut of a word is remembered. Characters that no piece has become
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -36,6 +38,8 @@ NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_PENALTY = 10.0
 #: Bytes that the memos of a worker may take, pairs of pieces included; about what a pair takes.
 MEMO_BYTES, PAIR_BYTES = 220_000_000, 200
+#: Words from this length on are cut with four bytes a place.
+LONG = 1 << 12
 
 
 class Pieces:
@@ -84,39 +88,47 @@ class Pieces:
         """Whether the merges leave these two pieces side by side; no left piece: the right one whole."""
         found = self._beside.get((left, right))
         if found is None:
+            if len(self._beside) * PAIR_BYTES > self.memo_bytes // 2:  # one word may hold any number of pairs
+                self._held -= len(self._beside) * PAIR_BYTES
+                self._beside.clear()
             own = [self.spelling[k] for k in (left, right) if k is not None]
             self._beside[left, right] = found = self.merged("".join(own)) == own
             self._held += PAIR_BYTES
         return found
 
-    def edges(self, word: str) -> list[tuple[int, tuple[int, int | None]]]:
-        """(last place, (length, piece)) of every piece in the word and every unknown character, by place."""
-        found = list(self.automaton.iter(word))
-        strange = [(k, (1, None)) for k, c in enumerate(word) if c not in self.known]
-        return sorted(found + strange, key=lambda e: e[0]) if strange else found
+    def edges(self, word: str) -> Iterable[tuple[int, tuple[int, int | None]]]:
+        """(last place, (length, piece)) of every piece in the word and every unknown character, by place, as the automaton walks."""
+        found = self.automaton.iter(word)
+        if all(map(self.known.__contains__, word)):
+            return found
+        return heapq.merge(found, ((k, (1, None)) for k, c in enumerate(word) if c not in self.known), key=lambda e: e[0])
 
     def cut(self, word: str) -> list[int | None]:
         """Pieces of the best cut; None for a character that has none."""
         n = len(word)
-        back: list[tuple[int, int | None] | None] = [None] * (n + 1)
+        # Of each place: the length of the piece that ends there in the best cut, and the piece, -1 for none.
+        sizes, pieces = ([0] * (n + 1), [-1] * (n + 1)) if n < LONG else (array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1))
         if self.merges:
-            last: list[int | None] = [None] * (n + 1)
-            clean = [True] + [False] * n
+            clean = bytearray(n + 1)
+            clean[0] = 1
             for end, (size, piece) in self.edges(word):
                 start = end + 1 - size
-                if clean[start] and not clean[end + 1] and (piece is None or self.beside(last[start], piece)):
-                    clean[end + 1], last[end + 1], back[end + 1] = True, piece, (start, piece)
+                if clean[start] and not clean[end + 1]:
+                    left = pieces[start]
+                    if piece is None or self.beside(None if left < 0 else left, piece):
+                        clean[end + 1], sizes[end + 1], pieces[end + 1] = 1, size, -1 if piece is None else piece
         else:
-            best = [0.0] + [-np.inf] * n
+            best = array("d", [-np.inf]) * (n + 1)
+            best[0] = 0.0
             for end, (size, piece) in self.edges(word):
                 start = end + 1 - size
                 score = best[start] + (self.worst if piece is None else self.scores[piece])
                 if score > best[end + 1]:
-                    best[end + 1], back[end + 1] = score, (start, piece)
+                    best[end + 1], sizes[end + 1], pieces[end + 1] = score, size, -1 if piece is None else piece
         cut: list[int | None] = []
         while n:
-            n, piece = back[n]
-            cut.append(piece)
+            cut.append(None if pieces[n] < 0 else pieces[n])
+            n -= sizes[n]
         return cut[::-1]
 
     def word(self, word: str) -> bytes:
@@ -194,7 +206,10 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ``n_ids``, ``ids_crc32`` and ``same``: whether the decoded ids are the text again."""
+    """doc_id, ``n_ids``, ``ids_crc32`` and ``same``: whether the decoded ids are the text again.
+
+    A missing or empty text has no ids and is the same; repeated rows and missing ids give a row each.
+    """
     rows = narrowed(docs, id_col, text_col)
     result = f"doc_id {type_of(rows, 'doc_id')}, ids binary, same boolean"
     schema = arrow_schema(result)
