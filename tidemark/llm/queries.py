@@ -156,7 +156,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_SETTING, TRIAL_KEY).encode()
+    """The key that the session names. Only a local master may leave it unset: whoever knows the trial key can undo its pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY_SETTING} to a secret key")
+    return (key or TRIAL_KEY).encode()
 
 
 @query
