@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from tests.llm import cases
 from tidemark.llm import near_copies
-from tidemark.llm.near_copies import NO_ID, alike, covering, near_trees, prints_of, shingles
+from tidemark.llm.near_copies import NO_ID, alike, covering, near_groups, prints_of, shingles
 
 
 def pairs_alike(texts):
@@ -130,13 +130,14 @@ def test_masks_cover_every_difference(differ):
         assert any(not any(mask >> b & 1 for b in differ) for mask in covering(bits, 3))
 
 
-def test_trees_hold_what_is_near():
+def test_groups_hold_what_is_near():
     draw = np.random.default_rng(3)
     seeds = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
-    prints = np.unique(np.concatenate([seeds ^ np.uint64(1 << k) for k in range(5)]))
-    edges = list(near_trees(prints))
-    assert all((int(prints[a]) ^ int(prints[b])).bit_count() <= 3 for a, b in edges)
-    assert len(edges) == len(prints) - 40
+    prints = np.concatenate([seeds, *(seeds ^ np.uint64(1 << k) for k in range(5)), draw.integers(0, 1 << 63, 9, dtype=np.uint64)])
+    found = list(near_groups(prints))
+    assert sorted(len(group) for group, _, _ in found) == [6] * 40 and {m for _, _, m in found} == set(range(40))
+    for group, by, _ in found:
+        assert by[0] == group[0] and all((int(prints[a]) ^ int(prints[b])).bit_count() <= 3 for a, b in zip(group, by))
 
 
 def test_alike():

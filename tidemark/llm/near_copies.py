@@ -10,8 +10,8 @@ whether two texts are near copies is decided by their shingles.
 2. A print goes to one bucket for every mask. A bucket with more than ``BUCKET`` different prints is
    dealt out again by masks over its free bits. It yields a tree over the prints near each other,
    never all pairs, and its members for step 4.
-3. Of the trees' edges one for each text, to the smallest, is decided first; the others only
-   where that has not already put both ends into one group.
+3. For each text the edge to the middle of its group is decided first, since that is most like all
+   others; the trees' edges only where that has not already put both ends into one group.
 4. What remains are members of one bucket in different groups: those pairs are decided as well, so no
    pair of candidates that could join two groups is left out.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ SEED = 42
 NO_ID = (1 << 63) - 1
 TEXT = "doc long, name binary, prints binary"
 ENTRY = "key long, print long, node long, free long"
-#: kind 0: an edge from node a to node b; 1: node a with print b is a member of bucket key; 2: an entry to be dealt out again.
+#: kind 0: an edge between nodes a > b; 1: node a with print b is a member of bucket key; 2: an entry to be dealt out again;
+#: 3: b is the middle of node a's group.
 FOUND = "kind int, key long, a long, b long, free long"
 
 
@@ -134,23 +135,28 @@ def _dealt_again(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
     yield from batches(rows(), schema, 32)
 
 
-def near_trees(prints: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(print, near one it was found by) by place, for all but one of each group of prints that are near each other."""
-    near = np.empty((len(prints), len(prints)), bool)
+def near_groups(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Groups of two or more prints that are near each other, by place: the prints, for each the near one
+    that it was found by (itself for the first), and the middle one, that of the least distances to all others."""
+    apart = np.empty((len(prints), len(prints)), np.uint8)
     for k in range(0, len(prints), 256):
-        near[k : k + 256] = np.bitwise_count(prints[k : k + 256, None] ^ prints[None]) <= RADIUS
+        apart[k : k + 256] = np.bitwise_count(prints[k : k + 256, None] ^ prints[None])
     open_ = np.ones(len(prints), bool)
     for root in range(len(prints)):
         if not open_[root]:
             continue
         open_[root] = False
-        front = np.array([root])
+        members, by, front = [np.array([root])], [np.array([root])], np.array([root])
         while len(front):
-            found = near[front] & open_
-            members = np.flatnonzero(found.any(0))
-            open_[members] = False
-            yield from ((int(x), int(front[found[:, x].argmax()])) for x in members)
-            front = members
+            found = (apart[front] <= RADIUS) & open_
+            new = np.flatnonzero(found.any(0))
+            open_[new] = False
+            members.append(new)
+            by.append(front[found[:, new].argmax(0)] if len(new) else new)
+            front = new
+        whole = np.concatenate(members)
+        if len(whole) > 1:
+            yield whole, np.concatenate(by), int(whole[apart[np.ix_(whole, whole)].sum(1, dtype=np.int64).argmin()])
 
 
 def _close(source: Iterator[pa.RecordBatch], schema: pa.Schema, bucket: int) -> Iterator[pa.RecordBatch]:
@@ -164,12 +170,15 @@ def _close(source: Iterator[pa.RecordBatch], schema: pa.Schema, bucket: int) ->
         if len(held) < 2:
             return
         prints = np.array([h[0] for h in held], np.int64).view(np.uint64)
-        for x, by in near_trees(prints):
-            a, b = held[x][1], held[by][1]
-            yield 0, key, max(a, b), min(a, b), 0
-            if members > 2:
-                yield 1, key, a, held[x][0], 0
-                yield 1, key, b, held[by][0], 0
+        for group, by, middle in near_groups(prints):
+            for x, found_by in zip(group.tolist(), by.tolist()):
+                a, b, m = held[x][1], held[found_by][1], held[middle][1]
+                if a != b:
+                    yield 0, key, max(a, b), min(a, b), 0
+                if a != m:
+                    yield 3, key, a, m, 0
+                if members > 2:
+                    yield 1, key, a, held[x][0], free
 
     def rows() -> Iterator[tuple]:
         last, held, free, members = None, [], 0, 0
@@ -184,8 +193,8 @@ def _close(source: Iterator[pa.RecordBatch], schema: pa.Schema, bucket: int) ->
                 if print_ == held[-1][0]:  # equal prints: an edge to the first, and members of the bucket
                     if node != held[-1][1]:
                         yield 0, key, max(node, held[-1][1]), min(node, held[-1][1]), 0
-                        yield 1, key, node, print_, 0
-                        yield 1, key, held[-1][1], print_, 0
+                        yield 1, key, node, print_, free
+                        yield 1, key, held[-1][1], print_, free
                     continue
                 if len(held) > 2 * bucket:  # goes on to the next dealing at once, so that no bucket is held
                     yield from ((2, key, n, p, f) for p, n in held[:bucket])
@@ -203,23 +212,45 @@ def _alike(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
 
-def _candidates(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Edges ``a`` > ``b`` between texts with near prints, and members of buckets: ``key``, ``a``, ``print``."""
+def _candidates(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges ``a`` > ``b`` between texts with near prints, the one of each text to what is most often the middle of
+    its group, and members of buckets: ``key``, ``a``, ``print``, ``free``."""
     entries = mapped(texts, _entries, ENTRY)
-    edges, members = [], []
+    edges, members, middles = [], [], []
     for level in range(BITS):
         dealt = entries.repartition("key").sortWithinPartitions("key", "print", "node")
         found = staged(mapped(dealt, partial(_close, bucket=BUCKET), FOUND), f"{folder}/close-{level}")
         edges.append(found.filter("kind = 0").select("a", "b"))
-        members.append(found.filter("kind = 1").select("key", "a", F.col("b").alias("print")))
+        middles.append(found.filter("kind = 3").select("a", "b"))
+        members.append(found.filter("kind = 1").select("key", "a", F.col("b").alias("print"), "free"))
         large = found.filter("kind = 2").select("key", F.col("b").alias("print"), F.col("a").alias("node"), "free")
         if not large.take(1):
             break
         entries = mapped(large, _dealt_again, ENTRY)
-    every, group = edges[0], members[0]
-    for more, others in zip(edges[1:], members[1:]):
-        every, group = every.unionByName(more), group.unionByName(others)
-    return staged(every.distinct(), f"{folder}/edges"), staged(group.distinct(), f"{folder}/members")
+    every, group, middle = (reduce(DataFrame.unionByName, frames) for frames in (edges, members, middles))
+    often = middle.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    most = often.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    first = most.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    first = staged(first, f"{folder}/middles")
+    return staged(every.unionByName(first).distinct(), f"{folder}/edges"), first, staged(group.distinct(), f"{folder}/members")
+
+
+def _apart(pairs: DataFrame, tied: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` whose ends are in different groups so far, with the first members of these, ``root_a`` and ``root_b``."""
+    roots_a, roots_b = (tied.select(F.col("a").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    both = pairs.join(roots_a, "a", "left").join(roots_b, "b", "left")
+    known = both.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    return known.filter("root_a != root_b")
+
+
+def _merged(tied: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """``tied`` after more links, which only have to tie whole groups to each other."""
+    between = staged(_apart(links, tied).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{folder}-between")
+    if not between.take(1):
+        return tied
+    moved = components.roots(between, folder).select(F.col("a").alias("root"), F.col("b").alias("now"))
+    members = tied.join(moved, "root", "left").select("a", F.coalesce("now", "root").alias("root"))
+    return staged(members.unionByName(moved.select(F.col("root").alias("a"), F.col("now").alias("root"))), f"{folder}-tied")
 
 
 def near_copies(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +265,7 @@ def near_copies(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     own = mapped(rows, _prints, TEXT).groupBy("name").agg(F.min("doc").alias("doc"), F.first("prints").alias("prints"))
     texts = staged(own.withColumn("node", F.monotonically_increasing_id()), f"{folder}/texts")
     same = staged(texts.groupBy("prints").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), f"{folder}/prints")
-    edges, members = _candidates(same.select("node", "prints"), folder)
+    edges, first, members = _candidates(same.select("node", "prints"), folder)
     twins = same.filter("n > 1").select(F.col("node").alias("b"), "prints")
     edges = edges.unionByName(texts.join(twins, "prints").filter("node > b").select(F.col("node").alias("a"), "b"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -247,26 +278,23 @@ def near_copies(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
         return staged(mapped(both, _alike, "a long, b long"), f"{folder}/{name}")
 
-    first = edges.groupBy("a").agg(F.min("b").alias("b"))
-    links = decided(first, "alike-first")
-    tied = components.roots(links, f"{folder}/components-first").withColumnRenamed("b", "root")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different groups so far."""
-        roots_a, roots_b = (tied.select(F.col("a").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        both = pairs.join(roots_a, "a", "left").join(roots_b, "b", "left")
-        return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    placed = members.join(tied, "a", "left").select("key", "a", "print", F.coalesce("root", "a").alias("root"))
+    tied = components.roots(decided(first, "alike-first"), f"{folder}/components-first").withColumnRenamed("b", "root")
+    others = _apart(edges, tied).join(first, ["a", "b"], "left_anti").select("a", "b")
+    tied = _merged(tied, decided(others, "alike-edges"), f"{folder}/components-edges")
+    placed = members.join(tied, "a", "left").select("key", "a", "print", "free", F.coalesce("root", "a").alias("root"))
     mixed_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     left = staged(placed.join(mixed_, "key", "left_semi"), f"{folder}/placed")
     right = left.select("key", F.col("a").alias("b"), F.col("print").alias("print_b"), F.col("root").alias("root_b"))
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= RADIUS
-    crossing = left.join(right, "key").filter((F.col("a") > F.col("b")) & (F.col("root") != F.col("root_b")) & near).select("a", "b")
-    later = apart(edges).unionByName(crossing).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(decided(later, "alike-later"))
-    tied = components.roots(links, f"{folder}/components").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    grouped = texts.join(tied, "node", "left").select("name", "doc", F.coalesce("root", "node").alias("root"))
+    differ = F.col("print").bitwiseXOR(F.col("print_b"))
+    # A pair meets under every mask that leaves out the bits in which it differs; the first of them counts.
+    free = [signed(~m & ((1 << BITS) - 1)) for m in covering(list(range(BITS)), RADIUS)]
+    first_met = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(~f)) == 0, F.lit(f)) for f in free])
+    once = ~F.col("free").isin(free) | (F.col("free") == first_met)
+    crosses = (F.col("a") > F.col("b")) & (F.col("root") != F.col("root_b")) & (F.bit_count(differ) <= RADIUS) & once
+    crossing = left.join(right, "key").filter(crosses).select("a", "b")
+    crossing = crossing.distinct().join(edges, ["a", "b"], "left_anti")
+    tied = _merged(tied, decided(crossing, "alike-crossing"), f"{folder}/components")
+    grouped = texts.join(tied.withColumnRenamed("a", "node"), "node", "left").select("name", "doc", F.coalesce("root", "node").alias("root"))
     least = F.struct("doc", "name")
     firsts = grouped.groupBy("root").agg(F.min(least).alias("first"))
     return grouped.join(firsts, "root").select("name", "doc", "first")
