@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.contracts import (
@@ -90,26 +90,47 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], row: str = ROW) -> DataFr
     return counted.filter(F.col("n") > 1)
 
 
+def most_alike(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key that has most of them, 0 for no rows."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def duplicate_rows(
-    df: DataFrame, keys: Sequence[str], row: str = ROW, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], row: str = ROW, hot_rows: int = HOT_ROWS, most: int | None = None
 ) -> DataFrame:
     """All rows but the first of every repeated key.
 
     The repeated keys are counted and written out first. They are few or none in a sound
     batch, and with their real size known the rows are mostly looked up where they lie.
+    Where ``most``, the rows of the most frequent key, is known and no key is hot, the rows
+    are put in order key by key instead, in one shuffle however many keys are repeated.
     """
+    if most is not None and most < hot_rows:
+        if most < 2:
+            return df.limit(0)
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(row)))
+        return ranked.filter(F.col("_rank") > 1).drop("_rank")
     repeated = write_staged(duplicate_keys(df, keys, row), name="repeated")
     hot = hot_keys(repeated, keys, "n", hot_rows)
     found = join_hot_apart(df, repeated, keys, hot)
     return found.filter(F.col(row) > F.col("first_row")).drop("first_row", "n")
 
 
-def unique_issues(flagged: DataFrame, contract: Contract, row: str = ROW, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
-    """Row column, bad flag and issue of every repeated row, a frame for each unique key."""
+def unique_issues(
+    flagged: DataFrame,
+    contract: Contract,
+    row: str = ROW,
+    hot_rows: int = HOT_ROWS,
+    most: Sequence[int] | None = None,
+) -> list[DataFrame]:
+    """Row column, bad flag and issue of every repeated row, a frame for each unique key.
+    ``most``: :func:`most_alike` of each of them, where it is known already."""
     first = len(contract.fields) + len(contract.required)
     frames = []
-    for number, names in enumerate(contract.unique_keys, start=first):
-        again = duplicate_rows(flagged.select(*dict.fromkeys([row, *names]), BAD), names, row, hot_rows)
+    for at, names in enumerate(contract.unique_keys):
+        number, known = first + at, None if most is None else most[at]
+        again = duplicate_rows(flagged.select(*dict.fromkeys([row, *names]), BAD), names, row, hot_rows, known)
         value = F.col(names[0]) if len(names) == 1 else F.concat_ws(", ", *names)
         issue = _issue(number, ", ".join(names), F.lit(DUPLICATE), value)
         frames.append(again.select(row, BAD, issue.alias("issue")))

@@ -42,6 +42,7 @@ def compare_with_current(
     compare: Sequence[str],
     unique_keys: bool = False,
     hot_rows: int = HOT_ROWS,
+    cut: bool = True,
 ) -> DataFrame:
     """Incoming rows with the current version of their key (``_old_`` columns) and
     ``_change``: ``new``, ``changed`` or ``same``.
@@ -49,10 +50,12 @@ def compare_with_current(
     ``unique_keys`` says that neither side repeats a key or lacks one (the validation gate
     and the merge itself prove it in a refresh), which saves counting the rows per key.
     Without it, the latest current version of a key counts, every incoming row is
-    compared, and a missing key equals a missing key.
+    compared, and a missing key equals a missing key. With unique keys, ``cut`` says whether
+    the current versions are first cut down to the keys of the batch; where it names most of
+    them, that moves the batch once more for nothing.
     """
     if unique_keys:
-        touched = member_of(current, incoming, keys, "left_semi", null_safe=False)
+        touched = member_of(current, incoming, keys, "left_semi", null_safe=False) if cut else current
         probed = incoming.join(
             touched.select(*_old_columns(touched)), matches(keys, OLD, null_safe=False), "left"
         )
@@ -107,10 +110,11 @@ def scd2_delta(
     as_of: datetime,
     unique_keys: bool = False,
     hot_rows: int = HOT_ROWS,
+    cut: bool = True,
 ) -> DataFrame:
     """The versions a batch adds (``_op`` insert) and ends (``_op`` close)."""
     new_version, old_version = _versions(current, incoming, as_of)
-    probed = compare_with_current(current, incoming, keys, compare, unique_keys, hot_rows)
+    probed = compare_with_current(current, incoming, keys, compare, unique_keys, hot_rows, cut)
     touched = probed.filter(F.col("_change") != "same")
     if unique_keys:
         both = F.when(F.col("_change") == "changed", F.array(new_version, old_version))
@@ -120,6 +124,12 @@ def scd2_delta(
     return inserts.unionByName(closes.dropDuplicates(list(keys)))
 
 
+def scd2_first(current: DataFrame, incoming: DataFrame, as_of: datetime) -> DataFrame:
+    """The delta of a batch of unique keys where there is no version yet: each row starts one."""
+    new_version, _ = _versions(current, incoming, as_of)
+    return incoming.select(new_version.alias("_v")).select("_v.*")
+
+
 def scd2_inserts(*args, **kwargs) -> DataFrame:
     """New versions of a batch; arguments as for :func:`scd2_delta`."""
     return scd2_delta(*args, **kwargs).filter(F.col("_op") == INSERT).drop("_op")

@@ -29,14 +29,13 @@ def write_staged(df: DataFrame, path: str | None = None, name: str = "batch") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_number() -> Column:
+def _file_number(name: Column) -> Column:
     """Number of a file as Spark names it: ``part-<task>-<uuid>-c<chunk>.<codec>.parquet``.
 
     More chunks of one task than the bits hold would collide, so they are an error.
     """
-    name = F.col("_metadata.file_name")
-    task = F.split_part(name, F.lit("-"), F.lit(2)).cast("long")
-    last = F.split_part(F.split_part(name, F.lit("-"), F.lit(-1)), F.lit("."), F.lit(1))
+    task = F.substring_index(F.substring_index(name, "-", 2), "-", -1).cast("long")
+    last = F.substring_index(F.substring_index(name, "-", -1), ".", 1)
     chunk = F.substring(last, F.lit(2), F.length(last)).cast("long")
     most = 1 << _CHUNK_BITS
     checked = F.when(chunk < most, chunk).otherwise(F.raise_error(F.lit(f"a task wrote over {most} files of a batch")))
@@ -49,26 +48,26 @@ def with_position(staged: DataFrame) -> DataFrame:
     Batch order is that of the rows within a source file. Spark deals out the files of a
     batch by size, so between files there is none unless the batch was sorted when staged.
     """
-    position = F.shiftleft(_file_number(), _ROW_BITS) + F.col("_metadata.row_index")
+    number = _file_number(F.col("_metadata.file_name"))
+    position = F.shiftleft(number, _ROW_BITS) + F.col("_metadata.row_index")
     return staged.select("*", position.alias(POSITION))
 
 
 def batch_row_ordinal(positioned: DataFrame) -> DataFrame:
-    """Adds ``_row``: 0, 1, 2, … in batch order.
+    """Adds ``_row``: 0, 1, 2, … in batch order, to all rows of the files they are read from.
 
     The rows of each file are counted and the counts summed up file by file; only that
-    table, one row per file, meets in a single task. No row of the batch moves unless
-    the optimizer finds the table too big to broadcast.
+    table, one row per file, meets in a single task and is sent to all. No row of the batch
+    moves: by their file they would come together in as few tasks as there are files.
     """
-    located = positioned.withColumn("_file", F.shiftright(F.col(POSITION), _ROW_BITS))
+    located = positioned.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
     per_file = located.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(_file_number(F.col("_file"))).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select(
         F.col("_file").alias("_o_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    row_index = F.col(POSITION).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    joined = located.join(offsets, F.col("_file") == F.col("_o_file"), "left")
-    return joined.withColumn(ROW, F.col("_offset") + row_index).drop("_file", "_o_file", "_offset")
+    joined = located.join(F.broadcast(offsets), F.col("_file") == F.col("_o_file"), "left")
+    return joined.withColumn(ROW, F.col("_offset") + F.col("_index")).drop("_file", "_index", "_o_file", "_offset")
 
 
 def ordered_batch(df: DataFrame, order: Sequence[str], name: str = "batch") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.contracts import Contract
 from tidemark.functions.naming import member_of
-from tidemark.operators.scd2 import CLOSE, INSERT, scd2_delta
+from tidemark.operators.scd2 import CLOSE, INSERT, scd2_delta, scd2_first
 
 # Batch that started a version. With the key it names the version, even where one run
 # starts and ends versions of a key at the same moment.
@@ -33,6 +33,8 @@ REBASE_SHARE = 0.2
 # Batches since the base at which it is written anew if they started this share of the current
 # versions, so that a dimension that only grows does not end in a folder for every batch.
 REBASE_BATCHES, GROWN_SHARE = 16, 0.1
+# Rows of a batch per current version from which on these are not cut down to its keys first.
+WHOLE_SHARE = 0.25
 
 
 class Merged(NamedTuple):
@@ -90,13 +92,20 @@ class DimensionTable:
             return self.spark.createDataFrame([], self.contract.schema)
         return self._load([f"{self._changes(b)}/_op={CLOSE}" for b in closing]).drop(ADDED_BY)
 
-    def merge(self, batch: DataFrame, batch_id: str, as_of: datetime) -> Merged:
-        """Write the changes a batch of unique keys makes; they count once it is committed."""
+    def _current_count(self) -> int:
+        return sum(c["rows_inserted"] - c["rows_updated"] for c in self.commits)
+
+    def merge(self, batch: DataFrame, batch_id: str, as_of: datetime, rows: int = 0) -> Merged:
+        """Write the changes a batch of unique keys makes; they count once it is committed.
+        ``rows``: how many it has, where that is known."""
         contract = self.contract
         incoming = batch.withColumn(ADDED_BY, F.lit(batch_id))
-        delta = scd2_delta(
-            self.stored_current(), incoming, contract.key, contract.compare, as_of, unique_keys=True
-        )
+        stored = self.stored_current()
+        if not self.base and not self._batches("rows_inserted"):
+            delta = scd2_first(stored, incoming, as_of)
+        else:
+            cut = rows < WHOLE_SHARE * self._current_count()
+            delta = scd2_delta(stored, incoming, contract.key, contract.compare, as_of, unique_keys=True, cut=cut)
         delta.write.mode("overwrite").partitionBy("_op").parquet(self._changes(batch_id))
         written = self.spark.read.schema(f"{contract.key[0]} string, _op string").parquet(self._changes(batch_id))
         counted = {row["_op"]: row["count"] for row in written.groupBy("_op").count().collect()}
@@ -104,7 +113,7 @@ class DimensionTable:
         return Merged(inserted, closed, bool(inserted or closed) and self._rebase(batch_id, inserted, closed))
 
     def _rebase(self, batch_id: str, inserted: int, closed: int) -> bool:
-        current = sum(c["rows_inserted"] - c["rows_updated"] for c in self.commits)
+        current = self._current_count()
         ended = closed + sum(c["rows_updated"] for c in self.since)
         started = inserted + sum(c["rows_inserted"] for c in self.since)
         grown = len(self.since) + 1 >= REBASE_BATCHES and started >= GROWN_SHARE * (current + inserted)

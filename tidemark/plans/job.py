@@ -19,10 +19,9 @@ from tidemark.operators.quality import (
     ISSUES,
     TYPED,
     check_rows,
-    duplicate_keys,
     error_report,
-    flagged_counts,
     flagged_errors,
+    most_alike,
     report_header,
     unique_issues,
 )
@@ -88,10 +87,6 @@ def _batch_facts(staged: DataFrame, mark_column: str) -> Row:
     ).first()
 
 
-def _has_duplicates(staged: DataFrame, contract: Contract) -> bool:
-    return any(not duplicate_keys(staged, k, POSITION).isEmpty() for k in contract.unique_keys)
-
-
 def _keep_malformed(warehouse: Warehouse, source: Source, staged: DataFrame, batch_id: str) -> None:
     """Write the records that could not be read as rows, with their text."""
     records = batch_row_ordinal(staged).filter(F.col(CORRUPT).isNotNull())
@@ -107,20 +102,25 @@ def _keep_malformed(warehouse: Warehouse, source: Source, staged: DataFrame, bat
 
 
 def _reject(
-    warehouse: Warehouse, source: Source, contract: Contract, staged: DataFrame, batch_id: str
+    warehouse: Warehouse, source: Source, contract: Contract, staged: DataFrame, batch_id: str, facts: Row, most: Sequence[int]
 ) -> list[str]:
-    """Write all issues of the batch and return the log lines of the first rows."""
-    numbered = batch_row_ordinal(staged).select(ROW, *contract.unique_columns, ISSUES, BAD)
-    flagged = write_staged(numbered, name="flags")
-    again = [write_staged(f, name="again") for f in unique_issues(flagged, contract)]
-    counts = flagged_counts(flagged, contract, again=again).first()
-    errors = flagged_errors(flagged, contract, again=again).withColumn("source", F.lit(source.name))
+    """Write all issues of the batch and return the log lines of the first rows. ``most``: rows of
+    the most frequent key, for each unique key."""
+    flagged = batch_row_ordinal(staged).select(ROW, *contract.unique_columns, ISSUES, BAD)
+    again = unique_issues(flagged, contract, most=most)
+    by_row = flagged if facts["bad"] else flagged.limit(0)
+    errors = flagged_errors(by_row, contract, again=again).withColumn("source", F.lit(source.name))
     warehouse.write_errors(errors, batch_id)
     stored = warehouse.errors().filter(F.col("_batch_id") == batch_id)
-    first = stored.select(ROW).distinct().orderBy(ROW).limit(REPORTED_ROWS)
+    # A row may have several issues, unless they are all of one unique key.
+    failing = stored.select(ROW) if len(again) == 1 and not facts["bad"] else stored.select(ROW).distinct()
+    failed = failing.count()
+    # No row has more issues than there are rules, so the first rows are among so many of the first issues.
+    rules = len(contract.fields) + len(contract.required) + len(contract.unique_keys)
+    first = stored.select(ROW).orderBy(ROW).limit(REPORTED_ROWS * rules).distinct().orderBy(ROW).limit(REPORTED_ROWS)
     blocks = error_report(stored.join(F.broadcast(first), ROW, "left_semi")).orderBy(ROW).collect()
-    lines = [report_header(counts["rows_failed"], counts["rows_passed"]), *[b["report"] for b in blocks]]
-    others = counts["rows_failed"] - len(blocks)
+    lines = [report_header(failed, facts["rows"] - failed), *[b["report"] for b in blocks]]
+    others = failed - len(blocks)
     return [*lines, f"  {others} more rows in the errors of batch {batch_id}"] if others > 0 else lines
 
 
@@ -168,15 +168,16 @@ def refresh_batch(
         return record("failed", errors=[f"{facts['corrupt']} malformed records in source {source.name}"])
     if facts["rows"] == 0:
         return record("success", errors=notes)
-    if facts["bad"] or _has_duplicates(staged, contract):
-        lines = _reject(warehouse, source, contract, staged, batch_id)
+    most = [most_alike(staged, k) for k in contract.unique_keys]
+    if facts["bad"] or max(most, default=0) > 1:
+        lines = _reject(warehouse, source, contract, staged, batch_id, facts, most)
         return record("failed", processed=facts["rows"], errors=lines)
 
     inserted, updated, rebased = facts["rows"], 0, False
     clean = staged.select(*contract.columns, POSITION)
     if contract.role == "dimension":
         table = warehouse.dimension_table(contract.name)
-        inserted, updated, rebased = table.merge(clean.drop(POSITION), batch_id, as_of or started)
+        inserted, updated, rebased = table.merge(clean.drop(POSITION), batch_id, as_of or started, facts["rows"])
     elif not in_place:
         stored = warehouse.facts_holding(contract, clean.select(*contract.key))
         fresh = absent_rows(stored, clean, contract.key, [F.col(POSITION)])
