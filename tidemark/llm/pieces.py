@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -40,6 +41,8 @@ UNKNOWN_PENALTY = 10.0
 MEMO_BYTES, PAIR_BYTES = 220_000_000, 200
 #: Words from this length on are cut with four bytes a place.
 LONG = 1 << 12
+#: Whether an array of C integers has the bytes of the ids.
+SMALL_ENDIAN = sys.byteorder == "little" and array("I").itemsize == ID.itemsize
 
 
 class Pieces:
@@ -70,36 +73,49 @@ class Pieces:
         inner = re.compile(f"[^{SPACE}]{SPACE}")
         self.by_word = not any(inner.search(p) for p in self.known)
         self._words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self._beside: dict[tuple[int | None, int], bool] = {}
+        self._letters = frozenset(p for p in self.known if len(p) == 1)
+        self._score = {p: -self.scores[k] for p, k in self.known.items()}
+        #: What each id stands for in a text, white space not yet put back.
+        self._raw = [self.bytes.get(k) or (b"" if k in self.hidden else p.encode()) for k, p in enumerate(self.spelling)]
+        #: By the left piece, -1 for none, times the number of pieces, plus the right piece.
+        self._beside: dict[int, bool] = {}
         self._memo: dict[str, bytes] = {}
         self.memo_bytes, self._held = memo_bytes, 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces that the merges leave of a short string: best score first, leftmost first."""
-        parts = list(text)
-        while True:
-            options = [(-self.scores[self.known[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.known]
-            if not options:
-                return parts
-            _, k = min(options)
+        parts, score = list(text), self._score.get
+        costs = [score(a + b, np.inf) for a, b in zip(parts, parts[1:])]
+        while costs:
+            least = min(costs)
+            if least == np.inf:
+                break
+            k = costs.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del costs[k]
+            if k:
+                costs[k - 1] = score(parts[k - 1] + parts[k], np.inf)
+            if k < len(costs):
+                costs[k] = score(parts[k] + parts[k + 1], np.inf)
+        return parts
 
     def beside(self, left: int | None, right: int) -> bool:
         """Whether the merges leave these two pieces side by side; no left piece: the right one whole."""
-        found = self._beside.get((left, right))
+        pair = (-1 if left is None else left) * len(self.spelling) + right
+        found = self._beside.get(pair)
         if found is None:
             if len(self._beside) * PAIR_BYTES > self.memo_bytes // 2:  # one word may hold any number of pairs
                 self._held -= len(self._beside) * PAIR_BYTES
                 self._beside.clear()
             own = [self.spelling[k] for k in (left, right) if k is not None]
-            self._beside[left, right] = found = self.merged("".join(own)) == own
+            self._beside[pair] = found = self.merged("".join(own)) == own
             self._held += PAIR_BYTES
         return found
 
     def edges(self, word: str) -> Iterable[tuple[int, tuple[int, int | None]]]:
         """(last place, (length, piece)) of every piece in the word and every unknown character, by place, as the automaton walks."""
         found = self.automaton.iter(word)
-        if all(map(self.known.__contains__, word)):
+        if self._letters.issuperset(word):
             return found
         return heapq.merge(found, ((k, (1, None)) for k, c in enumerate(word) if c not in self.known), key=lambda e: e[0])
 
@@ -111,12 +127,20 @@ class Pieces:
         if self.merges:
             clean = bytearray(n + 1)
             clean[0] = 1
+            known, count = self._beside.get, len(self.spelling)
             for end, (size, piece) in self.edges(word):
-                start = end + 1 - size
-                if clean[start] and not clean[end + 1]:
-                    left = pieces[start]
-                    if piece is None or self.beside(None if left < 0 else left, piece):
-                        clean[end + 1], sizes[end + 1], pieces[end + 1] = 1, size, -1 if piece is None else piece
+                end += 1
+                if clean[end] or not clean[end - size]:
+                    continue
+                if piece is None:
+                    clean[end] = sizes[end] = 1
+                    continue
+                left = pieces[end - size]
+                beside = known(left * count + piece)
+                if beside is None:
+                    beside = self.beside(None if left < 0 else left, piece)
+                if beside:
+                    clean[end], sizes[end], pieces[end] = 1, size, piece
         else:
             best = array("d", [-np.inf]) * (n + 1)
             best[0] = 0.0
@@ -132,9 +156,12 @@ class Pieces:
         return cut[::-1]
 
     def word(self, word: str) -> bytes:
+        cut = self.cut(word)
+        if None not in cut:
+            return array("I", cut).tobytes() if SMALL_ENDIAN else np.array(cut, ID).tobytes()
         ids: list[int] = []
         at = 0
-        for piece in self.cut(word):
+        for piece in cut:
             size = 1 if piece is None else len(self.spelling[piece])
             if piece is not None:
                 ids.append(piece)
@@ -165,9 +192,7 @@ class Pieces:
         return b"".join(map(memo.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(
-            self.bytes.get(k) or (b"" if k in self.hidden else self.spelling[k].encode()) for k in np.frombuffer(ids, ID).tolist()
-        )
+        raw = b"".join(map(self._raw.__getitem__, np.frombuffer(ids, ID).tolist()))
         text = raw.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
