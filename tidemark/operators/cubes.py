@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.naming import all_of
 from tidemark.operators.scd2 import as_of_join
 
-MONEY = "decimal(18,2)"
+# Amounts, their sums per dimension key, and sums of those.
+MONEY, SUMMED, TOTAL = "decimal(18,2)", "decimal(28,2)", "decimal(38,2)"
 
 
 @dataclass(frozen=True)
@@ -72,10 +73,22 @@ def collapse_facts(
 
     Such sums of batches add up, and the dimensions are joined to them like to facts.
     """
-    keys = [k for d in dimensions for k in (*d.fact_keys, d.at) if k]
-    own = [c for c in by if c in fact.columns]
     sums = [F.sum(F.col(m).cast(MONEY)).alias(m) for m in measures]
-    return fact.groupBy(*dict.fromkeys([*keys, *own])).agg(*sums, F.count(F.lit(1)).alias("row_count"))
+    return fact.groupBy(*fact_groups(fact, dimensions, by)).agg(*sums, F.count(F.lit(1)).alias("row_count"))
+
+
+def uncollapsed_facts(
+    fact: DataFrame, dimensions: Sequence[DimensionJoin], by: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    """Each fact as a sum of one row, to be added to those of :func:`collapse_facts`."""
+    amounts = [F.col(m).cast(MONEY).alias(m) for m in measures]
+    return fact.select(*fact_groups(fact, dimensions, by), *amounts, F.lit(1).cast("bigint").alias("row_count"))
+
+
+def fact_groups(fact: DataFrame, dimensions: Sequence[DimensionJoin], by: Sequence[str]) -> list[str]:
+    """The dimension keys and the attributes the fact itself has."""
+    keys = [k for d in dimensions for k in (*d.fact_keys, d.at) if k]
+    return list(dict.fromkeys([*keys, *[c for c in by if c in fact.columns]]))
 
 
 def finest_grain(
@@ -99,8 +112,9 @@ def finest_grain(
 def grain_of_collapsed(
     collapsed: DataFrame, dimensions: Sequence[DimensionJoin], by: Sequence[str], measures: Sequence[str]
 ) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in (*measures, "row_count")]
-    return star_join(collapsed, dimensions).groupBy(*by).agg(*sums)
+    """``collapsed`` may hold facts that were not summed yet; the types are the same either way."""
+    sums = [F.sum(m).cast(TOTAL).alias(m) for m in measures]
+    return star_join(collapsed, dimensions).groupBy(*by).agg(*sums, F.sum("row_count").alias("row_count"))
 
 
 def build_cube(

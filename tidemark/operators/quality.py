@@ -91,9 +91,23 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], row: str = ROW) -> DataFr
 
 
 def most_alike(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the key that has most of them, 0 for no rows."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.max("n").alias("n")).first()["n"] or 0
+    """Rows of the key that has most of them, 0 for no rows.
+
+    Hashes are counted instead of keys. No key has more rows than its hash, so the largest hash
+    decides if it is single, or if all its rows are of one key. Only otherwise, where keys share
+    it, the keys themselves are counted.
+    """
+    hashed = F.xxhash64(*keys)
+    counted = df.select(hashed.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.agg(F.max("n").alias("n"), F.max_by("h", "n").alias("h")).first()
+    if (top["n"] or 0) < 2:
+        return top["n"] or 0
+    for rows in (df.filter(hashed == F.lit(top["h"])), df):
+        by_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        most = by_key.agg(F.max("n").alias("n")).first()["n"]
+        if most == top["n"]:
+            break
+    return most
 
 
 def duplicate_rows(

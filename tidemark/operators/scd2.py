@@ -77,13 +77,22 @@ def _old_columns(versions: DataFrame) -> list[Column]:
     return [*[F.col(c).alias(OLD + c) for c in versions.columns], F.lit(True).alias("_known")]
 
 
-def _version(columns: Sequence[str], as_of: Column, closing: bool) -> list[Column]:
-    """Columns of a version that starts (or ends) at ``as_of``."""
-    validity = {
-        "valid_from": F.col(OLD + "valid_from") if closing else as_of,
-        "valid_to": as_of if closing else F.lit(None).cast("timestamp_ntz"),
-        "is_current": F.lit(not closing),
+def started_at(as_of: datetime) -> dict[str, Column]:
+    """Validity of a version that starts."""
+    return {
+        "valid_from": instant_literal(as_of),
+        "valid_to": F.lit(None).cast("timestamp_ntz"),
+        "is_current": F.lit(True),
     }
+
+
+def _ended_at(as_of: datetime) -> dict[str, Column]:
+    return {"valid_from": F.col(OLD + "valid_from"), "valid_to": instant_literal(as_of), "is_current": F.lit(False)}
+
+
+def _version(columns: Sequence[str], as_of: datetime, closing: bool) -> list[Column]:
+    """Columns of a version that starts (or ends) at ``as_of``."""
+    validity = _ended_at(as_of) if closing else started_at(as_of)
     return [
         (validity[c] if c in validity else F.col(OLD + c) if closing else F.col(c)).alias(c) for c in columns
     ]
@@ -95,10 +104,9 @@ def _versions(current: DataFrame, incoming: DataFrame, as_of: datetime) -> tuple
     missing = [c for c in columns if c not in incoming.columns and c not in VALIDITY]
     if missing:
         raise ValueError(f"incoming rows lack {missing}")
-    moment = instant_literal(as_of)
     return (
-        F.struct(F.lit(INSERT).alias("_op"), *_version(columns, moment, closing=False)),
-        F.struct(F.lit(CLOSE).alias("_op"), *_version(columns, moment, closing=True)),
+        F.struct(F.lit(INSERT).alias("_op"), *_version(columns, as_of, closing=False)),
+        F.struct(F.lit(CLOSE).alias("_op"), *_version(columns, as_of, closing=True)),
     )
 
 

@@ -8,6 +8,9 @@ A merge writes its changes and nothing else, so its cost follows the batch and n
 dimension. Readers leave out the versions ended since the base. Once those reach a share
 of the current versions, a merge also writes a new base, which keeps reads cheap and the
 rewriting in proportion to the changes.
+
+Where there is no version yet, each row of a batch starts one: such a batch may be staged where
+its versions will stay, with the validity they start with, and is then not written again.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ from collections.abc import Sequence
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.contracts import Contract
 from tidemark.functions.naming import member_of
-from tidemark.operators.scd2 import CLOSE, INSERT, scd2_delta, scd2_first
+from tidemark.operators.scd2 import CLOSE, INSERT, VALIDITY, scd2_delta, scd2_first, started_at
 
 # Batch that started a version. With the key it names the version, even where one run
 # starts and ends versions of a key at the same moment.
@@ -95,13 +98,35 @@ class DimensionTable:
     def _current_count(self) -> int:
         return sum(c["rows_inserted"] - c["rows_updated"] for c in self.commits)
 
+    def is_empty(self) -> bool:
+        """Whether no batch has started a version yet."""
+        return not self.base and not self._batches("rows_inserted")
+
+    def starts_in_place(self, order_by: Sequence[str] = ()) -> bool:
+        """Whether a batch may be staged as the first versions. The validity its rows came with is
+        lost in them, so neither a unique rule nor their order may depend on it."""
+        return self.is_empty() and not set(VALIDITY) & {*self.contract.unique_columns, *order_by}
+
+    def first_path(self, batch_id: str) -> str:
+        return f"{self._changes(batch_id)}/_op={INSERT}"
+
+    def first_values(self, batch_id: str, as_of: datetime) -> dict[str, Column]:
+        """What first versions hold in place of, or beside, the values of their rows."""
+        validity = {c: v for c, v in started_at(as_of).items() if c in self.contract.columns}
+        return {**validity, ADDED_BY: F.lit(batch_id)}
+
+    def start(self, batch_id: str, rows: int) -> Merged:
+        """Take the ``rows`` rows staged at :meth:`first_path` as they are; like those of a merge
+        they count once the batch is committed."""
+        return Merged(rows, 0, self._rebase(batch_id, rows, 0))
+
     def merge(self, batch: DataFrame, batch_id: str, as_of: datetime, rows: int = 0) -> Merged:
         """Write the changes a batch of unique keys makes; they count once it is committed.
         ``rows``: how many it has, where that is known."""
         contract = self.contract
         incoming = batch.withColumn(ADDED_BY, F.lit(batch_id))
         stored = self.stored_current()
-        if not self.base and not self._batches("rows_inserted"):
+        if self.is_empty():
             delta = scd2_first(stored, incoming, as_of)
         else:
             cut = rows < WHOLE_SHARE * self._current_count()

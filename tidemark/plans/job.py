@@ -6,10 +6,10 @@ The functions here decide and write; all row work is done by the operators.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.contracts import Contract, contract_named
@@ -48,29 +48,39 @@ _MARK = "_mark"
 REBUILD = "(rebuild)"
 
 
-def _mark_column(contract: Contract, watermark_column: str | None) -> str:
-    """Staged column that holds the mark: the contract's own date where it is one."""
-    dates = {f.name for f in contract.fields if f.kind == "date"}
+def _mark_column(contract: Contract, watermark_column: str | None, given: Iterable[str] = ()) -> str:
+    """Staged column that holds the mark: the contract's own date where it is one and is the row's."""
+    dates = {f.name for f in contract.fields if f.kind == "date"} - set(given)
     return watermark_column if watermark_column in dates else _MARK
 
 
 def stage_batch(
-    raw: DataFrame, contract: Contract, watermark_column: str | None, path: str, order_by: Sequence[str] = ()
+    raw: DataFrame,
+    contract: Contract,
+    watermark_column: str | None,
+    path: str,
+    order_by: Sequence[str] = (),
+    given: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Typed columns, issues and mark of a batch, written once under ``path``, in the order
-    of ``order_by`` if it names columns.
+    of ``order_by`` if it names columns. ``given``: columns that get these values, not the row's.
 
     Everything a single row can tell is decided in the pass that writes it, so the gate
     reads flags instead of parsing the source again.
     """
+    given = given or {}
+    typed = {f.name: f.filled(F.col(TYPED + f.name)) for f in contract.fields}
     columns = [
-        *[f.filled(F.col(TYPED + f.name)).alias(f.name) for f in contract.fields],
+        *[value.alias(name) for name, value in {**typed, **given}.items()],
         ISSUES,
         BAD,
         F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string").alias(CORRUPT),
     ]
-    if _mark_column(contract, watermark_column) == _MARK:
-        mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
+    if _mark_column(contract, watermark_column, given) == _MARK:
+        if _mark_column(contract, watermark_column) != _MARK:
+            mark = typed[watermark_column]
+        else:
+            mark = mark_of(raw, watermark_column) if watermark_column else F.lit(None).cast("timestamp_ntz")
         columns.append(mark.alias(_MARK))
     checked = check_rows(raw, contract).select(*columns)
     if order_by:
@@ -161,8 +171,13 @@ def refresh_batch(
     # A plain fact batch is staged where it will stay: nobody reads it before its commit.
     in_place = contract.role == "fact" and not source.insert_if_absent
     path = warehouse.fact_batch_path(contract, batch_id) if in_place else f"{warehouse.base}/stage/{batch_id}"
-    staged = stage_batch(batch, contract, source.watermark_column, path, source.order_by)
-    facts = _batch_facts(staged, _mark_column(contract, source.watermark_column))
+    # So are the first versions of a dimension.
+    table = warehouse.dimension_table(contract.name) if contract.role == "dimension" else None
+    first = table is not None and table.starts_in_place(source.order_by)
+    given = table.first_values(batch_id, as_of or started) if first else {}
+    path = table.first_path(batch_id) if first else path
+    staged = stage_batch(batch, contract, source.watermark_column, path, source.order_by, given)
+    facts = _batch_facts(staged, _mark_column(contract, source.watermark_column, given))
     if facts["corrupt"]:
         _keep_malformed(warehouse, source, staged, batch_id)
         return record("failed", errors=[f"{facts['corrupt']} malformed records in source {source.name}"])
@@ -175,8 +190,9 @@ def refresh_batch(
 
     inserted, updated, rebased = facts["rows"], 0, False
     clean = staged.select(*contract.columns, POSITION)
-    if contract.role == "dimension":
-        table = warehouse.dimension_table(contract.name)
+    if first:
+        inserted, updated, rebased = table.start(batch_id, facts["rows"])
+    elif table is not None:
         inserted, updated, rebased = table.merge(clean.drop(POSITION), batch_id, as_of or started, facts["rows"])
     elif not in_place:
         stored = warehouse.facts_holding(contract, clean.select(*contract.key))
