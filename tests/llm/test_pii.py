@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import re
 import time
+import uuid
 
 import pytest
 
+import corpus_pipeline
 from tests.llm import cases
-from tidemark.llm import pii
+from tidemark.llm import pii, queries
 
 KEY = b"a key"
 VALUES = {
@@ -119,6 +121,44 @@ def test_rows(spark):
     assert pii.pseudonymized(docs.limit(0), KEY).collect() == []
 
 
+@pytest.fixture
+def cluster(spark, monkeypatch):
+    """The session as if its master were one of a cluster, which names no key."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    monkeypatch.setattr(type(spark.sparkContext), "applicationId", f"app-{uuid.uuid4()}")
+    yield spark
+    spark.conf.unset(queries.KEY_SETTING)
+
+
+def test_a_cluster_that_names_no_key_gets_a_secret_one(cluster, tmp_path):
+    texts = ["mail anna.b.77@x.org twice anna.b.77@x.org", "to anna.b.77@x.org", "none", "", None]
+    rows = [(k, t, "en", "src", len(t or "")) for k, t in enumerate(texts)]
+    cluster.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.warns(UserWarning, match=queries.KEY_SETTING):
+        found = {r.doc_id: r for r in queries.op9_pseudonyms(cluster, str(tmp_path)).collect()}
+    assert [found[k].n_email for k in range(5)] == [2, 1, 0, 0, 0]
+    assert found[1].text[3:] in found[0].text and "anna" not in found[0].text + found[1].text
+    docs = queries.documents(cluster, str(tmp_path))
+    piped = {r.doc_id: r.text for r in corpus_pipeline.pseudonymize(cluster, docs, str(tmp_path)).collect()}
+    assert piped == {k: r.text for k, r in found.items()}  # one key for all of the application
+    undo = lambda key: pii.Redactor(key, back=True).replaced(found[0].text)[0]
+    assert undo(queries.pii_key(cluster)) == texts[0] != undo(queries.TRIAL_KEY.encode())
+
+
+def test_keys_of_sessions(cluster, monkeypatch):
+    with pytest.warns(UserWarning):
+        own = queries.pii_key(cluster)
+    assert len(own) == 64 and own == queries.pii_key(cluster)
+    monkeypatch.setattr(type(cluster.sparkContext), "applicationId", "another")
+    with pytest.warns(UserWarning):
+        assert queries.pii_key(cluster) != own  # nobody can tell it beforehand
+    cluster.conf.set(queries.KEY_SETTING, "a named key")
+    assert queries.pii_key(cluster) == b"a named key"
+    cluster.conf.unset(queries.KEY_SETTING)
+    monkeypatch.setattr(cluster.sparkContext, "master", "local[4]")
+    assert queries.pii_key(cluster) == queries.TRIAL_KEY.encode()
+
+
 def test_values_of_a_long_text_take_time_in_proportion():
     draw = random.Random(2)
     text = " ".join(f"{draw.randrange(256)}.{draw.randrange(256)}.1.{draw.randrange(256)} on {draw.randrange(1950, 2030)}-05-17" for _ in range(36_000))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
+import warnings
 from collections.abc import Callable
+from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ EXPECTED: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: Key of the pseudonyms where the session names none: good for a trial, not for a release.
+#: Key of the pseudonyms where a local session names none: good for a trial, not for a release.
 KEY_SETTING, TRIAL_KEY = "spark.tidemark.pii.key", "trial key"
 #: Documents below so many tokens are deleted from the totals.
 SHORT = 16
@@ -155,12 +158,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@cache
+def _own_key(application: str) -> str:
+    """A secret key for one Spark application, held by its driver and gone with it."""
+    warnings.warn(f"{KEY_SETTING} is not set: the pseudonyms of {application} can be neither undone nor linked after it ends", stacklevel=3)
+    return secrets.token_hex(32)
+
+
 def pii_key(spark: SparkSession) -> bytes:
-    """The key that the session names. Only a local master may leave it unset: whoever knows the trial key can undo its pseudonyms."""
+    """The key that the session names. A local master that names none takes the trial key. Whoever knows
+    that one can undo its pseudonyms, so an application on a cluster gets a secret key of its own instead."""
     key = spark.conf.get(KEY_SETTING, None)
-    if not key and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {KEY_SETTING} to a secret key")
-    return (key or TRIAL_KEY).encode()
+    if not key:
+        context = spark.sparkContext
+        key = TRIAL_KEY if context.master.startswith("local") else _own_key(context.applicationId)
+    return key.encode()
 
 
 @query
