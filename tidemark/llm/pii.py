@@ -150,7 +150,7 @@ class Pseudonyms:
         return f"{self.spelled('email', local)}@{domain}"
 
     def secret(self, text: str) -> str | None:
-        if text.startswith("AKIA"):
+        if re.fullmatch(r"AKIA[0-9A-Z]+", text):
             return "AKIA" + self.based("secret", text[4:], string.ascii_uppercase + string.digits)
         if re.fullmatch(r"[0-9a-f]+", text):
             return self.based("secret", text, "0123456789abcdef")
